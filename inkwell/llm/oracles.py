@@ -27,6 +27,17 @@ counts AS (SELECT doc_id, count(*) AS k FROM gone GROUP BY doc_id)
 """
 
 ORACLES = {
+    "op8_embedding_dedup": """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9),
+reach(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+classes AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+degrees AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT x.vec_id, coalesce(d.n, 0)::BIGINT AS n_links, coalesce(c.component_id, x.vec_id) AS component_id, x.vec_id = coalesce(c.component_id, x.vec_id) AS kept
+FROM embeddings x LEFT JOIN classes c ON c.a = x.vec_id LEFT JOIN degrees d ON d.a = x.vec_id
+""",
     "op9_line_dedup": _LINES
     + """
 SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(l.text, '') END AS text,

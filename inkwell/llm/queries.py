@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkwell.llm.embeddings import near_vectors
 from inkwell.llm.linededup import dedup_lines
 from inkwell.llm.mixing import mix_sources
 from inkwell.llm.quality import quality_rules
@@ -31,6 +32,10 @@ def op6_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(_table(spark, sf_dir, "documents"), shards=16)
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(_table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: its text after dedup, its lines and how many of them went."""
     return dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), min_words=50)
@@ -41,7 +46,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_simhash_dedup, op3_quality_bands, op6_jump_sharding, op9_line_dedup, op10_source_mix]
+    found = [op2_simhash_dedup, op3_quality_bands, op6_jump_sharding, op8_embedding_dedup, op9_line_dedup, op10_source_mix]
     return {f.__name__: f for f in found}
 
 
