@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkwell.llm.embeddings import near_vectors
+from inkwell.llm.html import extract_pages
 from inkwell.llm.linededup import dedup_lines
 from inkwell.llm.mixing import mix_sources
 from inkwell.llm.quality import quality_rules
@@ -28,6 +29,10 @@ def op3_quality_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(_table(spark, sf_dir, "pages"))
+
+
 def op6_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(_table(spark, sf_dir, "documents"), shards=16)
 
@@ -46,7 +51,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_simhash_dedup, op3_quality_bands, op6_jump_sharding, op8_embedding_dedup, op9_line_dedup, op10_source_mix]
+    found = [op2_simhash_dedup, op3_quality_bands, op4_html_extraction, op6_jump_sharding, op8_embedding_dedup, op9_line_dedup, op10_source_mix]
     return {f.__name__: f for f in found}
 
 
