@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,14 +13,23 @@ from inkwell.llm.html import extract_pages
 from inkwell.llm.linededup import dedup_lines
 from inkwell.llm.mixing import mix_sources
 from inkwell.llm.quality import quality_rules
+from inkwell.llm.sentencepiece import encode_documents
 from inkwell.llm.sharding import shard_documents
 from inkwell.llm.simhash import near_duplicates
 
 
+#: Folder of the public tokenizers' files.
+TOKENIZERS = os.environ.get("INKWELL_TOKENIZERS", "/opt/tokenizers")
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
+
+
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(_table(spark, sf_dir, "documents"), bits=3)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -51,7 +61,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_simhash_dedup, op3_quality_bands, op4_html_extraction, op6_jump_sharding, op8_embedding_dedup, op9_line_dedup, op10_source_mix]
+    found = [op1_sentencepiece, op2_simhash_dedup, op3_quality_bands, op4_html_extraction, op6_jump_sharding, op8_embedding_dedup, op9_line_dedup, op10_source_mix]
     return {f.__name__: f for f in found}
 
 
