@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 import re
 import struct
+import zlib
 from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
@@ -145,13 +146,6 @@ class Model:
         self.split = re.compile((r" +[^ \n]*|[^ \n]+|\n" if alone else r" +[^ ]*|[^ ]+") if by_word else r"(?s).+").findall
         self.known: dict[str, tuple[int, ...]] = {}
 
-    def __getstate__(self) -> list:
-        return self.pieces
-
-    def __setstate__(self, pieces: list) -> None:
-        self.pieces = pieces
-        self.__post_init__()
-
     def best(self, text: str) -> list[int]:
         """Ids of the best segmentation of a text that has markers for spaces; of equal ones that with the earlier split."""
         raw = text.encode("utf-8", "replace")
@@ -214,6 +208,18 @@ class Model:
         return text[1:] if text[:1] == " " else text
 
 
+#: The models that this Python worker has built, with the words each remembers; a worker runs many tasks.
+_BUILT: dict[int, Model] = {}
+
+
+def _built(pieces: list[tuple[str, float, int]]) -> Model:
+    key = zlib.crc32(repr(pieces).encode("utf-8", "replace"))
+    if key not in _BUILT:
+        _BUILT.clear()
+        _BUILT[key] = Model(pieces)
+    return _BUILT[key]
+
+
 def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, the columns of keep, token_ids, n_tokens, n_byte_tokens, round_trip for every row of docs.
 
@@ -221,13 +227,14 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
     0 tokens and null round_trip; the empty text has no ids. U+2581 in a text reads as a space, so such a text does not
     come back. Ids and kept columns may be null or repeated; other columns are not carried. No rows give no rows.
     """
-    model = Model(read_pieces(model_path))
+    pieces = read_pieces(model_path)
     rows = docs.select(docs[id_col].alias("doc_id"), *(docs[c] for c in keep), docs[text_col])
     names = ["doc_id", *keep, "token_ids", "n_tokens", "n_byte_tokens", "round_trip"]
     kinds = [f"`{n}` {f.dataType.simpleString()}" for n, f in zip(names, rows.schema.fields[:-1], strict=False)]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        is_byte = bytearray(len(model.pieces))
+        model = _built(pieces)
+        is_byte = bytearray(len(pieces))
         for i in model.bytes.values():
             is_byte[i] = 1
         for batch in batches:
