@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 
 from inkwell.llm.embeddings import near_vectors
 from inkwell.llm.html import extract_pages
+from inkwell.llm.licenses import scan_licenses
 from inkwell.llm.linededup import dedup_lines
 from inkwell.llm.mixing import mix_sources
 from inkwell.llm.quality import quality_rules
 from inkwell.llm.sentencepiece import encode_documents
 from inkwell.llm.sharding import shard_documents
 from inkwell.llm.simhash import near_duplicates
+from inkwell.llm.tokencount import count_edited
 
 
 #: Folder of the public tokenizers' files.
@@ -43,10 +45,28 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(_table(spark, sf_dir, "pages"))
 
 
+def op5_edit_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document is counted, then edited in three places that its length fixes: replaced, inserted, deleted."""
+    n, text = F.length("text"), F.col("text")
+
+    def edit(at, drop, add):
+        return F.struct(at.cast("int").alias("at"), F.lit(drop).alias("drop"), add.alias("add"))
+
+    third, half = F.floor(n / 3), F.floor(n / 2)
+    edits = F.array(edit(third, 12, F.substring(text, half.cast("int") + 1, F.lit(20))), edit(third * 2, 0, F.concat(F.lit(" "), F.reverse(F.substring(text, third.cast("int") + 1, F.lit(30))))), edit(F.lit(0), 5, F.lit("")))
+    docs = _table(spark, sf_dir, "documents").withColumn("edits", F.when(text.isNotNull(), edits))
+    return count_edited(docs, f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
+
+
 def op6_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(_table(spark, sf_dir, "documents"), shards=16)
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per licence text found in a document."""
+    return scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(_table(spark, sf_dir, "embeddings"), threshold=0.9)
 
@@ -61,7 +81,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_sentencepiece, op2_simhash_dedup, op3_quality_bands, op4_html_extraction, op6_jump_sharding, op8_embedding_dedup, op9_line_dedup, op10_source_mix]
+    found = [op1_sentencepiece, op2_simhash_dedup, op3_quality_bands, op4_html_extraction, op5_edit_token_counts, op6_jump_sharding, op7_license_scan, op8_embedding_dedup, op9_line_dedup, op10_source_mix]
     return {f.__name__: f for f in found}
 
 
