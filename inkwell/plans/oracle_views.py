@@ -29,7 +29,7 @@ VIEWS = {
     CASE WHEN i % 7 <> 0 THEN 1706745600000 - (i % 40) * 3600000 END AS last_fetched_at
   FROM (SELECT DISTINCT substr(source, 4, 9)::BIGINT AS i FROM documents UNION ALL SELECT unnest([9001, 9002])::BIGINT))""",
     "reads": """reads AS (
-  SELECT event_id, 'author-' || user_id AS author_key, 'publication-' || (event_id % 10) || '.example' AS domain, event_id % 500 AS article_id, epoch_ms(ts) AS shown_at
+  SELECT event_id, 'author-' || user_id AS author_key, 'publication-' || (event_id % 10) || '.example' AS domain, event_id % 500 AS article_id, epoch_us(ts) // 1000 AS shown_at
   FROM events WHERE event_type IN ('view', 'click'))""",
     "muted": """muted AS (SELECT DISTINCT 'author-' || user_id AS author_key FROM events WHERE user_id % 37 = 5)""",
     "exposures": """exposures AS (
