@@ -24,6 +24,11 @@ def clamp(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), x))
 
 
+def bind(x: Column, f) -> Column:
+    """f(x) with x computed once; a chain of steps that name their input twice would double at each step."""
+    return F.transform(F.array(x), f)[0]
+
+
 def weighted(terms: list[tuple[Column, float]]) -> Column:
     """Sum of the weights whose condition holds, left to right."""
     return reduce(lambda a, b: a + b, [F.when(c, F.lit(float(w))).otherwise(F.lit(0.0)) for c, w in terms], F.lit(0.0))

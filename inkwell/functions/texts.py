@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from inkwell.functions.basics import matches
+from inkwell.functions.basics import bind, matches
 
 # Elements dropped before extraction, prefixes of boilerplate, separators, entities.
 DROPPED = ["script", "style", "noscript", "template", "svg", "iframe", "form"]
@@ -95,27 +95,47 @@ def normal_name(name: Column) -> Column:
 def clean_author(author: Column) -> Column:
     """A byline as a person's name, or the empty string for labels, hosts, teams and blogs."""
 
-    def taken(x: Column, pattern: str, when: Column | None = None) -> Column:
-        fits = x.rlike(pattern) if when is None else x.rlike(pattern) & when
-        return F.when(fits, F.regexp_extract(x, pattern, 1)).otherwise(x)
-
-    a = F.regexp_replace(compact(author), r"(?i)^by\s+", "")
-    a = F.regexp_replace(a, r"(?i)^\d{4}-\d{2}-\d{2}\s*[-—]\s*(?:by\s+)?", "")
-    a = taken(a, r"(?i)^featuring\b.*?\.\s*by\s+(.+?)(?:\s+on)?$")
-    a = taken(a, r"(?i)^published by\s+(.+?)\s+view all posts by\b.*$")
-    a = taken(a, r"(?i)^(.+?)\1\s+is\s+(?:an?\s+)?[^.]+\.?$")
-    a = taken(a, r"(?i)^.*?\s+by\s+([\p{L}][\p{L} .'-]+)$", F.length(a) > 55)
-    mail = r"(?i)^\S+@\S+\s+\(([^)]+)\)$"
-    a = F.when(a.rlike(mail), F.regexp_extract(a, mail, 1)).otherwise(F.regexp_replace(a, r"^\S+@\S+\s+", ""))
-    a = F.regexp_replace(a, r"(?i)\s+commented(?:\s+on.*)?$", "")
-    for tail in (NEWS_DATE, CALENDAR_DATE, WEEKDAY):
-        a = F.regexp_replace(a, tail, "")
-    parts = F.split(a, r"\s+·\s+", -1)
-    news = F.exists(F.slice(parts, 2, 1000), lambda p: matches(p, r"\b(?:news|posted|updated)\b", True))
-    a = compact(F.when((F.size(parts) > 1) & news, parts[0]).otherwise(a))
-    label = a.rlike(SUBMITTER) | a.rlike(NOT_AUTHORS)
-    a = F.regexp_replace(a, r"(?i)\s+on$", "")
-    return F.when(label | a.rlike(r"(?i)\b(?:staff|team)$") | a.rlike(r"(?i)(?:'s|s)?\s*blog$") | a.rlike(r"(?i)\s+\(on\b.*\)$") | a.rlike(HOSTNAME), "").otherwise(a)
+    def taken(pattern: str, least: int = 0):
+        return lambda x: F.when(x.rlike(pattern) & (F.length(x) > least), F.regexp_extract(x, pattern, 1)).otherwise(x)
+
+    def removed(pattern: str):
+        return lambda x: F.regexp_replace(x, pattern, "")
+
+    def without_mail(x: Column) -> Column:
+        mail = r"(?i)^\S+@\S+\s+\(([^)]+)\)$"
+        return F.when(x.rlike(mail), F.regexp_extract(x, mail, 1)).otherwise(F.regexp_replace(x, r"^\S+@\S+\s+", ""))
+
+    def before_news(x: Column) -> Column:
+        parts = F.split(x, r"\s+·\s+", -1)
+        news = F.exists(F.slice(parts, 2, 1000), lambda p: matches(p, r"\b(?:news|posted|updated)\b", True))
+        return compact(F.when((F.size(parts) > 1) & news, parts[0]).otherwise(x))
+
+    def person(x: Column) -> Column:
+        short = F.regexp_replace(x, r"(?i)\s+on$", "")
+        nobody = x.rlike(SUBMITTER) | x.rlike(NOT_AUTHORS)
+        for p in (r"(?i)\b(?:staff|team)$", r"(?i)(?:'s|s)?\s*blog$", r"(?i)\s+\(on\b.*\)$", HOSTNAME):
+            nobody = nobody | short.rlike(p)
+        return F.when(nobody, "").otherwise(short)
+
+    steps = [
+        removed(r"(?i)^by\s+"),
+        removed(r"(?i)^\d{4}-\d{2}-\d{2}\s*[-—]\s*(?:by\s+)?"),
+        taken(r"(?i)^featuring\b.*?\.\s*by\s+(.+?)(?:\s+on)?$"),
+        taken(r"(?i)^published by\s+(.+?)\s+view all posts by\b.*$"),
+        taken(r"(?i)^(.+?)\1\s+is\s+(?:an?\s+)?[^.]+\.?$"),
+        taken(r"(?i)^.*?\s+by\s+([\p{L}][\p{L} .'-]+)$", 55),
+        without_mail,
+        removed(r"(?i)\s+commented(?:\s+on.*)?$"),
+        removed(NEWS_DATE),
+        removed(CALENDAR_DATE),
+        removed(WEEKDAY),
+        before_news,
+        person,
+    ]
+    name = compact(author)
+    for step in steps:
+        name = bind(name, step)
+    return name
 
 
 def author_key(author: Column) -> Column:
@@ -124,6 +144,10 @@ def author_key(author: Column) -> Column:
 
 def attribution(author: Column, site: Column) -> Column:
     """struct<primary, secondary, has_author>: the byline before the publication's name."""
-    name, place = clean_author(author), compact(site)
-    same = (place != "") & (author_key(name) == author_key(place))
-    return F.when(name == "", F.struct(place.alias("primary"), F.lit("").alias("secondary"), F.lit(False).alias("has_author"))).otherwise(F.struct(name.alias("primary"), F.when(same, "").otherwise(place).alias("secondary"), F.lit(True).alias("has_author")))
+    def told(name: Column) -> Column:
+        place = compact(site)
+        same = (place != "") & (author_key(name) == author_key(place))
+        known = F.struct(name.alias("primary"), F.when(same, "").otherwise(place).alias("secondary"), F.lit(True).alias("has_author"))
+        return F.when(name == "", F.struct(place.alias("primary"), F.lit("").alias("secondary"), F.lit(False).alias("has_author"))).otherwise(known)
+
+    return bind(clean_author(author), told)

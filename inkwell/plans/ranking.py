@@ -11,7 +11,6 @@ from inkwell.operators.ranking import Settings
 from inkwell.operators.slate import diverse_slates
 from inkwell.plans.oracle_views import with_views
 from inkwell.plans.registry import query
-from inkwell.functions.topics import TOPICS, cluster
 from inkwell.sources import views
 
 S = Settings()
