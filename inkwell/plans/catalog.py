@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from inkwell.plans import ranking, text  # noqa: F401  they register their queries
+from inkwell.plans import ranking, state, text  # noqa: F401  they register their queries
 from inkwell.plans.registry import ORACLES, QUERIES
 
 
