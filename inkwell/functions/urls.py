@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from inkwell.functions.basics import bind
+
 # Domains, suffixes, patterns.
 PLATFORM_ROOTS = ["wordpress.com", "substack.com", "github.io", "blogspot.com", "ghost.io", "write.as", "bearblog.dev", "mataroa.blog", "omg.lol"]
 TWO_PART_SUFFIXES = ["co.uk", "org.uk", "ac.uk", "gov.uk", "co.jp", "co.in", "com.au", "co.nz", "com.br", "co.za", "com.mx", "com.sg", "com.tr"]
@@ -69,32 +71,35 @@ def without_www(h: Column) -> Column:
 
 def root_domain(h: Column) -> Column:
     """Registrable domain of a host: two labels, three for the known two-part suffixes, all on a publishing platform."""
-    name = without_www(h)
-    labels = F.split(name, r"\.", -1)
-    two = F.substring_index(name, ".", -2)
-    return F.when(F.size(labels) <= 2, name).when(two.isin(PLATFORM_ROOTS), name).when(two.isin(TWO_PART_SUFFIXES), F.substring_index(name, ".", -3)).otherwise(two)
+
+    def of(name: Column) -> Column:
+        two = F.substring_index(name, ".", -2)
+        return F.when(two == name, name).when(two.isin(PLATFORM_ROOTS), name).when(two.isin(TWO_PART_SUFFIXES), F.substring_index(name, ".", -3)).otherwise(two)
+
+    return bind(without_www(h), of)
 
 
 def classify(url_or_domain: Column) -> Column:
     """struct<allowed, reason>: whether a site may be a source."""
+
+    def judged(name: Column, root: Column) -> Column:
+        blocked_root, blocked_name = root.isin(BLOCKED_DOMAINS), name.isin(BLOCKED_DOMAINS)
+        blocked = (blocked_root | blocked_name) & (~root.isin(PLATFORM_ROOTS) | (name == root) | blocked_name)
+        reason = F.when((name == "") | ~name.contains("."), "not a domain")
+        for tld in BLOCKED_TLDS:
+            reason = reason.when(name.endswith(tld), f"blocked tld {tld}")
+        return reason.when(blocked, "blocked domain").otherwise("")
+
     name = without_www(F.coalesce(host(url_or_domain), F.lower(F.trim(url_or_domain))))
-    root = root_domain(name)
-    blocked_root, blocked_name = root.isin(BLOCKED_DOMAINS), name.isin(BLOCKED_DOMAINS)
-    blocked = (blocked_root | blocked_name) & (~root.isin(PLATFORM_ROOTS) | (name == root) | blocked_name)
-    reason = F.when((name == "") | ~name.contains("."), "not a domain")
-    for tld in BLOCKED_TLDS:
-        reason = reason.when(name.endswith(tld), f"blocked tld {tld}")
-    reason = reason.when(blocked, "blocked domain").otherwise("")
-    return F.struct((reason == "").alias("allowed"), reason.alias("reason"))
+    reason = bind(name, lambda n: bind(F.struct(n.alias("n"), root_domain(n).alias("r")), lambda x: judged(x["n"], x["r"])))
+    return bind(reason, lambda r: F.struct((r == "").alias("allowed"), r.alias("reason")))
 
 
 def is_article_path(url: Column) -> Column:
     """An http(s) URL with a path that is no file and no list page."""
-    where = F.lower(path(url))
-    files = F.lit(False)
-    for end in NON_ARTICLE_EXTENSIONS:
-        files = files | where.endswith(end)
-    return F.coalesce(F.lower(_part(url, 1)).isin("http", "https") & (_part(url, 2) != "") & (where != "/") & ~files & ~where.rlike(LIST_PATHS), F.lit(False))
+    files = "(" + "|".join(x.replace(".", r"\.") for x in NON_ARTICLE_EXTENSIONS) + ")$"
+    fits = bind(F.lower(path(url)), lambda where: (where != "/") & ~where.rlike(files) & ~where.rlike(LIST_PATHS))
+    return F.coalesce(F.lower(_part(url, 1)).isin("http", "https") & (_part(url, 2) != "") & fits, F.lit(False))
 
 
 def strip_tracking(url: Column) -> Column:
