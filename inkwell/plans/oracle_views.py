@@ -62,4 +62,6 @@ def with_views(query: str, *names: str) -> str:
 
     for name in names:
         add(name)
+    if not order:
+        return query
     return "WITH " + ",\n".join(VIEWS[n] for n in order) + (",\n" if query.lstrip().startswith("--+") else "\n") + query.replace("--+", "", 1)
