@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from inkwell.plans import discovery, ranking, reports, state, streams, text  # noqa: F401  they register their queries
+from inkwell.plans import discovery, pages, ranking, reports, state, streams, text  # noqa: F401  they register their queries
 from inkwell.plans.registry import ORACLES, QUERIES
 
 
