@@ -22,7 +22,7 @@ def _feed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         return x
 
     i = F.col("id")
-    item = F.concat(F.lit("<item><link>"), "url", F.lit("?utm_source=feed</link><title>"), escaped(F.col("title")), F.lit("</title><dc:creator>"), F.col("author_key"), F.lit("</dc:creator><pubDate>"), F.date_format(F.timestamp_millis("fetched_at"), "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit("</pubDate></item>"))
+    item = F.concat(F.lit("<item><link>"), "url", F.lit("?utm_source=feed</link><title>"), escaped(F.col("title")), F.lit("</title><dc:creator>"), F.col("author_key"), F.lit("</dc:creator><pubDate>"), F.date_format(F.expr("timestamp_ntz'1970-01-01 00:00:00'") + F.make_dt_interval(secs=F.col("fetched_at") / 1000), "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit("</pubDate></item>"))
     rows = views.articles(spark, sf_dir).select(F.floor(i / 20).alias("feed_id"), F.struct(i.alias("k"), item.alias("x")).alias("s"))
     body = F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["x"]), "")
     head = '<?xml version="1.0"?><rss xmlns:dc="http://purl.org/dc/elements/1.1/"><channel><title>Feed &amp; more</title><link>https://feed.example</link>'
@@ -89,7 +89,7 @@ best AS (SELECT domain, count, sample_url, coalesce(told, first_topic) AS topic,
 def _pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     i, name = F.col("event_id"), F.concat(F.lit("site-"), (F.col("user_id") * 7 % 90).cast("string"), F.lit(".example"))
     url = F.concat(F.lit("https://www."), name, F.lit("/blog/"), i.cast("string"))
-    rows = views.table(spark, sf_dir, "events").where("event_type = 'click'").select((i % 60).alias("batch"), i.alias("position"), url.alias("url"), views.pick(["technology", "economics", "math"], i).alias("topic"), views.pick(["outbound", "hn", "outbound", "aggregator", "outbound", "outbound"], i % 60).alias("origin"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at"))
+    rows = views.table(spark, sf_dir, "events").where("event_type = 'click'").select((i % 60).alias("batch"), i.alias("position"), url.alias("url"), views.pick(["technology", "economics", "math"], i).alias("topic"), views.pick(["outbound", "hn", "outbound", "aggregator", "outbound", "outbound"], i % 60).alias("origin"), views.epoch_ms(F.col("ts")).alias("at"))
     rows = rows.withColumn("c", urls.candidate(F.col("url"))).select("*", "c.site_url", "c.domain")
     return fairness.fold_candidates(rows, 30, 60)
 

@@ -13,7 +13,7 @@ from inkwell.sources import views
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.table(spark, sf_dir, "events").withColumn("at", F.unix_millis(F.col("ts").cast("timestamp")))
+    return views.table(spark, sf_dir, "events").withColumn("at", views.epoch_ms(F.col("ts")))
 
 
 @query("""WITH l AS (SELECT substr(d.source, 4, 9)::BIGINT AS source_id, d.doc_id, 0.45::DOUBLE + (d.doc_id % 40) / 100.0::DOUBLE - 0.3::DOUBLE * (1 - quality) AS quality FROM labels x JOIN documents d ON d.doc_id = x.doc_id),

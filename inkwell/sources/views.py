@@ -18,6 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def epoch_ms(at: Column) -> Column:
+    """Milliseconds since 1970 of a timestamp without a time zone, whatever the session's."""
+    return F.timestamp_diff("MILLISECOND", F.expr("timestamp_ntz'1970-01-01 00:00:00'"), at)
+
+
 def pick(values: list[str], k: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, values)), (k % len(values) + 1).cast("int"))
 
@@ -75,7 +80,7 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Views and clicks as (author_key, domain, article_id, at)."""
-    ms = F.unix_millis(F.col("ts").cast("timestamp"))
+    ms = epoch_ms(F.col("ts"))
     return table(spark, sf_dir, "events").where(F.col("event_type").isin("view", "click")).select(
         "event_id", F.concat(F.lit("author-"), F.col("user_id").cast("string")).alias("author_key"), F.concat(F.lit("publication-"), (F.col("event_id") % 10).cast("string"), F.lit(".example")).alias("domain"), (F.col("event_id") % 500).alias("article_id"), ms.alias("at")
     )

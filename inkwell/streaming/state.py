@@ -14,11 +14,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
+from inkwell.sources.views import epoch_ms
+
 
 def event_stream(spark: SparkSession, folder: str, schema: StructType, files_a_batch: int = 16) -> DataFrame:
     """Events of the Parquet files of a folder as they come; `at` in epoch milliseconds, `ts` with a time zone."""
     raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).parquet(folder)
-    return raw.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("at", F.unix_millis("ts"))
+    return raw.withColumn("at", epoch_ms(F.col("ts"))).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def reads_of(events: DataFrame) -> DataFrame:
