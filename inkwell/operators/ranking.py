@@ -52,22 +52,28 @@ def ranking_key(s: Settings) -> Column:
     return F.round(out, 9)
 
 
-def ranked(articles: DataFrame, sources: DataFrame, muted: DataFrame, s: Settings) -> DataFrame:
-    """Eligible articles with ranking_key and their ranks within voice and within domain.
-
-    A prolific voice or domain may hold much of the rows, and its window would be one task's; `best` ranks only its
-    top rows where the caller needs no more.
-    """
+def weighed(articles: DataFrame, sources: DataFrame, muted: DataFrame, s: Settings) -> DataFrame:
+    """Eligible articles with their feed's name and origin and their ranking_key."""
     feeds = sources.select(F.col("id").alias("source_id"), F.col("name").alias("source_name"), F.col("origin").alias("source_origin"))
-    rows = servable(articles, muted, s).join(feeds, "source_id", "left").withColumn("ranking_key", ranking_key(s))
-    order = [F.col("ranking_key").desc(), F.col("id")]
-    rows = rows.withColumn("rank_in_voice", F.row_number().over(Window.partitionBy("voice").orderBy(*order)))
-    return rows.withColumn("rank_in_domain", F.row_number().over(Window.partitionBy("domain").orderBy(*order)))
+    return servable(articles, muted, s).join(feeds, "source_id", "left").withColumn("ranking_key", ranking_key(s))
 
 
-def round_robin(rows: DataFrame, limit: int) -> DataFrame:
-    """The best article of every identity first, then every identity's second, and so on."""
-    return rows.orderBy(F.greatest("rank_in_voice", "rank_in_domain"), F.col("ranking_key").desc(), "id").limit(limit)
+def round_robin(rows: DataFrame, limit: int, *by: str) -> DataFrame:
+    """The best article of every identity first, then every identity's second, and so on; `limit` rows, per group of by.
+
+    Adds rank_in_voice, rank_in_domain and position. The first `limit` rows all have both ranks within the limit: as many
+    rows with higher keys have lower ranks. So each ranking is cut at the limit by itself, which happens before its
+    shuffle, and a voice or domain with a third of all rows sends a task no more than its best; the two meet by id.
+    """
+    best = [F.col("ranking_key").desc(), F.col("id")]
+    in_voice = rows.withColumn("rank_in_voice", F.row_number().over(Window.partitionBy(*by, "voice").orderBy(*best))).where(F.col("rank_in_voice") <= limit)
+    in_domain = rows.select("id", *by, F.row_number().over(Window.partitionBy(*by, "domain").orderBy(*best)).alias("rank_in_domain")).where(F.col("rank_in_domain") <= limit)
+    both = in_voice.join(in_domain, ["id", *by])
+    order = [F.greatest("rank_in_voice", "rank_in_domain"), *best]
+    if by:
+        return both.withColumn("position", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("position") <= limit)
+    top = both.orderBy(*order).limit(limit)
+    return top.withColumn("position", F.row_number().over(Window.orderBy(*order)))
 
 
 def exposures(reads: DataFrame) -> DataFrame:
@@ -122,10 +128,5 @@ def topic_rescue(rows: DataFrame, pool: DataFrame, s: Settings) -> DataFrame:
     share, size = window // len(s.topics), window * 10
     have = pool.groupBy("topic").agg(F.count("*").alias("have"))
     wanted = rows.sparkSession.createDataFrame([(t,) for t in s.topics], "topic string").join(have, "topic", "left").where(F.coalesce("have", F.lit(0)) < share).select("topic")
-    order = [F.greatest("rank_in_voice", "rank_in_domain"), F.col("ranking_key").desc(), F.col("id")]
-    best = [F.col("ranking_key").desc(), F.col("id")]
-    short = rows.join(wanted, "topic", "left_semi")
-    for key, name in (("voice", "rank_in_voice"), ("domain", "rank_in_domain")):
-        short = short.withColumn(name, F.row_number().over(Window.partitionBy("topic", key).orderBy(*best)))
-    short = short.withColumn("_n", F.row_number().over(Window.partitionBy("topic").orderBy(*order))).where(F.col("_n") <= size).drop("_n")
-    return pool.unionByName(short.join(pool.select("id"), "id", "left_anti"))
+    own = round_robin(rows.join(wanted, "topic", "left_semi"), size, "topic").select(pool.columns)
+    return pool.unionByName(own.join(pool.select("id"), "id", "left_anti"))

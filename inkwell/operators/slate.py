@@ -11,11 +11,11 @@ from collections import Counter, deque
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.functions.basics import clamp, uniform
-from inkwell.operators.ranking import Settings
+from inkwell.operators.ranking import Settings, round_robin
 from inkwell.sources.views import DAY
 
 # Penalties of a card's tier, spacing in cards, cost of repeats.
@@ -297,12 +297,9 @@ def diverse_slates(rows: DataFrame, limit: int, topics: list[str], settings: Set
     age = F.greatest((F.lit(settings.now) - F.col("effective")) / float(DAY), F.lit(-30.0))
     boost = F.when(F.col("source_origin").isNull() | (F.col("source_origin") != settings.seed_origin), settings.discovery_boost).otherwise(1.0)
     key = F.greatest("quality", F.lit(0.05)) * (0.35 + 0.65 * F.col("topic_relevance")) * F.pow(F.lit(0.5), age / settings.half_life_days) * (0.75 + 0.5 * clamp(F.col("score"))) * boost
-    rows = rows.withColumn("key", F.round(key * uniform(F.concat(F.lit(settings.seed), F.lit("/"), F.col("session_id").cast("string")), F.col("id")), 9))
-    order = [F.col("key").desc(), F.col("id")]
-    for name, by in (("in_voice", "voice"), ("in_domain", "domain")):
-        rows = rows.withColumn(name, F.row_number().over(Window.partitionBy("session_id", by).orderBy(*order)))
-    place = F.row_number().over(Window.partitionBy("session_id").orderBy(F.greatest("in_voice", "in_domain"), *order))
-    pool = rows.withColumn("place", place).where(F.col("place") <= 10 * limit).select("session_id", "place", "cost", "id", "topic", "domain", "author_key", "cluster")
+    drawn = F.round(key * uniform(F.concat(F.lit(settings.seed), F.lit("/"), F.col("session_id").cast("string")), F.col("id")), 9)
+    pool = round_robin(rows.withColumn("ranking_key", drawn), 10 * limit, "session_id")
+    pool = pool.select("session_id", F.col("position").alias("place"), "cost", "id", "topic", "domain", "author_key", "cluster")
 
     def build(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["cost", "place"])

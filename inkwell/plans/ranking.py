@@ -33,8 +33,8 @@ def _cost(kind: str, weight: float, half: float, history: float) -> str:
 _EXPOSED = _EXPOSED.format(alone=_cost("domain", 100, 45, 2), author=_cost("author", 100, 45, 2), domain=_cost("domain", 25, 21, 0.5))
 
 
-def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranking.ranked(views.articles(spark, sf_dir), views.sources(spark, sf_dir), views.muted(spark, sf_dir), S)
+def _weighed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.weighed(views.articles(spark, sf_dir), views.sources(spark, sf_dir), views.muted(spark, sf_dir), S)
 
 
 @query(with_views("SELECT t.topic, count(e.id)::BIGINT AS eligible FROM (SELECT unnest(['technology', 'economics', 'math']) AS topic) t LEFT JOIN eligible e ON e.topic = t.topic GROUP BY t.topic", "eligible"))
@@ -48,7 +48,7 @@ def eligible_count_by_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(with_views("SELECT id, topic, domain, author_key, voice, source_name, source_origin, ranking_key, rank_in_voice, rank_in_domain FROM ranked ORDER BY greatest(rank_in_voice, rank_in_domain), ranking_key DESC, id LIMIT 360", "ranked"))
 def weighted_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The candidate pool of a reader: the flagship plan."""
-    return ranking.round_robin(_ranked(spark, sf_dir), 360).select("id", "topic", "domain", "author_key", "voice", "source_name", "source_origin", "ranking_key", "rank_in_voice", "rank_in_domain")
+    return ranking.round_robin(_weighed(spark, sf_dir), 360).select("id", "topic", "domain", "author_key", "voice", "source_name", "source_origin", "ranking_key", "rank_in_voice", "rank_in_domain")
 
 
 @query(with_views("""--+ a AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY ranking_key DESC, id) AS n FROM ranked),
@@ -57,7 +57,7 @@ c AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY ranking_key DESC,
 SELECT id, topic, domain, voice, ranking_key FROM c WHERE o <= 30""", "ranked"))
 def legacy_sampler(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The older sampler: three a domain, three a voice, thirty a topic."""
-    return ranking.legacy_sample(_ranked(spark, sf_dir)).select("id", "topic", "domain", "voice", "ranking_key")
+    return ranking.legacy_sample(_weighed(spark, sf_dir)).select("id", "topic", "domain", "voice", "ranking_key")
 
 
 @query(with_views("""--+ pool AS (SELECT * FROM ranked ORDER BY greatest(rank_in_voice, rank_in_domain), ranking_key DESC, id LIMIT 40),
@@ -67,7 +67,7 @@ own2 AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY greatest(v, d)
 SELECT id, topic, ranking_key FROM pool UNION ALL SELECT id, topic, ranking_key FROM own2 WHERE n <= 360 AND id NOT IN (SELECT id FROM pool)""", "ranked"))
 def topic_rescue_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A pool of 40 with what it lacks of each topic's share."""
-    rows = _ranked(spark, sf_dir)
+    rows = _weighed(spark, sf_dir)
     return ranking.topic_rescue(rows, ranking.round_robin(rows, 40), S).select("id", "topic", "ranking_key")
 
 
@@ -80,13 +80,12 @@ def exposure_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(with_views(_EXPOSED + "SELECT id, author_count, domain_count, cost FROM costed", "ranked", "exposures"))
 def exposure_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cool-down cost of every eligible article."""
-    rows = ranking.with_exposure(_ranked(spark, sf_dir), ranking.exposures(views.reads(spark, sf_dir)))
+    rows = ranking.with_exposure(_weighed(spark, sf_dir), ranking.exposures(views.reads(spark, sf_dir)))
     return rows.select("id", "author_count", "domain_count", ranking.exposure_cost().alias("cost"))
 
 
 def _pool(spark: SparkSession, sf_dir: str, limit: int = 360) -> DataFrame:
-    rows = ranking.round_robin(_ranked(spark, sf_dir), limit)
-    return rows.withColumn("position", F.row_number().over(Window.orderBy(F.greatest("rank_in_voice", "rank_in_domain"), F.col("ranking_key").desc(), "id")))
+    return ranking.round_robin(_weighed(spark, sf_dir), limit)
 
 
 @query(with_views(_EXPOSED + """, pool AS (SELECT *, row_number() OVER (ORDER BY greatest(rank_in_voice, rank_in_domain), ranking_key DESC, id) AS position FROM costed QUALIFY position <= 360)
