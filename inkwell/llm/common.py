@@ -52,6 +52,17 @@ def release(*frames: DataFrame) -> None:
         fs.delete(path, True)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores in front as long as df has a column of that name."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def n_words(text: Column) -> Column:
     """Words of a text as long; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -1,16 +1,15 @@
 """Line dedup by winnowing over line hashes, in DataFrame operations only.
 
-What goes: a passage is the shortest run of lines, from some line on, that has min_words words. A line goes if it lies
-in a passage that also starts at an earlier place (by document id, then line), or if it follows such a passage and the
-lines in between and itself equal those at the passage's first place (a match is extended to the right; to the left it
-is extended by the passages that start there, which are matches themselves). First places stay, so one copy of
-everything is left. Lines are compared without ASCII white space at their ends; lines without a word neither count nor
-break a run, and go if they lie inside one.
-
-How it is found: the hash of the shortest run with min_words / 2 words from a line on is the line's gram. In the window
-of grams that start within the next min_words / 2 words the least is that line's fingerprint. Gram and window lie
-inside the passage, so equal passages have equal fingerprints, and only lines whose fingerprint is that of two places
-or more are joined by passage and extended; the others cannot be repeated.
+What goes: every line that lies in a run of lines with min_words words or more that also starts at an earlier place (by
+document id, then line). So the first copy of everything stays, and nothing shorter goes. Lines are compared without
+ASCII white space at their ends; lines without a word neither count nor break a run, and go if they lie inside one.
+
+How it is found: a passage is the shortest run, from some line on, that has min_words words. The hash of the shortest
+run with min_words / 2 words from a line on is the line's gram. In the window of grams that start within the next
+min_words / 2 words the least is that line's fingerprint. Gram and window lie inside the passage, so equal passages have
+equal fingerprints, and only lines whose fingerprint is that of two places or more are joined; the others cannot be
+repeated. A match is extended to the left by the passages that start there, and to the right line by line up to the end
+of the passage that starts a line later: each of these longer runs is looked up among all places, too.
 """
 
 from __future__ import annotations
@@ -18,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import WORD, cut, release
+from inkwell.llm.common import WORD, cut, release, unused
 
 _EDGES = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
 _NO_ID = "_no_id"
@@ -37,20 +36,25 @@ def repeated_lines(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id",
     end = F.col("start") + F.col("n")
     lines = lines.withColumn("gram", F.when(F.max(end).over(near) - F.col("start") >= half, F.xxhash64(F.collect_list("h").over(near))))
     lines = lines.withColumn("low", F.min(F.when(F.col("gram").isNotNull(), F.struct("gram", "pos"))).over(near)).withColumn("full", F.max(end).over(far) - F.col("start") >= min_words).withColumn("run", F.collect_list("h").over(far))
-    lines = lines.withColumn("after", F.lead("run").over(in_doc)).withColumn("follow", F.collect_list("pos").over(far)).withColumn("next", F.lead("follow").over(in_doc)).withColumn("fresh", F.coalesce(F.col("low") != F.lag("low").over(in_doc), F.lit(True)))
-    starts = cut(lines.where("full").select("doc", "pos", F.col("low.gram").alias("mark"), "fresh", F.xxhash64("run").alias("passage"), F.element_at("follow", -1).alias("last"), F.size("run").alias("len"), F.coalesce(F.slice("after", F.size("run"), F.greatest(F.size("after"), F.lit(0))), F.array().cast("array<bigint>")).alias("tail"), F.coalesce(F.slice("next", F.size("run"), F.greatest(F.size("next"), F.lit(0))), F.array().cast("array<int>")).alias("tail_pos")))
+    lines = lines.withColumn("after", F.lead("run").over(in_doc)).withColumn("at", F.collect_list("pos").over(far)).withColumn("at_after", F.lead("at").over(in_doc)).withColumn("fresh", F.coalesce(F.col("low") != F.lag("low").over(in_doc), F.lit(True)))
+
+    def on(own: str, later: str, kind: str):
+        """A passage's array and what the passage a line later has beyond it."""
+        return F.concat(own, F.coalesce(F.slice(later, F.size(own), F.size(later)), F.array().cast(f"array<{kind}>")))
+
+    starts = cut(lines.where("full").select("doc", "pos", F.col("low.gram").alias("mark"), "fresh", F.size("run").alias("len"), on("run", "after", "bigint").alias("run"), on("at", "at_after", "int").alias("at")))
     marks = starts.groupBy("mark").agg(F.sum(F.col("fresh").cast("int")).alias("places")).where("places > 1").select("mark")
-    seeds = starts.join(marks, "mark", "left_semi").select("doc", "pos", "passage", "last", "len", "tail", "tail_pos")
-    firsts = seeds.groupBy("passage", "len").agg(F.min(F.struct("doc", "pos", "tail")).alias("a"), F.count("*").alias("k")).where("k > 1").drop("k")
-    later = seeds.join(firsts, ["passage", "len"]).where(F.struct("doc", "pos") > F.struct("a.doc", "a.pos"))
-    same = F.array_position(F.zip_with("tail", "a.tail", lambda x, y: F.coalesce(x == y, F.lit(False))), False)
-    common = F.when(same > 0, same - 1).otherwise(F.least(F.size("tail"), F.size("a.tail"))).cast("int")
-    spans = later.select("doc", F.col("pos").alias("first"), F.when(common > 0, F.element_at("tail_pos", F.when(common > 0, common).otherwise(1))).otherwise(F.col("last")).alias("last"))
+    seeds = starts.join(marks, "mark", "left_semi")
+    runs = F.transform(F.sequence("len", F.size("run")), lambda n: F.struct(n.alias("n"), F.xxhash64(F.slice("run", F.lit(1), n)).alias("key"), F.get("at", n - 1).alias("last")))
+    runs = cut(seeds.select("doc", "pos", F.inline(runs)))
+    firsts = cut(runs.groupBy("key", "n").agg(F.min(F.struct("doc", "pos")).alias("a"), F.count("*").alias("k")).where("k > 1").drop("k"))
+    later = runs.join(firsts, ["key", "n"]).where(F.struct("doc", "pos") > F.struct("a.doc", "a.pos"))
+    spans = later.select("doc", F.col("pos").alias("first"), "last")
     reach = F.max("last").over(_in_doc_by("first").rowsBetween(Window.unboundedPreceding, -1))
     islands = spans.groupBy("doc", "first").agg(F.max("last").alias("last")).withColumn("new", F.coalesce(F.col("first") > reach + 1, F.lit(True)).cast("int"))
     islands = islands.withColumn("island", F.sum("new").over(_in_doc_by("first").rowsBetween(Window.unboundedPreceding, 0)))
     out = cut(islands.groupBy("doc", "island").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("island"))
-    release(starts)
+    release(starts, runs, firsts)
     return out
 
 
@@ -66,24 +70,24 @@ def dedup_lines(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", te
     an id count as one document whose text is the first by hash; the others of them keep their texts. An empty table
     gives no rows. Ranges of a document are merged before they meet its text, whose lines are then cut in one pass.
     """
+    key, print_, cuts = unused(docs, "_doc", "_print", "_cuts")
     rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).where("doc is not null and text is not null")
-    same_row = docs[id_col] == F.col("doc")
-    if docs.groupBy(id_col).count().where(F.col("count") > 1).isEmpty():
-        spans = repeated_lines(rows, min_words, "doc", "text")
+    same_row = docs[id_col] == F.col(key)
+    if docs.groupBy(id_col).agg(F.count("*").alias("k")).where("k > 1").isEmpty():
+        spans = repeated_lines(rows, min_words, "doc", "text").withColumn(print_, F.lit(0))
     else:
-        first = rows.groupBy("doc").agg(F.min(F.xxhash64("text")).alias("_h"))
-        rows = rows.withColumn("_h", F.xxhash64("text")).join(first, ["doc", "_h"], "left_semi").select("doc", "text").distinct()
+        first = rows.groupBy("doc").agg(F.min(F.xxhash64("text")).alias(print_))
+        rows = rows.withColumn(print_, F.xxhash64("text")).join(first, ["doc", print_], "left_semi").select("doc", "text").distinct()
         spans = repeated_lines(rows, min_words, "doc", "text").join(first, "doc")
-        same_row = same_row & (F.xxhash64(docs[text_col]) == F.col("_h"))
-    keys = [c for c in spans.columns if c in ("doc", "_h")]
-    spans = spans.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("_cut"))
-    joined = docs.join(spans, same_row, "left").drop(*keys)
+        same_row = same_row & (F.xxhash64(docs[text_col]) == F.col(print_))
+    spans = spans.groupBy(F.col("doc").alias(key), print_).agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias(cuts))
+    joined = docs.join(spans, same_row, "left").drop(key, print_)
     lines = F.split(F.col(text_col), "\n")
     count = F.size(lines).cast("long")
-    starts = F.concat(F.array(F.lit(0)), F.transform("_cut", lambda x: x["last"] + 1))
-    ends = F.concat(F.transform("_cut", lambda x: x["first"]), F.array(F.size(lines)))
+    starts = F.concat(F.array(F.lit(0)), F.transform(cuts, lambda x: x["last"] + 1))
+    ends = F.concat(F.transform(cuts, lambda x: x["first"]), F.array(F.size(lines)))
     kept = F.flatten(F.zip_with(starts, ends, lambda a, b: F.slice(lines, a + 1, b - a)))
-    left = F.when(F.col("_cut").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    gone = F.coalesce(F.aggregate("_cut", F.lit(0).cast("long"), lambda s, x: s + x["last"] - x["first"] + 1), F.lit(0).cast("long"))
-    return joined.withColumn("n_lines", F.when(F.col(text_col).isNull(), 0).otherwise(count).cast("long")).withColumn("n_removed", gone).withColumn(text_col, left).drop("_cut")
+    left = F.when(F.col(cuts).isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
+    gone = F.coalesce(F.aggregate(cuts, F.lit(0).cast("long"), lambda s, x: s + x["last"] - x["first"] + 1), F.lit(0).cast("long"))
+    return joined.withColumn("n_lines", F.when(F.col(text_col).isNull(), 0).otherwise(count).cast("long")).withColumn("n_removed", gone).withColumn(text_col, left).drop(cuts)
 

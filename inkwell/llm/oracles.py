@@ -12,13 +12,11 @@ runs AS (
   FROM starts WINDOW w AS (PARTITION BY doc_id ORDER BY start RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING)),
 nexts AS (SELECT *, lead(run) OVER (PARTITION BY doc_id ORDER BY pos) AS next_run, lead(ats) OVER (PARTITION BY doc_id ORDER BY pos) AS next_at FROM runs),
 passages AS (
-  SELECT doc_id, pos, run, ats[-1] AS last, coalesce(next_run[len(run):], []) AS tail, coalesce(next_at[len(run):], []) AS tail_at
+  SELECT doc_id, pos, len(run) AS n, run || coalesce(next_run[len(run):], []) AS run, ats || coalesce(next_at[len(run):], []) AS ats
   FROM nexts WHERE complete),
-firsts AS (SELECT run, min((doc_id, pos)) AS place, arg_min(tail, (doc_id, pos)) AS first_tail FROM passages GROUP BY run HAVING count(*) > 1),
-later AS (
-  SELECT p.*, len(list_filter(range(1, least(len(p.tail), len(f.first_tail)) + 1), lambda k: p.tail[1:k] = f.first_tail[1:k])) AS same
-  FROM passages p JOIN firsts f ON p.run = f.run WHERE (p.doc_id, p.pos) > f.place),
-spans AS (SELECT doc_id, pos AS a, CASE WHEN same > 0 THEN tail_at[same] ELSE last END AS b FROM later),
+longer AS (SELECT doc_id, pos, run[1:k] AS run, ats[k] AS last FROM (SELECT *, unnest(range(n, len(run) + 1)) AS k FROM passages)),
+firsts AS (SELECT run, min((doc_id, pos)) AS place FROM longer GROUP BY run HAVING count(*) > 1),
+spans AS (SELECT l.doc_id, l.pos AS a, max(l.last) AS b FROM longer l JOIN firsts f ON l.run = f.run WHERE (l.doc_id, l.pos) > f.place GROUP BY l.doc_id, l.pos),
 gone AS (SELECT DISTINCT doc_id, unnest(range(a, b + 1)) AS pos FROM spans),
 left_over AS (
   SELECT r.doc_id, string_agg(r.line, chr(10) ORDER BY r.pos) AS text FROM raw r
