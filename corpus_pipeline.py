@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import cut, n_words
+from inkwell.llm.common import cut, n_words, unused
 from inkwell.llm.linededup import dedup_lines
 from inkwell.llm.mixing import mix_sources
 from inkwell.llm.quality import keep_good
@@ -37,11 +37,12 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes its words, rounded half up: 0, 1 or 2 rows."""
+    id_, n, copy = unused(docs, "_id", "_times", "_copy")
     shares = mix_sources(docs).groupBy("doc_id").agg(F.sum("taken").alias("_taken"), F.sum("size").alias("_size"))
     times = F.floor(F.col("_taken") / F.when(F.col("_size") > 0, F.col("_size")) + 0.5).cast("int")
-    shares = shares.select(F.col("doc_id").alias("_id"), times.alias("_times")).where("_times > 0")
-    taken = docs.join(shares, docs["doc_id"].eqNullSafe(F.col("_id")))
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(docs.columns)
+    shares = shares.select(F.col("doc_id").alias(id_), times.alias(n)).where(F.col(n) > 0)
+    taken = docs.join(shares, docs["doc_id"].eqNullSafe(F.col(id_)))
+    return taken.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n)))).select(docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

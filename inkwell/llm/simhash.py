@@ -20,10 +20,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import connected_components, cut, local_roots, whole_groups
+from inkwell.llm.common import connected_components, cut, local_roots, unused, whole_groups
 
 #: Bits of the blocks that the first groups share two of.
 BLOCKS = [(0, 13), (13, 13), (26, 13), (39, 13), (52, 12)]
@@ -172,11 +172,10 @@ def one_of_each(docs: DataFrame, **settings) -> DataFrame:
     Of rows that share that id one stays, the first by its text's hash. Rows without an id stay all: they cannot be
     told apart, and a clean one must not go.
     """
-    heads = near_duplicates(docs, **settings).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(heads, "doc_id", "left_semi")
-    if not docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").isEmpty():
-        from pyspark.sql import Window
-
+    head, n = unused(docs, "_head", "_n")
+    heads = near_duplicates(docs, **settings).where("doc_id = component_id").select(F.col("doc_id").alias(head)).distinct()
+    kept = docs.join(heads, docs["doc_id"] == F.col(head), "left_semi")
+    if not docs.groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1 and doc_id is not null").isEmpty():
         first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-        kept = kept.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+        kept = kept.withColumn(n, F.row_number().over(first)).where(F.col(n) == 1).drop(n)
     return kept.union(docs.where("doc_id is null"))
