@@ -151,3 +151,30 @@ def attribution(author: Column, site: Column) -> Column:
         return F.when(name == "", F.struct(place.alias("primary"), F.lit("").alias("secondary"), F.lit(False).alias("has_author"))).otherwise(known)
 
     return bind(clean_author(author), told)
+
+
+def summary_words(html: Column) -> Column:
+    """Words of a feed summary's head."""
+    return F.regexp_count(F.regexp_replace(F.substring(html, 1, 100000), "<[^>]*>", " "), F.lit(r"\S+"))
+
+
+def first_paragraph(html: Column) -> Column:
+    """Up to 300 characters of a feed summary's text."""
+
+    def cut(x: Column) -> Column:
+        return F.when(F.length(x) <= 300, x).otherwise(F.concat(F.regexp_replace(F.substring(x, 1, 297), r"\s\S*$", ""), F.lit("…")))
+
+    head = F.regexp_replace(F.regexp_replace(F.substring(html, 1, 4000), "<[^>]*>", " "), "(?i)&[a-z#0-9]+;", " ")
+    return bind(compact(head), cut)
+
+
+def list_author(raw: Column) -> Column:
+    """A byline of an aggregator's list: the name behind an address, nothing for a question mark."""
+    mail = r"(?i)^[^\s]+@[^\s]+\s*\(([^)]+)\)$"
+    return bind(compact(F.regexp_replace(raw, "<[^>]*>", " ")), lambda a: F.when((a == "") | (a == "?"), "").when(a.rlike(mail), F.trim(F.regexp_extract(a, mail, 1))).otherwise(a))
+
+
+def site_name(origin: Column, host: Column, feed_title: Column, name: Column) -> Column:
+    """What a feed entry's publication is called: an aggregator's entries go by their host."""
+    by_host = (origin == "aggregator") & host.isNotNull()
+    return F.when(by_host, F.regexp_replace(host, r"^www\.", "")).otherwise(F.coalesce(F.when(feed_title != "", feed_title), name))

@@ -139,3 +139,52 @@ def stories(documents: DataFrame, json_col: str = "json", order: str = "batch")
     rows = valid.select(order, "i", F.substring_index("h.url", "#", 1).alias("url"), F.trim("h.title").alias("title"), F.coalesce(seconds, F.unix_millis(F.try_to_timestamp("h.created_at"))).alias("published_at"), whole(F.col("h.points")).alias("points"), whole(F.col("h.num_comments")).alias("comments"), F.coalesce(F.array_contains("h._tags", "front_page"), F.lit(False)).alias("is_front_page"))
     first = rows.withColumn("_n", F.row_number().over(Window.partitionBy("url").orderBy(order, "i"))).where("_n = 1").drop("_n")
     return first.withColumn("position", F.col(order).cast("long") * 1_000_000 + F.col("i")).drop(order, "i")
+
+
+def alternate_links(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """(id, position, href) of a page's links to feeds of its own, as they stand in the page, each once."""
+    links = pages.select(id_col, F.posexplode(F.regexp_extract_all(html_col, F.lit(r"(?i)<link\b[^>]*>"), F.lit(0))).alias("position", "tag"))
+    kind = F.col("tag").rlike(r"(?i)\btype=[\"']application/(rss|atom)\+xml") | F.col("tag").rlike(r"(?i)\btype=[\"']text/xml")
+    found = links.where(F.col("tag").rlike(r"(?i)\brel=[\"']?alternate") & kind)
+    href = texts.decode_entities(F.regexp_extract("tag", r"(?i)\bhref=[\"']([^\"']+)[\"']", 1), ampersand_first=True)
+    return found.select(id_col, "position", href.alias("href")).where("href <> ''").groupBy(id_col, "href").agg(F.min("position").alias("position"))
+
+
+# Hosts of the forum whose links lead elsewhere.
+FORUM_HOSTS, FORUM_ENDS = ["reddit.com", "redd.it"], ["redditmedia.com", "redditstatic.com"]
+
+
+def is_forum(host: Column) -> Column:
+    name = urls.without_www(F.lower(host))
+    out = name.isin(FORUM_HOSTS)
+    for h in FORUM_HOSTS:
+        out = out | name.endswith(f".{h}")
+    for h in FORUM_ENDS:
+        out = out | name.endswith(h)
+    return out
+
+
+def forum_stories(entries_: DataFrame, limit: int = 24) -> DataFrame:
+    """(feed_id, slot, url, domain, title): of each entry the first article link to a domain no entry before took.
+
+    entries_: (feed_id, position, title, summary). Links are found and judged in columns; the choice, which depends on
+    those before it, walks a feed's entries, and a feed is one document.
+    """
+    import pandas as pd
+
+    links = entries_.where(F.trim("title") != "").select("feed_id", "position", F.trim("title").alias("title"), F.posexplode(F.regexp_extract_all("summary", F.lit(r"(?i)href=[\"']([^\"']+)[\"']"), F.lit(1))).alias("n", "href"))
+    links = links.withColumn("url", F.substring_index(F.replace("href", F.lit("&amp;"), F.lit("&")), "#", 1))
+    host = urls.host(F.col("url"))
+    fit = links.where(urls.is_article_path(F.col("url")) & ~is_forum(host)).withColumn("domain", urls.root_domain(host)).select("feed_id", "position", "n", "title", "url", "domain")
+
+    def choose(rows: pd.DataFrame) -> pd.DataFrame:
+        seen: set[str] = set()
+        out = []
+        for _, entry in rows.sort_values(["position", "n"]).groupby("position", sort=True):
+            pick = next((r for r in entry.itertuples() if r.domain not in seen), None)
+            if pick is not None and len(out) < limit:
+                seen.add(pick.domain)
+                out.append((pick.feed_id, len(out) + 1, pick.url, pick.domain, pick.title))
+        return pd.DataFrame(out, columns=["feed_id", "slot", "url", "domain", "title"])
+
+    return fit.groupBy("feed_id").applyInPandas(choose, "feed_id long, slot long, url string, domain string, title string")
