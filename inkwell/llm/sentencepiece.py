@@ -16,14 +16,16 @@ import zlib
 from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
-from itertools import chain
+from itertools import chain, pairwise, repeat
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-_KEPT = 1 << 18
+#: Words a worker remembers, characters of texts it takes together, words it segments together.
+_KEPT, _CHARS, _ROWS = 1 << 18, 1 << 21, 1 << 13
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, int | float | bytes]]:
@@ -136,6 +138,8 @@ class Model:
         ids = [found[k] for k in keys]
         self.value = array("i", [ids[v] if v >= 0 else -1 for v in value])
         self.scores = [s for _, s, _ in self.pieces]
+        pad = array("i", [-1] * 258)
+        self.arrays = *(np.array(x + pad, np.int32) for x in (self.base, self.check, self.value)), np.array([*self.scores, 0.0])
         spoken = [(p, s) for p, s, kind in self.pieces if kind in (NORMAL, USER)]
         self.missing = min((s for _, s in spoken), default=0.0) - 10.0
         self.unknown = next((i for i, x in enumerate(self.pieces) if x[2] == UNKNOWN), 0)
@@ -144,7 +148,7 @@ class Model:
         by_word = not any(MARK in p.lstrip(MARK) for p, _ in spoken)
         alone = not any("\n" in p and p != "\n" for p, _ in spoken)
         self.split = re.compile((r" +[^ \n]*|[^ \n]+|\n" if alone else r" +[^ ]*|[^ ]+") if by_word else r"(?s).+").findall
-        self.known: dict[str, tuple[int, ...]] = {}
+        self._forget()
 
     def best(self, text: str) -> list[int]:
         """Ids of the best segmentation of a text that has markers for spaces; of equal ones that with the earlier split."""
@@ -187,20 +191,124 @@ class Model:
             at = start
         return found[::-1]
 
-    def _word(self, word: str) -> tuple[int, ...]:
-        ids = tuple(self.best(word.replace(" ", MARK)))
-        if len(word) <= 48:
-            if len(self.known) >= _KEPT:
-                self.known.clear()
-            self.known[word] = ids
-        return ids
+    def best_of_many(self, words: list[str]) -> list[list[int] | None]:
+        """best() of many words at once: the same search with all words' states in arrays. None: needs best()."""
+        raws = [w.replace(" ", MARK).encode("utf-8", "replace") for w in words]
+        found: list[list[int] | None] = [None] * len(words)
+        order = np.argsort(np.fromiter(map(len, raws), np.int64, len(raws)), kind="stable").tolist()
+        for a in range(0, len(order), _ROWS):
+            rows = order[a : a + _ROWS]
+            for i, ids in zip(rows, self._search([raws[i] for i in rows]), strict=True):
+                found[i] = ids
+        return found
+
+    def _search(self, raws: list[bytes]) -> list[list[int] | None]:
+        """best() of texts in the order of their lengths; arrays go by place first, then by text."""
+        base, check, value, scores = self.arrays
+        longest, n = len(raws[-1]), len(raws)
+        size = np.fromiter(map(len, raws), np.int32, n)
+        text = np.frombuffer(b"".join(r.ljust(longest, b"\0") for r in raws), np.uint8).reshape(n, longest).T.astype(np.int32)
+        reach = [np.full(n, -np.inf) for _ in range(longest + 4)]
+        reach[0][:] = 0.0
+        start_of, piece_of = np.zeros((longest + 4, n), np.int32), np.full((longest + 4, n), -1, np.int32)
+        for at in range(longest):
+            lead = text[at]
+            here = np.flatnonzero((size > at) & (lead & 0xC0 != 0x80))
+            if not len(here):
+                continue
+            lead = lead[here]
+            width = np.where(lead < 0x80, 1, np.where(lead < 0xE0, 2, np.where(lead < 0xF0, 3, 4)))
+            bare, so_far = np.ones(len(here), bool), reach[at][here]
+            live, state = np.arange(len(here)), np.zeros(len(here), np.int32)
+            for k in range(at, longest):
+                to = base[state] + text[k][here[live]] + 1
+                goes = np.flatnonzero(check[to] == state)  # no piece has the byte 0 that fills up short texts
+                live, state = live[goes], to[goes]
+                if not len(live):
+                    break
+                piece = value[state]
+                ends = np.flatnonzero(piece >= 0)
+                if not len(ends):
+                    continue
+                on, piece = live[ends], piece[ends]
+                bare[on[width[on] == k + 1 - at]] = False
+                who, score = here[on], so_far[on] + scores[piece]
+                better = np.flatnonzero(score > reach[k + 1][who])
+                who = who[better]
+                reach[k + 1][who], start_of[k + 1][who], piece_of[k + 1][who] = score[better], at, piece[better]
+            for w in (1, 2, 3, 4):
+                on = np.flatnonzero(bare & (width == w))
+                score, who = so_far[on] + self.missing, here[on]
+                better = score > reach[at + w][who]
+                who = who[better]
+                reach[at + w][who], start_of[at + w][who], piece_of[at + w][who] = score[better], at, -1
+        steps, at, every, whole = [], size.copy(), np.arange(n), np.ones(n, bool)
+        while at.any():
+            piece = piece_of[at, every]
+            whole &= (at == 0) | (piece >= 0)
+            steps.append(np.where(at > 0, piece, -1))
+            at = np.where(at > 0, start_of[at, every], 0)
+        if not steps:
+            return [[] for _ in raws]
+        counts = np.sum([x >= 0 for x in steps], axis=0).tolist()
+        ids = np.stack(steps[::-1], axis=1).tolist()
+        return [x[len(x) - c :] if ok else None for x, c, ok in zip(ids, counts, whole.tolist(), strict=True)]
+
+    def _learn(self, words: list[str]) -> None:
+        """Give words a place in the store of remembered ids."""
+        known = self.best_of_many([w for w in words if len(w) <= 48])
+        short = iter(known)
+        for w in words:
+            ids = next(short) if len(w) <= 48 else None
+            if ids is None:
+                ids = self.best(w.replace(" ", MARK))
+            self.place[w] = len(self.ends)
+            self.stored.extend(ids)
+            self.ends.append(len(self.stored))
+
+    def encode_many(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in a row, where each text's begin and end); the words new among them are segmented together."""
+        flat, counts = [np.zeros(0, np.int32)], []
+        a = 0
+        while a < len(texts):
+            b, chars = a, 0
+            while b < len(texts) and chars < _CHARS:
+                chars += len(texts[b])
+                b += 1
+            words = [self.split(" " + t.replace(MARK, " ")) if t else [] for t in texts[a:b]]
+            joined = list(chain.from_iterable(words))
+            at = np.fromiter(map(self.place.get, joined, repeat(-1)), np.int64, len(joined))
+            missing = np.flatnonzero(at < 0)
+            if len(missing):
+                new = list(dict.fromkeys(joined[i] for i in missing.tolist()))
+                if len(self.place) + len(new) > _KEPT or len(self.stored) > 8 * _KEPT:
+                    self._forget()
+                    new, missing = list(dict.fromkeys(joined)), np.arange(len(joined))
+                self._learn(new)
+                at[missing] = np.fromiter((self.place[joined[i]] for i in missing.tolist()), np.int64, len(missing))
+                long = [w for w in new if len(w) > 48]
+            ends, stored = np.frombuffer(self.ends, np.int64), np.frombuffer(self.stored, np.int32)
+            first = ends[at - 1] * (at > 0)
+            size = ends[at] - first
+            upto = np.cumsum(size)
+            total = int(upto[-1]) if len(upto) else 0
+            flat.append(stored[np.repeat(first - (upto - size), size) + np.arange(total)] if total else np.zeros(0, np.int32))
+            by_text = np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int64)
+            counts.append(np.diff(np.concatenate([[0], upto])[by_text]))
+            if len(missing):
+                for w in long:  # words too long to be remembered
+                    del self.place[w]
+            del ends, stored  # the arrays can grow again
+            a = b
+        return np.concatenate(flat), np.concatenate([[0], np.cumsum(np.concatenate(counts) if counts else [])]).astype(np.int64)
+
+    def _forget(self) -> None:
+        self.place: dict[str, int] = {}
+        self.ends, self.stored = array("q"), array("i")
 
     def encode(self, text: str) -> array:
         """Ids of a text."""
-        if not text:
-            return array("i")
-        known = self.known.get
-        return array("i", chain.from_iterable([known(w) or self._word(w) for w in self.split(" " + text.replace(MARK, " "))]))
+        return array("i", self.encode_many([text])[0].tolist())
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text of ids; bytes that are no UTF-8 become U+FFFD."""
@@ -208,6 +316,8 @@ class Model:
         return text[1:] if text[:1] == " " else text
 
 
+#: Rows that are turned into ids together.
+_SLICE = 1000
 #: The models that this Python worker has built, with the words each remembers; a worker runs many tasks.
 _BUILT: dict[int, Model] = {}
 
@@ -234,20 +344,15 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _built(pieces)
-        is_byte = bytearray(len(pieces))
-        for i in model.bytes.values():
-            is_byte[i] = 1
-        for batch in batches:
-            flat, offsets, tokens, in_bytes, back = array("i"), [0], [], [], []
-            for x in batch.column(batch.num_columns - 1):
-                text = x.as_py()
-                ids = model.encode(text or "")
-                flat.extend(ids)
-                offsets.append(len(flat))
-                tokens.append(len(ids))
-                in_bytes.append(sum(map(is_byte.__getitem__, ids)))
-                back.append(None if text is None else model.decode(ids) == text)
-            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(memoryview(flat) if len(flat) else [], pa.int32()), mask=pa.array([b is None for b in back]))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists, pa.array(tokens, pa.int64()), pa.array(in_bytes, pa.int64()), pa.array(back, pa.bool_())], names)
+        is_byte = np.zeros(len(pieces), bool)
+        is_byte[list(model.bytes.values())] = True
+        for batch in (b.slice(i, _SLICE) for b in batches for i in range(0, b.num_rows, _SLICE)):
+            texts = batch.column(batch.num_columns - 1).to_pylist()
+            flat, ends = model.encode_many([t or "" for t in texts])
+            in_bytes = np.diff(np.concatenate([[0], np.cumsum(is_byte[flat])])[ends])
+            spans = ends.tolist()
+            back = [None if t is None else model.decode(flat[a:b].tolist()) == t for t, (a, b) in zip(texts, pairwise(spans), strict=True)]
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat), mask=pa.array([t is None for t in texts], pa.bool_()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists, pa.array(np.diff(ends)), pa.array(in_bytes), pa.array(back, pa.bool_())], names)
 
     return rows.mapInArrow(run, ", ".join([*kinds, "token_ids array<int>", "n_tokens long", "n_byte_tokens long", "round_trip boolean"]))
