@@ -75,7 +75,7 @@ def hn_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _stories(spark, sf_dir)
     fit = urls.classify(F.col("url"))["allowed"] & hn.is_readable(F.col("url"), F.col("title"))
     rows = rows.where(fit).withColumn("domain", urls.root_domain(urls.host(F.col("url")))).withColumn("playfulness", hn.playfulness(F.col("title"))).withColumn("selection_score", hn.selection_score(F.col("points"), F.col("title")))
-    return fairness.hn_lanes(rows, 12).select("url", "points", "playfulness", "lane", "slot")
+    return fairness.hn_lanes(rows, 12).select("url", "points", "playfulness", "lane", F.col("slot").cast("long").alias("slot"))
 
 
 _LINKS = """WITH links AS (SELECT event_id % 60 AS batch, event_id AS position, 'site-' || (user_id * 7 % 90) || '.example' AS domain, 'https://www.site-' || (user_id * 7 % 90) || '.example/blog/' || event_id AS url,

@@ -48,7 +48,7 @@ def eligible_count_by_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(with_views("SELECT id, topic, domain, author_key, voice, source_name, source_origin, ranking_key, rank_in_voice, rank_in_domain FROM ranked ORDER BY greatest(rank_in_voice, rank_in_domain), ranking_key DESC, id LIMIT 360", "ranked"))
 def weighted_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The candidate pool of a reader: the flagship plan."""
-    return ranking.round_robin(_weighed(spark, sf_dir), 360).select("id", "topic", "domain", "author_key", "voice", "source_name", "source_origin", "ranking_key", "rank_in_voice", "rank_in_domain")
+    return ranking.round_robin(_weighed(spark, sf_dir), 360).select("id", "topic", "domain", "author_key", "voice", "source_name", "source_origin", "ranking_key", *(F.col(c).cast("long").alias(c) for c in ("rank_in_voice", "rank_in_domain")))
 
 
 @query(with_views("""--+ a AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY ranking_key DESC, id) AS n FROM ranked),
@@ -93,7 +93,7 @@ SELECT id, position, cost, row_number() OVER (ORDER BY cost, position) AS cooled
 def cooled_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pool in the order of its cool-down cost."""
     rows = ranking.with_exposure(_pool(spark, sf_dir), ranking.exposures(views.reads(spark, sf_dir)))
-    return ranking.cooled(rows).select("id", "position", "cost", "cooled_position")
+    return ranking.cooled(rows).select("id", "cost", *(F.col(c).cast("long").alias(c) for c in ("position", "cooled_position")))
 
 
 @query(with_views("""--+ c AS (SELECT topic, count(*) AS available FROM eligible GROUP BY topic),
@@ -143,7 +143,7 @@ SELECT id, domain, round, row_number() OVER (ORDER BY round, f) AS slot FROM r W
 def round_robin_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries by domain in turn, four a domain, two hundred in all."""
     rows = ranking.keyed(views.articles(spark, sf_dir)).select("id", "domain")
-    return fairness.round_robin_by(rows, "domain", "id", 200, 4)
+    return fairness.round_robin_by(rows, "domain", "id", 200, 4).select("id", "domain", *(F.col(c).cast("long").alias(c) for c in ("round", "slot")))
 
 
 @query(with_views("""--+ q AS (SELECT id, domain, score, effective FROM keyed WHERE word_count < 120 AND effective > 1706745600000 - 60 * 86400000::BIGINT AND fetched_at > 1706745600000 - 60 * 86400000::BIGINT ORDER BY score DESC, effective DESC, id LIMIT 96),
@@ -156,7 +156,7 @@ def enrichment_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ranking.keyed(views.articles(spark, sf_dir)).where((F.col("word_count") < 120) & (F.col("effective") > since) & (F.col("fetched_at") > since))
     order = [F.col("score").desc(), F.col("effective").desc(), F.col("id")]
     top = rows.orderBy(*order).limit(96).select("id", "domain", F.row_number().over(Window.orderBy(*order)).alias("place"))
-    return fairness.round_robin_by(top, "domain", "place", 24).select("id", "domain", "place", "round", "slot")
+    return fairness.round_robin_by(top, "domain", "place", 24).select("id", "domain", *(F.col(c).cast("long").alias(c) for c in ("place", "round", "slot")))
 
 
 @query()

@@ -66,7 +66,7 @@ _SEQUENCE = "--+ pool AS (SELECT *, row_number() OVER (ORDER BY greatest(rank_in
 
 def _sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ranking.weighed(views.articles(spark, sf_dir), views.sources(spark, sf_dir), views.muted(spark, sf_dir), S)
-    return ranking.round_robin(rows, 600).select(F.lit(0).alias("session"), "position", "id", "domain", "voice", "topic")
+    return ranking.round_robin(rows, 600).select(F.lit(0).alias("session"), F.col("position").cast("long").alias("position"), "id", "domain", "voice", "topic")
 
 
 @query(with_views(_SEQUENCE + ", c AS (SELECT domain, count(*) AS n FROM seq GROUP BY domain) SELECT count(*) AS sources, sum(n)::BIGINT AS total, (SELECT domain FROM c ORDER BY n DESC, domain LIMIT 1) AS top_source, round(max(n)::DOUBLE / sum(n), 9) AS top_share, count(*) FILTER (n >= 5) AS heavy FROM c", "ranked"))
