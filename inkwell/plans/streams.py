@@ -32,6 +32,8 @@ def _write_to_end(spark: SparkSession, frame: DataFrame, mode: str) -> DataFrame
 
     q = frame.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{run}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
+    path = spark._jvm.org.apache.hadoop.fs.Path(run)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
     last = max(int(p["batchId"]) for p in q.recentProgress)
     return spark.read.schema(frame.schema).parquet(f"{run}/out-{last}")
 
