@@ -8,11 +8,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: ASCII word boundaries; the engine's own \b knows all of Unicode.
-START, STOP = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
+START = r"(?<![A-Za-z0-9_])"
 
 
 def bounded(pattern: str) -> str:
-    """A pattern whose \\b match between ASCII word characters and others only, on whichever side they stand."""
+    """A pattern whose \\b match between ASCII word characters and others only.
+
+    A leading one stands before word characters in all our patterns, so it only looks back.
+    """
+    if pattern.startswith(r"\b"):
+        pattern = START + pattern[2:]
     return pattern.replace(r"\b", r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))")
 
 

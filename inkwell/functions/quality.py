@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from inkwell.functions.basics import bounded, clamp, matches, weighted
+from inkwell.functions.basics import bind, bounded, clamp, matches, weighted
 
 # Word lists, patterns, weights and bands of the score.
 STOPWORDS = """the be to of and a in that have i it for not on with he as you do at this but his by from they we say
@@ -64,23 +64,32 @@ def depth(words: Column) -> Column:
 
 
 def stopwords(text: Column) -> Column:
-    found = F.regexp_extract_all(F.lower(F.substring(text, 1, 4000)), F.lit("[a-z']+"), F.lit(0))
-    share = F.size(F.filter(found, lambda w: w.isin(STOPWORDS))) / F.size(found)
-    bands = F.when((share >= 0.32) & (share <= 0.58), 1.0).when((share >= 0.22) & (share < 0.32), 0.7).when((share > 0.58) & (share <= 0.68), 0.7).otherwise(0.25)
-    return F.when(F.size(found) < 50, 0.5).otherwise(bands)
+    def band(share: Column) -> Column:
+        return F.when((share >= 0.32) & (share <= 0.58), 1.0).when((share >= 0.22) & (share < 0.32), 0.7).when((share > 0.58) & (share <= 0.68), 0.7).otherwise(0.25)
+
+    def of(found: Column) -> Column:
+        return F.when(F.size(found) < 50, 0.5).otherwise(bind(F.size(F.filter(found, lambda w: w.isin(STOPWORDS))) / F.size(found), band))
+
+    return bind(F.regexp_extract_all(F.lower(F.substring(text, 1, 4000)), F.lit("[a-z']+"), F.lit(0)), of)
 
 
 def sentences(text: Column) -> Column:
-    head = F.substring(text, 1, 4000)
-    parts = F.size(F.filter(F.split(head, r"[.!?]+(?:\s|$)", -1), lambda s: F.length(F.regexp_replace(s, r"^\s+|\s+$", "")) > 2))
-    mean = F.size(F.split(head, r"\s+", -1)) / parts
-    return F.when(parts < 5, 0.6).otherwise(F.when((mean >= 8) & (mean <= 32), 1.0).when((mean >= 5) & (mean <= 45), 0.7).otherwise(0.3))
+    def band(mean: Column) -> Column:
+        return F.when((mean >= 8) & (mean <= 32), 1.0).when((mean >= 5) & (mean <= 45), 0.7).otherwise(0.3)
+
+    def of(head: Column) -> Column:
+        parts = F.size(F.filter(F.split(head, r"[.!?]+(?:\s|$)", -1), lambda s: F.length(F.regexp_replace(s, r"^\s+|\s+$", "")) > 2))
+        return bind(parts, lambda n: F.when(n < 5, 0.6).otherwise(bind(F.size(F.split(head, r"\s+", -1)) / n, band)))
+
+    return bind(F.substring(text, 1, 4000), of)
 
 
 def caps(title: Column, text: Column) -> Column:
-    sample = F.concat(title, F.lit(" "), F.substring(text, 1, 600))
-    shouted, letters = F.regexp_count(sample, F.lit(bounded(r"\b[A-Z]{3,}\b"))), F.regexp_count(sample, F.lit("[A-Za-z]+"))
-    return clamp(shouted / F.when(letters > 0, letters).otherwise(1) * 12.0)
+    def of(sample: Column) -> Column:
+        letters = F.greatest(F.lit(1), F.regexp_count(sample, F.lit("[A-Za-z]+")))
+        return clamp(F.regexp_count(sample, F.lit(bounded(r"\b[A-Z]{3,}\b"))) / letters * 12.0)
+
+    return bind(F.concat(title, F.lit(" "), F.substring(text, 1, 600)), of)
 
 
 def punctuation(title: Column) -> Column:
@@ -88,18 +97,23 @@ def punctuation(title: Column) -> Column:
 
 
 def clickbait(title: Column) -> Column:
-    low = F.lower(title)
-    terms = [(low.contains(p), 0.45) for p in CLICKBAIT_PHRASES] + [(matches(title, p, True), 0.35) for p in CLICKBAIT_TITLES]
-    terms += [(matches(low, r"\b(this|these)\b") & (F.size(F.split(low, " ", -1)) <= 12), 0.15), (title.rlike(r"\.\.\.|…"), 0.2)]
-    return clamp(weighted(terms))
+    def of(low: Column) -> Column:
+        terms = [(low.contains(p), 0.45) for p in CLICKBAIT_PHRASES] + [(matches(title, p, True), 0.35) for p in CLICKBAIT_TITLES]
+        terms += [(matches(low, r"\b(this|these)\b") & (F.size(F.split(low, " ", -1)) <= 12), 0.15), (title.rlike(r"\.\.\.|…"), 0.2)]
+        return clamp(weighted(terms))
+
+    return bind(F.lower(title), of)
 
 
 def link_density(html: Column) -> Column:
     links = F.regexp_extract_all(html, F.lit(r"(?i)<a\s[^>]*href[^>]*>[\s\S]*?</a>"), F.lit(0))
     anchors = F.aggregate(links, F.lit(0), lambda n, a: n + F.length(F.regexp_replace(a, "<[^>]*>", "")))
     size = F.length(F.regexp_replace(html, "<[^>]*>", " "))
-    share = anchors / F.when(size > 0, size)
-    return F.when(size == 0, 1.0).when(share <= 0.15, 0.0).when(share <= 0.3, 0.3).otherwise(clamp((share - 0.3) * 2.5))
+
+    def band(share: Column) -> Column:
+        return F.when(share.isNull(), 1.0).when(share <= 0.15, 0.0).when(share <= 0.3, 0.3).otherwise(clamp((share - 0.3) * 2.5))
+
+    return bind(size, lambda n: bind(anchors / F.when(n > 0, n), band))
 
 
 def interestingness(title: Column, text: Column) -> Column:

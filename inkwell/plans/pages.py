@@ -15,7 +15,7 @@ SNIPPETS = ["fn main() { let mut x = 1; }", "def f(x):\n    return x", "func mai
 @query()
 def page_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The article of every page that has one."""
-    return pages.articles(views.table(spark, sf_dir, "pages"))
+    return pages.articles(views.spread(views.table(spark, sf_dir, "pages")))
 
 
 def _points(name: str) -> str:

@@ -72,7 +72,7 @@ def subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as articles whose titles and bodies hold terms that the rules know."""
     i = F.col("doc_id")
     head = F.array_join(F.slice(F.split(F.substring("text", 1, 200), r"[\x20\x09-\x0D]+", -1), 1, 4), " ")
-    return views.table(spark, sf_dir, "documents").where("text is not null").select(
+    return views.spread(views.table(spark, sf_dir, "documents").select("doc_id", "text").where("text is not null")).select(
         i.alias("id"), F.concat(views.pick(HEADLINES, i), F.lit(" "), head).alias("title"), F.substring("text", 1, 160).alias("excerpt"), F.concat(F.repeat(views.pick(BODIES, i), F.lit(6)), F.col("text")).alias("body"),
         views.pick(TOPICS, F.floor(i / 3)).alias("hint"), views.pick(["lwn.net", "go.dev", "publication-1.example", ""], i).alias("domain"), F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("words"),
     )
@@ -113,8 +113,9 @@ SELECT id, round({_clamp("0.06::DOUBLE + 0.22::DOUBLE * depth + 0.10::DOUBLE * s
 def quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality and its eight parts of every document as an article."""
     html = F.concat(F.lit("<p>"), F.substring("body", 1, 300), F.lit('</p><a class="x" href="/'), F.col("id").cast("string"), F.lit('">'), F.substring(F.col("body"), F.lit(1), (F.col("id") % 260).cast("int")), F.lit("</a>"))
-    rows = subjects(spark, sf_dir).withColumn("s", quality.score(F.col("title"), F.col("body"), html, F.col("words")))
-    return rows.select("id", "s.quality", "s.components.*")
+    # Generators compute a struct once; fields taken from a projected struct would each compute it again.
+    rows = subjects(spark, sf_dir).select("id", F.inline(F.array(quality.score(F.col("title"), F.col("body"), html, F.col("words")))))
+    return rows.select("id", "quality", "components.*")
 
 
 def _terms(column: str, topic: str) -> str:
@@ -141,8 +142,7 @@ SELECT id, topic, round(1 - exp(-(CASE topic {" ".join(f"WHEN '{x}' THEN raw_{x}
 @query(_TOPICS)
 def topic_assess(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Topic and confidences of every document as an article."""
-    rows = subjects(spark, sf_dir).withColumn("a", topics.assess(F.col("title"), F.col("excerpt"), F.col("body"), F.col("hint")))
-    return rows.select("id", "a.*")
+    return subjects(spark, sf_dir).select("id", F.inline(F.array(topics.assess(F.col("title"), F.col("excerpt"), F.col("body"), F.col("hint")))))
 
 
 @query(_SUBJECTS + f"SELECT id, CASE WHEN hint <> 'technology' THEN '' {' '.join(f'WHEN domain IN ({chr(44).join(map(q, d))}) OR {_has(chr(116) + chr(105) + chr(116) + chr(108) + chr(101), p)} THEN {q(n)}' for n, d, p in topics.CLUSTERS)} ELSE '' END AS cluster FROM subjects")
@@ -185,7 +185,7 @@ def root_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
   WHEN (root IN ({_BLOCKED}) OR name IN ({_BLOCKED})) AND (root NOT IN ({", ".join(map(q, urls.PLATFORM_ROOTS))}) OR name = root OR name IN ({_BLOCKED})) THEN 'blocked domain' ELSE '' END AS reason FROM rooted)""")
 def domain_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether the site of every URL may be a source, and why not."""
-    return _places(spark, sf_dir).select("id", urls.classify(F.col("url")).alias("c")).select("id", "c.*")
+    return _places(spark, sf_dir).select("id", F.inline(F.array(urls.classify(F.col("url")))))
 
 
 @query(_PLACES + f"SELECT id, {_ARTICLE} AS is_article FROM rooted")
@@ -242,4 +242,4 @@ def author_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bylines as names and keys; the rules hold a back-reference, which the other engine lacks."""
     rows = views.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), views.pick(BYLINES, F.col("doc_id")).alias("author"))
     a: Column = texts.attribution(F.col("author"), F.concat(F.lit("Site "), (F.col("id") % 5).cast("string")))
-    return rows.select("id", texts.author_key(F.col("author")).alias("author_key"), a.alias("a")).select("id", "author_key", "a.*")
+    return rows.select("id", texts.author_key(F.col("author")).alias("author_key"), F.inline(F.array(a)))

@@ -18,6 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt to all cores if it comes from fewer files than there are cores; a large table stays where it is read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df._jdf.inputFiles()) < cores else df
+
+
 def epoch_ms(at: Column) -> Column:
     """Milliseconds since 1970 of a timestamp without a time zone, whatever the session's."""
     return F.timestamp_diff("MILLISECOND", F.expr("timestamp_ntz'1970-01-01 00:00:00'"), at)
@@ -29,7 +35,7 @@ def pick(values: list[str], k: Column) -> Column:
 
 def articles(spark: SparkSession, sf_dir: str, text: bool = False) -> DataFrame:
     """One article per document; the text itself only where a query scores it."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     i = F.col("doc_id")
     dense = i % 5 < 2
     author = F.when(i % 13 == 0, "").otherwise(F.concat(F.lit("author-"), F.when(dense, i % 20).otherwise(20 + i % 2000).cast("string")))
