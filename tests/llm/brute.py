@@ -97,6 +97,8 @@ def dedup_lines(docs, least=50):
                     if run in seen:
                         gone |= set(range(own[a][0], own[b][0] + 1))
                     runs.append(run)
+                    if sum(x[2] for x in own[a + 1 : b + 1]) >= least:
+                        break  # what is longer holds a shorter run from the next line on
             seen.update(runs)
         kept[i] = "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone)
     return kept
