@@ -13,6 +13,7 @@ from inkwell.llm.mixing import mix_sources
 from inkwell.llm.quality import keep_good
 from inkwell.llm.queries import TOKENIZERS
 from inkwell.llm.sentencepiece import encode_documents
+from inkwell.llm.shingles import near_texts
 from inkwell.llm.simhash import one_of_each
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -31,8 +32,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the least id stays."""
-    return one_of_each(docs, bits=3)
+    """Of each group of texts within 3 bits, or with 0.8 or more of their 5-word shingles in common, the least id stays."""
+    return one_of_each(docs, near_texts)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ So no group and no task grows with the number of documents, and no pair is lost.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -31,20 +31,26 @@ _UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuv
 _BATCH = 1 << 15
 
 
-def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
-    """64-bit SimHash of a text: lower-cased A-Z, words, word shingles with repeats, XXH64; a bit is set if over half have it."""
+def shingle_hashes(text: str | None, shingle: int = 3, seed: int = 42) -> np.ndarray:
+    """XXH64 of every word shingle of a text, with repeats: lower-cased A-Z; a text of fewer words is one shingle."""
     words = (text or "").encode("utf-8", "replace").translate(_UPPER).split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     n = max(1, len(words) - shingle + 1)
+    digest = xxhash.xxh64_intdigest
     if n == 1:
-        return xxhash.xxh64_intdigest(joined, seed)
+        return np.array([digest(joined, seed)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
-    digest, ones = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
     spans = zip(starts[:n].tolist(), ends[shingle - 1 :].tolist(), strict=True)
-    hashes = np.fromiter((digest(joined[a:b], seed) for a, b in spans), np.uint64, n)
+    return np.fromiter((digest(joined[a:b], seed) for a, b in spans), np.uint64, n)
+
+
+def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
+    """64-bit SimHash of a text: lower-cased A-Z, words, word shingles with repeats, XXH64; a bit is set if over half have it."""
+    hashes = shingle_hashes(text, shingle, seed)
+    n, ones = len(hashes), np.zeros(64, np.int64)
     for i in range(0, n, _BATCH):
         part = hashes[i : i + _BATCH]
         ones += np.unpackbits(part.view(np.uint8).reshape(len(part), 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
@@ -166,14 +172,14 @@ def near_duplicates(docs: DataFrame, bits: int = 3, limit: int = 4096, id_col: s
     return marked.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, **settings) -> DataFrame:
-    """docs without near-duplicates: of each component the row with its least doc_id stays; columns as before.
+def one_of_each(docs: DataFrame, find: Callable[..., DataFrame] = near_duplicates, **settings) -> DataFrame:
+    """docs without near-duplicates: of each component that find gives the row with its least doc_id stays; columns as before.
 
     Of rows that share that id one stays, the first by its text's hash. Rows without an id stay all: they cannot be
     told apart, and a clean one must not go.
     """
     head, n = unused(docs, "_head", "_n")
-    heads = near_duplicates(docs, **settings).where("doc_id = component_id").select(F.col("doc_id").alias(head)).distinct()
+    heads = find(docs, **settings).where("doc_id = component_id").select(F.col("doc_id").alias(head)).distinct()
     kept = docs.join(heads, docs["doc_id"] == F.col(head), "left_semi")
     if not docs.groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1 and doc_id is not null").isEmpty():
         first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
