@@ -5,8 +5,8 @@ root-to-leaf path of tags (with classes) and the elements it lies in. Blocks ins
 article's text are put aside: by tag, by role, by hidden attributes, or by a word of class or id that names furniture,
 unless such an element holds the page's main heading or main element. For each path of the rest the text length and the
 punctuation per node are summed up, smoothed over neighbouring paths in page order, and fused; paths under the
-threshold are noise. The content element is the innermost one that holds most text of the paths left without parting
-nodes of one path; all its blocks are the text.
+threshold are noise. The content element is the outermost article or main element that holds most text of the paths
+left, else the innermost container that holds all of it without parting nodes of one path; all its blocks are the text.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ RAW = frozenset("script style textarea title xmp iframe noembed noframes".split(
 NEVER = frozenset("head title script style noscript template iframe object embed svg math canvas audio video map nav menu aside footer form fieldset button select option textarea input dialog label datalist noembed noframes".split())
 BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead title tr ul".split())
 LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre blockquote tr td th caption figcaption summary address".split())
+#: Elements that are parts of an article and never the whole of it.
+PARTS = LEAVES | frozenset("ul ol dl menu dir table thead tbody tfoot tr details figure".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: An open element that a start tag ends, and the elements behind which it doesn't look.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select", "datalist"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"}), "tbody": ({"thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"}), "tfoot": ({"thead", "tbody", "tr", "td", "th"}, {"table"}), "thead": ({"tbody", "tr", "td", "th"}, {"table"})}
@@ -172,22 +174,30 @@ def main_text(page: str | None, majority: float = 0.6, level: float = 0.5) -> st
     own = np.array(list(scores.values()))
     threshold = min(own.max(), level * own.std() if len(own) > 1 else 0.0)
     chosen = {p for p, x in scores.items() if x >= threshold}
+    total = sum(len(t) for t, p in zip(texts, paths, strict=True) if p in chosen)
     inside, depth = list(range(len(kept))), 1
-    while True:
-        shares: dict[int, list[int]] = {}
-        for i in inside:
-            if len(kept[i][2]) > depth:
-                shares.setdefault(id(kept[i][2][depth]), []).append(i)
-        weight = {k: sum(len(texts[i]) for i in v if paths[i] in chosen) for k, v in shares.items()}
-        if not weight:
-            break
-        best = max(weight, key=weight.get)
-        element = kept[shares[best][0]][2][depth]
-        rest = set(inside) - set(shares[best])
-        within = {paths[i] for i in shares[best]}
-        if element.name in LEAVES or weight[best] < majority * sum(len(texts[i]) for i in inside if paths[i] in chosen) or any(paths[i] in within for i in rest):
-            break
-        inside, depth = shares[best], depth + 1
+    whole = {}
+    for i, b in enumerate(kept):
+        outer = next((x for x in b[2] if x.name in ("article", "main")), None)
+        if outer is not None:
+            whole.setdefault(id(outer), []).append(i)
+    weight = {k: sum(len(texts[i]) for i in v if paths[i] in chosen) for k, v in whole.items()}
+    best = max(weight, key=weight.get, default=None)
+    if best is not None and weight[best] >= majority * total:
+        inside = whole[best]
+    else:
+        while True:
+            shares: dict[int, list[int]] = {}
+            for i in inside:
+                if len(kept[i][2]) > depth:
+                    shares.setdefault(id(kept[i][2][depth]), []).append(i)
+            holds = [v for v in shares.values() if sum(len(texts[i]) for i in v if paths[i] in chosen) == total]
+            if not holds or kept[holds[0][0]][2][depth].name in PARTS:
+                break
+            within = {paths[i] for i in holds[0]}
+            if any(paths[i] in within for i in set(inside) - set(holds[0])):
+                break
+            inside, depth = holds[0], depth + 1
     first = inside[0]
     title = [i for i in range(first) if kept[i][2][-1].name == "h1" and not any(x.name == "header" for x in kept[i][2])]
     return "\n".join(texts[i] for i in [*title, *inside])
