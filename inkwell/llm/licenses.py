@@ -77,7 +77,7 @@ class Index:
                 hits[t].append(place - own)
         found = []
         for t, diagonals in hits.items():
-            width = self._width(t)
+            width = min(self._width(t), len(self.ids[t]) - 1)  # copies that follow each other are candidates each
             diagonals.sort()
             low = high = diagonals[0]
             for d in diagonals[1:]:
@@ -120,6 +120,22 @@ class Index:
             score = new
         return best[1], best[2], best[3]
 
+    def finds(self, ids: np.ndarray, t: int, low: int, high: int, least: float) -> set[tuple[int, int, int]]:
+        """(words matched, first, last place) of every alignment that covers `least` of template t, none over another.
+
+        After each one the text before and behind it is aligned again, until none is left.
+        """
+        found, parts = set(), [(0, len(ids))]
+        while parts:
+            a, b = parts.pop()
+            if b - a < least * len(self.ids[t]):
+                continue
+            matched, first, last = self.align(ids[a:b], t, low - a, high - a)
+            if matched and matched / len(self.ids[t]) >= least:
+                found.add((matched, a + first, a + last))
+                parts += [(a, a + first), (a + last + 1, b)]
+        return found
+
 
 def scan(text: str | None, index: Index, min_coverage: float = 0.8) -> list[tuple[str, int, float, int, int, int]]:
     """(licence, template, coverage, words matched, start, end) for every template found, by place; spans in characters.
@@ -128,17 +144,15 @@ def scan(text: str | None, index: Index, min_coverage: float = 0.8) -> list[tupl
     """
     words = words_of(text or "")
     ids = np.fromiter(map(index.vocabulary.get, words, repeat(0)), np.uint64, len(words))
-    found = []
+    found = set()
     for t, low, high in index.candidates(ids):
-        matched, first, last = index.align(ids, t, low, high)
-        coverage = matched / len(index.ids[t])
-        if coverage >= min_coverage:
-            found.append((matched, coverage, t, first, last))
+        for matched, first, last in index.finds(ids, t, low, high, min_coverage):
+            found.add((matched, matched / len(index.ids[t]), t, first, last))
     if not found:
         return []
     places = [m.span() for m in _WORD.finditer(text)] if len(text) == len(text.lower()) else _spans(text)
     kept: list[tuple] = []
-    for x in sorted(found, key=lambda x: (-x[0], -x[1], index.names[x[2]])):
+    for x in sorted(found, key=lambda x: (-x[0], -x[1], index.names[x[2]], x[3], x[4])):
         if all(x[4] < y[3] or x[3] > y[4] for y in kept):
             kept.append(x)
     kept.sort(key=lambda x: x[3])
