@@ -2,16 +2,20 @@
 
 Templates and texts are sequences of lower-cased words. Hashes of `gram` words are winnowed: of each `window`
 neighbouring ones the least is a fingerprint, so a run of gram + window - 1 words that a text shares with a template
-gives a common one. The index maps a fingerprint to (template, place); each hit names a diagonal, place in the text less
-place in the template. Hits of a template whose diagonals lie within the band are one candidate, aligned word by word
-within the band around their diagonals: matches, at least cost of skips on either side. Coverage is the share of the
-template's words that match. The templates are few and fixed, and their index goes to the tasks.
+gives a common one. Templates of up to `short` words have all their pairs of words as fingerprints: a find of theirs always
+shares one. The index maps a fingerprint to (template, place); each hit names a diagonal, place in the text less place in
+the template. Where the words around a hit suffice for a find, the template is aligned with the text within the band
+around the diagonals: matches, at least cost of skips on either side. One pass gives the best alignment for every end, so
+all copies of a template are found at once; what they leave of the text is aligned again until nothing is found.
+
+Coverage is the share of the template's words that match. A find has at least min_coverage of them, and its words in the
+text are at least that share matches. The templates are few and fixed, and their index goes to the tasks.
 """
 
 from __future__ import annotations
 
+import math
 import re
-from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from itertools import repeat
 
@@ -23,6 +27,10 @@ from inkwell.llm.license_texts import TEMPLATES
 
 _WORD = re.compile(r"[^\W_]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_NONE = np.iinfo(np.uint64).max
+#: An alignment's state in 63 bits: score, matches, and how far its first word lies before the end of the piece.
+_SCORE, _MATCH, _FIRST = np.int64(1 << 46), np.int64(1 << 30), (1 << 30) - 1
+_PIECE = 1 << 16
 
 
 def words_of(text: str) -> list[str]:
@@ -32,108 +40,150 @@ def words_of(text: str) -> list[str]:
 class Index:
     """Templates with their inverted index of winnowed fingerprints."""
 
-    def __init__(self, templates: dict[str, list[str]], gram: int = 3, window: int = 2, band: int = 8, band_share: float = 0.1):
-        self.gram, self.window, self.band, self.band_share = gram, window, band, band_share
+    def __init__(self, templates: dict[str, list[str]], gram: int = 3, window: int = 2, short: int = 12, band: int = 2, band_share: float = 0.25):
+        self.band, self.band_share = band, band_share
         self.names = [(name, i) for name, texts in templates.items() for i in range(len(texts))]
         self.words = [words_of(templates[name][i]) for name, i in self.names]
         self.vocabulary = {w: k + 1 for k, w in enumerate(sorted({w for x in self.words for w in x}))}
         self.ids = [np.array([self.vocabulary[w] for w in x], np.uint64) for x in self.words]
-        self.postings: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for t, ids in enumerate(self.ids):
-            for h, place in self.fingerprints(ids):
-                self.postings[h].append((t, place))
-
-    def fingerprints(self, ids: np.ndarray) -> list[tuple[int, int]]:
-        """(hash, place) of the least hash of every window; grams with a word outside the vocabulary (0) are none."""
-        n = len(ids) - self.gram + 1
+        #: (gram, window, its sorted fingerprints, their templates, their places) for short templates and for the others.
+        self.indexes = []
+        for g, w, members in ((2, 1, [t for t, x in enumerate(self.ids) if len(x) <= short]), (gram, window, [t for t, x in enumerate(self.ids) if len(x) > short])):
+            parts = [(*self.fingerprints(self.ids[t], g, w), t) for t in members]
+            marks = np.concatenate([np.zeros(0, np.uint64), *(x for x, _, _ in parts)])
+            where = np.concatenate([np.zeros(0, np.int64), *(x for _, x, _ in parts)])
+            owner = np.repeat(np.array([t for _, _, t in parts], np.int64), [len(x) for x, _, _ in parts])
+            order = np.argsort(marks, kind="stable")
+            self.indexes.append((g, w, marks[order], owner[order], where[order]))
+        self.has = [np.isin(np.arange(len(self.vocabulary) + 1), x) for x in self.ids]
+
+    @staticmethod
+    def fingerprints(ids: np.ndarray, gram: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+        """(hashes, places) of the least hash of every window, the left one of equals; grams with an unknown word (0) are none."""
+        n = len(ids) - gram + 1
         if n < 1:
-            return []
-        known = ids > 0
-        whole = known[:n].copy()
-        for k in range(1, self.gram):
-            whole &= known[k : k + n]
-        if not whole.any():
-            return []
-        mixed = np.zeros(n, np.uint64)
-        for k in range(self.gram):
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        mixed, whole = np.zeros(n, np.uint64), np.ones(n, bool)
+        for k in range(gram):
             mixed = (mixed ^ ids[k : k + n]) * _MIX
             mixed ^= mixed >> np.uint64(29)
-        mixed[~whole] = np.iinfo(np.uint64).max
-        # A gram is the least of a window if some window of its neighbours has no lesser one; the left one wins ties.
-        chosen: set[int] = set()
-        for i in np.flatnonzero(whole).tolist():
-            for a in range(max(0, i - self.window + 1), min(i, n - self.window) + 1 if n >= self.window else 1):
-                part = mixed[a : a + self.window]
-                if a + int(part.argmin()) == i:
-                    chosen.add(i)
-                    break
-        return [(int(mixed[i]), i) for i in sorted(chosen)]
-
-    def candidates(self, ids: np.ndarray) -> list[tuple[int, int, int]]:
-        """(template, least diagonal, greatest diagonal) of groups of hits."""
-        hits: dict[int, list[int]] = defaultdict(list)
-        for h, place in self.fingerprints(ids):
-            for t, own in self.postings.get(h, ()):
-                hits[t].append(place - own)
+            whole &= ids[k : k + n] > 0
+        mixed[~whole] = _NONE
+        if window > 1:
+            views = np.lib.stride_tricks.sliding_window_view(mixed, min(window, n))
+            least = np.zeros(n, bool)
+            least[views.argmin(1) + np.arange(len(views))] = True
+            chosen = np.flatnonzero(least & whole)
+        else:
+            chosen = np.flatnonzero(whole)
+        return mixed[chosen], chosen
+
+    def hits(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(templates, places in the text, diagonals) of all common fingerprints, by template and diagonal."""
         found = []
-        for t, diagonals in hits.items():
-            width = min(self._width(t), len(self.ids[t]) - 1)  # copies that follow each other are candidates each
-            diagonals.sort()
-            low = high = diagonals[0]
-            for d in diagonals[1:]:
-                if d - high > width:
-                    found.append((t, low, high))
-                    low = d
-                high = d
-            found.append((t, low, high))
-        return found
-
-    def _width(self, t: int) -> int:
-        return max(self.band, int(self.band_share * len(self.ids[t])))
-
-    def align(self, ids: np.ndarray, t: int, low: int, high: int) -> tuple[int, int, int]:
-        """(words matched, first, last place in the text) of the best alignment of template t within the band.
-
-        A match counts 2, a skipped word on either side costs 1; words before and behind the alignment cost nothing.
+        for gram, window, marks, owner, where in self.indexes:
+            own, places = self.fingerprints(ids, gram, window)
+            low = np.searchsorted(marks, own, "left")
+            counts = np.searchsorted(marks, own, "right") - low
+            at = np.repeat(low, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+            there = np.repeat(places, counts)
+            found.append((owner[at], there, there - where[at]))
+        t, place, diagonal = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((diagonal, t))
+        return t[order], place[order], diagonal[order]
+
+    def width(self, t: int) -> int:
+        return max(self.band, math.ceil(self.band_share * len(self.ids[t])))
+
+    def pieces(self, ids: np.ndarray, t: int, place: np.ndarray, diagonal: np.ndarray, least: float) -> Iterator[tuple[int, int, int, int]]:
+        """(begin, end, least diagonal, greatest diagonal) of the parts of a text that may hold a find of template t.
+
+        They lie within the band of a hit, and some window as long as a find may be has enough of the template's words.
         """
-        template, width = self.ids[t], self._width(t)
+        size, width, n = len(self.ids[t]), self.width(t), len(ids)
+        need, span = math.ceil(least * size - 1e-9), int(size / least + 1e-9)
+        near = np.zeros(n + 1, np.int64)
+        np.add.at(near, np.clip(diagonal - width, 0, n), 1)
+        np.add.at(near, np.clip(diagonal + size + width, 0, n), -1)
+        inside = np.cumsum(near[:n]) > 0
+        known = np.concatenate([[0], np.cumsum(self.has[t][ids.astype(np.int64)] & inside)])
+        begins = np.flatnonzero(known[np.minimum(np.arange(n) + span, n)] - known[:n] >= need)
+        if not len(begins):
+            return
+        cover = np.zeros(n + 1, np.int64)
+        np.add.at(cover, begins, 1)
+        np.add.at(cover, np.minimum(begins + span, n), -1)
+        edges = np.diff(np.concatenate([[0], ((np.cumsum(cover[:n]) > 0) & inside).astype(np.int8), [0]]))
+        order = np.argsort(place, kind="stable")
+        place, diagonal = place[order], diagonal[order]
+        for a, b in zip(np.flatnonzero(edges > 0).tolist(), np.flatnonzero(edges < 0).tolist(), strict=True):
+            i, j = np.searchsorted(place, [a, b])
+            if j > i:
+                yield a, b, int(diagonal[i:j].min()), int(diagonal[i:j].max())
+
+    def ends(self, ids: np.ndarray, t: int, low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(score, words matched, first place) of the best alignment of template t that ends with a match at each place.
+
+        A match counts 2, a skipped word on either side costs 1; words before and behind the alignment cost nothing. Of
+        equal scores more matches win, then the earlier first place. low and high bound the diagonals, less the band.
+        """
+        n, size = len(ids), len(self.ids[t])
+        if n > _PIECE:  # an alignment reaches less than three template lengths back
+            out: list[tuple[np.ndarray, ...]] = []
+            for a in range(0, n, _PIECE):
+                back = max(0, a - 3 * size)
+                score, matched, first = self._ends(ids[back : a + _PIECE], t, low - back, high - back)
+                out.append((score[a - back :], matched[a - back :], first[a - back :] + back))
+            return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+        return self._ends(ids, t, low, high)
+
+    def _ends(self, ids: np.ndarray, t: int, low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n, width = len(ids), self.width(t)
         low, high = low - width, high + width
-        rows = range(len(template))
-        score: dict[int, tuple[int, int, int, int]] = {}  # place -> best (score, matches, first, last) up to it
-        best = (0, 0, -1, -1)
-        for i in rows:
-            a, b = max(0, i + low), min(len(ids) - 1, i + high)
-            new: dict[int, tuple[int, int, int, int]] = {}
-            for j in range(a, b + 1):
-                options = []
-                if ids[j] == template[i]:
-                    s, m, f, _ = score.get(j - 1, (0, 0, -1, -1))
-                    options.append((s + 2, m + 1, f if f >= 0 else j, j))
-                for at, where in ((j, score), (j - 1, new)):
-                    if at in where:
-                        s, m, f, x = where[at]
-                        if s > 1:
-                            options.append((s - 1, m, f, x))
-                if options:
-                    new[j] = max(options, key=lambda x: (x[0], x[1], -x[2]))
-                    best = max(best, new[j], key=lambda x: (x[0], x[1], -x[2]))
-            score = new
-        return best[1], best[2], best[3]
-
-    def finds(self, ids: np.ndarray, t: int, low: int, high: int, least: float) -> set[tuple[int, int, int]]:
-        """(words matched, first, last place) of every alignment that covers `least` of template t, none over another.
-
-        After each one the text before and behind it is aligned again, until none is left.
+        row, best = np.zeros(n + 1, np.int64), np.zeros(n, np.int64)  # row[j + 1]: the best state at place j
+        fresh, ramp = 2 * _SCORE + _MATCH + _FIRST - np.arange(n), np.arange(n) * _SCORE
+        for i, word in enumerate(self.ids[t]):
+            a, b = max(0, i + low), min(n, i + high + 1)
+            if a >= b:
+                continue
+            before, above = row[a:b], row[a + 1 : b + 1]
+            new = np.where(above >= 2 * _SCORE, above - _SCORE, 0)
+            same = np.flatnonzero(ids[a:b] == word)
+            if len(same):
+                known = before[same]
+                state = np.where(known > 0, known + (2 * _SCORE + _MATCH), fresh[a:b][same])
+                best[a + same] = np.maximum(best[a + same], state)
+                new[same] = np.maximum(new[same], state)
+            new += ramp[a:b]
+            np.maximum.accumulate(new, out=new)
+            new -= ramp[a:b]
+            new[new < _SCORE] = 0
+            row[a + 1 : b + 1] = new
+        return best // _SCORE, best % _SCORE // _MATCH, np.where(best > 0, _FIRST - best % _MATCH, -1)
+
+    def finds(self, ids: np.ndarray, t: int, low: int, high: int, least: float) -> list[tuple[int, int, int]]:
+        """(words matched, first, last place) of all finds of template t in a piece, none over another.
+
+        Better scores first, then more matches, then the earlier place. What lies between is aligned again.
         """
-        found, parts = set(), [(0, len(ids))]
+        found, parts, size = [], [(0, len(ids))], len(self.ids[t])
         while parts:
             a, b = parts.pop()
-            if b - a < least * len(self.ids[t]):
+            if b - a < least * size - 1e-9:
                 continue
-            matched, first, last = self.align(ids[a:b], t, low - a, high - a)
-            if matched and matched / len(self.ids[t]) >= least:
-                found.add((matched, a + first, a + last))
-                parts += [(a, a + first), (a + last + 1, b)]
+            score, matched, first = self.ends(ids[a:b], t, low - a, high - a)
+            last = np.arange(b - a)
+            fit = np.flatnonzero((matched >= least * size - 1e-9) & (matched >= least * (last - first + 1) - 1e-9))
+            order = fit[np.lexsort((first[fit], -matched[fit], -score[fit]))]
+            taken = np.zeros(b - a, bool)
+            for j in order.tolist():
+                f = int(first[j])
+                if not taken[f : j + 1].any():
+                    taken[f : j + 1] = True
+                    found.append((int(matched[j]), a + f, a + j))
+            if taken.any():
+                edges = np.diff(np.concatenate([[0], (~taken).astype(np.int8), [0]]))
+                parts += [(a + x, a + y) for x, y in zip(np.flatnonzero(edges > 0).tolist(), np.flatnonzero(edges < 0).tolist(), strict=True)]
         return found
 
 
@@ -144,19 +194,27 @@ def scan(text: str | None, index: Index, min_coverage: float = 0.8) -> list[tupl
     """
     words = words_of(text or "")
     ids = np.fromiter(map(index.vocabulary.get, words, repeat(0)), np.uint64, len(words))
-    found = set()
-    for t, low, high in index.candidates(ids):
-        for matched, first, last in index.finds(ids, t, low, high, min_coverage):
-            found.add((matched, matched / len(index.ids[t]), t, first, last))
+    if not ((ids[1:] > 0) & (ids[:-1] > 0)).any():  # every fingerprint is of two known words or more
+        return []
+    owners, places, diagonals = index.hits(ids)
+    if not len(owners):
+        return []
+    found = []
+    edges = np.flatnonzero(np.diff(owners)) + 1
+    for i, j in zip([0, *edges.tolist()], [*edges.tolist(), len(owners)], strict=True):
+        t = int(owners[i])
+        for a, b, low, high in index.pieces(ids, t, places[i:j], diagonals[i:j], min_coverage):
+            found += [(matched, matched / len(index.ids[t]), t, a + first, a + last) for matched, first, last in index.finds(ids[a:b], t, low - a, high - a, min_coverage)]
     if not found:
         return []
-    places = [m.span() for m in _WORD.finditer(text)] if len(text) == len(text.lower()) else _spans(text)
-    kept: list[tuple] = []
+    spans = [m.span() for m in _WORD.finditer(text)] if len(text) == len(text.lower()) else _spans(text)
+    taken, kept = np.zeros(len(ids), bool), []
     for x in sorted(found, key=lambda x: (-x[0], -x[1], index.names[x[2]], x[3], x[4])):
-        if all(x[4] < y[3] or x[3] > y[4] for y in kept):
+        if not taken[x[3] : x[4] + 1].any():
+            taken[x[3] : x[4] + 1] = True
             kept.append(x)
     kept.sort(key=lambda x: x[3])
-    return [(*index.names[t], coverage, matched, places[first][0], places[last][1]) for matched, coverage, t, first, last in kept]
+    return [(*index.names[t], coverage, matched, spans[first][0], spans[last][1]) for matched, coverage, t, first, last in kept]
 
 
 def _spans(text: str) -> list[tuple[int, int]]:

@@ -307,18 +307,6 @@ def test_changed_licences_are_found():
     assert licenses.scan("Nothing of the kind is granted to any person", index) == [] == licenses.scan(None, index)
 
 
-def test_alignment_matches_a_full_search():
-    index, rng = licenses.Index({"x": ["a b c d e f g h"]}), random.Random(2)
-    for _ in range(60):
-        ids = index.ids[0].copy().tolist()
-        for _ in range(rng.randrange(3)):
-            ids.insert(rng.randrange(len(ids)), 0)
-        import numpy as np
-
-        matched, first, last = index.align(np.array([0, 0, *ids, 0], np.uint64), 0, 2, 2)
-        assert matched == 8 and first == 2 + ids.index(index.ids[0][0]) and last == 2 + ids.index(index.ids[0][7])
-
-
 # 8 embeddings
 
 
