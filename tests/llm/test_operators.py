@@ -310,7 +310,7 @@ def test_changed_licences_are_found():
 # 8 embeddings
 
 
-@pytest.mark.parametrize(("chunk", "bucket"), [(1024, 16), (7, 100000)])
+@pytest.mark.parametrize(("chunk", "bucket"), [(16384, 16384), (1024, 16), (7, 100000)])
 def test_vectors_by_brute_force(spark, chunk, bucket):
     import numpy as np
 
@@ -331,10 +331,41 @@ def test_vectors_by_brute_force(spark, chunk, bucket):
     assert got == {i: (degree[i], want[i], want[i] == i) for i in want}
 
 
-def test_recall_bound():
-    for n in (1, 100, 10_000, 10_000_000):
-        planes, tables = tables_for(n, 0.9, 0.9995, 128)
-        assert 4 <= planes <= 30 and 1 <= tables < 400
+@pytest.mark.parametrize(("n", "dim"), [(3000, 16), (20000, 48)])
+def test_recall_and_links_against_all_pairs(spark, n, dim):
+    import numpy as np
+
+    rng = np.random.default_rng(n)
+    centres = rng.standard_normal((n // 10, dim))
+    x = (centres[rng.integers(0, len(centres), n)] + rng.standard_normal((n, dim)) * rng.choice([0.05, 0.2, 0.3, 0.35], (n, 1))).astype(np.float32)
+    unit = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    links = 0
+    want = np.zeros(n, np.int64)
+    for i in range(0, n, 500):
+        near = unit[i : i + 500] @ unit.T >= 0.9
+        want[i : i + 500] = near.sum(1) - 1
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(8)
+    got = np.zeros(n, np.int64)
+    for r in near_vectors(df, bucket=512).collect():
+        got[r.vec_id] = r.n_links
+    assert (got <= want).all() and got.sum() >= 0.999 * want.sum() > 0
+
+
+def test_tables_follow_the_recall():
+    import math
+
+    side = 1 - math.acos(0.9) / math.pi
+    for n in (1, 100, 50_000, 10_000_000, 10**9):
+        planes, tables = tables_for(n, 0.9, 0.9995, 16384)
+        assert 1 - (1 - side**planes) ** tables >= 0.9995 and n / 2**planes <= 2 * 16384
+
+
+def test_vectors_with_odd_rows(spark):
+    rows = [(7, [1.0, 0.0]), (7, [1.0, 0.0]), (5, [1.0, 0.01]), (5, [0.0, 1.0]), (9, [0.01, 1.0]), (None, [1.0, 0.0]), (3, [-0.0, 2.0]), (4, None)]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<double>, component_id string")
+    got = sorted((r.vec_id or 0, r.n_links, r.component_id, r.kept) for r in near_vectors(df).collect())
+    assert got == [(0, 0, None, False), (3, 2, 3, True), (4, 0, 4, True), (5, 4, 3, False), (5, 4, 3, False), (7, 2, 3, False), (7, 2, 3, False), (9, 2, 3, False)]
+    assert near_vectors(df.where("vec_id > 50")).count() == 0
 
 
 # 9 line dedup
