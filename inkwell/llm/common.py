@@ -63,6 +63,13 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def text_key(docs: DataFrame, id_col: str, text_col: str) -> Column:
+    """What stands for a row: (no_id, id, hash of the text), ordered by id with null last, and equal to itself throughout."""
+    kind = docs.schema[id_col].dataType
+    zero = F.lit("") if kind.simpleString() == "string" else F.lit(0).cast(kind)
+    return F.struct(F.col(id_col).isNull().alias("no_id"), F.coalesce(F.col(id_col), zero).alias("id"), F.xxhash64(F.col(text_col)).alias("print"))
+
+
 def n_words(text: Column) -> Column:
     """Words of a text as long; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -2,7 +2,8 @@
 
 What goes: every line that lies in a run of lines with min_words words or more that also starts at an earlier place (by
 document id, then line). So the first copy of everything stays, and nothing shorter goes. Lines are compared without
-ASCII white space at their ends; lines without a word neither count nor break a run, and go if they lie inside one.
+ASCII white space at their ends, by 128 bits of two hashes with different seeds; lines without a word neither count nor
+break a run, and go if they lie inside one.
 
 How it is found: a passage is the shortest run, from some line on, that has min_words words. The hash of the shortest
 run with min_words / 2 words from a line on is the line's gram. In the window of grams that start within the next
@@ -14,23 +15,34 @@ of the passage that starts a line later: each of these longer runs is looked up
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import WORD, cut, release, unused
+from inkwell.llm.common import WORD, cut, release, text_key, unused
 
 _EDGES = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
-_NO_ID = "_no_id"
 
 
-def repeated_lines(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, first, last): disjoint, sorted ranges of 0-based lines with a word to delete; docs' ids must not be null."""
+def _hash(*columns: Column, seed: int = 1) -> Column:
+    """A second 64-bit hash; the seed's own hash is the seed of the columns'."""
+    return F.xxhash64(F.lit(seed), *columns)
+
+
+def repeated_lines(docs: DataFrame, min_words: int = 50, doc_col: str = "doc", text_col: str = "text") -> DataFrame:
+    """(doc, first, last): disjoint ranges of 0-based lines with a word to delete. Rows with the same doc have the same text."""
     half = min_words // 2
-    line = F.transform(F.split(F.col(text_col), "\n"), lambda x, i: F.struct(i.alias("pos"), F.size(F.regexp_extract_all(x, F.lit(WORD), F.lit(0))).cast("long").alias("n"), F.xxhash64(F.regexp_replace(x, _EDGES, "")).alias("h")))
-    lines = docs.select(F.col(id_col).alias("doc"), F.inline(F.filter(line, lambda x: x["n"] > 0)))
+
+    def marked(x: Column, i: Column) -> Column:
+        bare = F.regexp_replace(x, _EDGES, "")
+        return F.struct(i.alias("pos"), F.size(F.regexp_extract_all(x, F.lit(WORD), F.lit(0))).cast("long").alias("n"), F.struct(F.xxhash64(bare).alias("a"), _hash(bare).alias("b")).alias("h"))
+
+    line = F.transform(F.split(F.col(text_col), "\n"), marked)
+    lines = docs.select(F.col(doc_col).alias("doc"), F.inline(F.filter(line, lambda x: x["n"] > 0)))
     in_doc = Window.partitionBy("doc").orderBy("pos")
+    # A document that is given several times counts once.
+    lines = lines.withColumn("again", F.lag("pos").over(in_doc)).where(F.col("again").isNull() | (F.col("again") != F.col("pos"))).drop("again")
     lines = lines.withColumn("start", F.coalesce(F.sum("n").over(in_doc.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    # Starts rise strictly in a document, so a range of starts is a range of lines. Repeated ids: pos breaks no tie.
+    # Starts rise strictly in a document, so a range of starts is a range of lines.
     ahead = Window.partitionBy("doc").orderBy("start")
     near, far = ahead.rangeBetween(0, half - 1), ahead.rangeBetween(0, min_words - 1)
     end = F.col("start") + F.col("n")
@@ -42,13 +54,13 @@ def repeated_lines(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id",
         """A passage's array and what the passage a line later has beyond it."""
         return F.concat(own, F.coalesce(F.slice(later, F.size(own), F.size(later)), F.array().cast(f"array<{kind}>")))
 
-    starts = cut(lines.where("full").select("doc", "pos", F.col("low.gram").alias("mark"), "fresh", F.size("run").alias("len"), on("run", "after", "bigint").alias("run"), on("at", "at_after", "int").alias("at")))
+    starts = cut(lines.where("full").select("doc", "pos", F.col("low.gram").alias("mark"), "fresh", F.size("run").alias("len"), on("run", "after", "struct<a:bigint,b:bigint>").alias("run"), on("at", "at_after", "int").alias("at")))
     marks = starts.groupBy("mark").agg(F.sum(F.col("fresh").cast("int")).alias("places")).where("places > 1").select("mark")
     seeds = starts.join(marks, "mark", "left_semi")
-    runs = F.transform(F.sequence("len", F.size("run")), lambda n: F.struct(n.alias("n"), F.xxhash64(F.slice("run", F.lit(1), n)).alias("key"), F.get("at", n - 1).alias("last")))
+    runs = F.transform(F.sequence("len", F.size("run")), lambda n: F.struct(n.alias("n"), F.xxhash64(F.slice("run", F.lit(1), n)).alias("key"), _hash(F.slice("run", F.lit(1), n)).alias("check"), F.get("at", n - 1).alias("last")))
     runs = cut(seeds.select("doc", "pos", F.inline(runs)))
-    firsts = cut(runs.groupBy("key", "n").agg(F.min(F.struct("doc", "pos")).alias("a"), F.count("*").alias("k")).where("k > 1").drop("k"))
-    later = runs.join(firsts, ["key", "n"]).where(F.struct("doc", "pos") > F.struct("a.doc", "a.pos"))
+    firsts = cut(runs.groupBy("key", "check", "n").agg(F.min(F.struct("doc", "pos")).alias("a"), F.count("*").alias("k")).where("k > 1").drop("k"))
+    later = runs.join(firsts, ["key", "check", "n"]).where(F.struct("doc", "pos") > F.struct("a.doc", "a.pos"))
     spans = later.select("doc", F.col("pos").alias("first"), "last")
     reach = F.max("last").over(_in_doc_by("first").rowsBetween(Window.unboundedPreceding, -1))
     islands = spans.groupBy("doc", "first").agg(F.max("last").alias("last")).withColumn("new", F.coalesce(F.col("first") > reach + 1, F.lit(True)).cast("int"))
@@ -66,22 +78,15 @@ def dedup_lines(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", te
     """docs with text_col freed of later repeated runs, and n_lines, n_removed (long): its lines, and those deleted.
 
     Further columns stay as they are. Documents that lose all their lines stay with an empty text. A null text stays
-    null with 0 lines; the empty text is one line. A null id: the row stays as it is and takes no part. Rows that share
-    an id count as one document whose text is the first by hash; the others of them keep their texts. An empty table
-    gives no rows. Ranges of a document are merged before they meet its text, whose lines are then cut in one pass.
+    null with 0 lines; the empty text is one line. Documents are in the order of their ids, those without an id last;
+    of the same id, or without one, in that of a hash of the text. Rows equal in id and text are one document given
+    several times, and all of them keep the same lines. An empty table gives no rows. Ranges of a document are merged
+    before they meet its text, whose lines are then cut in one pass.
     """
-    key, print_, cuts = unused(docs, "_doc", "_print", "_cuts")
-    rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).where("doc is not null and text is not null")
-    same_row = docs[id_col] == F.col(key)
-    if docs.groupBy(id_col).agg(F.count("*").alias("k")).where("k > 1").isEmpty():
-        spans = repeated_lines(rows, min_words, "doc", "text").withColumn(print_, F.lit(0))
-    else:
-        first = rows.groupBy("doc").agg(F.min(F.xxhash64("text")).alias(print_))
-        rows = rows.withColumn(print_, F.xxhash64("text")).join(first, ["doc", print_], "left_semi").select("doc", "text").distinct()
-        spans = repeated_lines(rows, min_words, "doc", "text").join(first, "doc")
-        same_row = same_row & (F.xxhash64(docs[text_col]) == F.col(print_))
-    spans = spans.groupBy(F.col("doc").alias(key), print_).agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias(cuts))
-    joined = docs.join(spans, same_row, "left").drop(key, print_)
+    key, cuts = unused(docs, "_doc", "_cuts")
+    rows = docs.select(text_key(docs, id_col, text_col).alias("doc"), F.col(text_col).alias("text")).where("text is not null")
+    spans = repeated_lines(rows, min_words).groupBy(F.col("doc").alias(key)).agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias(cuts))
+    joined = docs.join(spans, text_key(docs, id_col, text_col) == F.col(key), "left").drop(key)
     lines = F.split(F.col(text_col), "\n")
     count = F.size(lines).cast("long")
     starts = F.concat(F.array(F.lit(0)), F.transform(cuts, lambda x: x["last"] + 1))

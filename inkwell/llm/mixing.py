@@ -57,8 +57,8 @@ def sainte_lague(parties: DataFrame, votes: str, house: Column, within: list[str
     return rows.join(won, keys, "left").withColumn("seats", F.col("_low") + F.coalesce(F.col("_won"), F.lit(0))).drop("_n", "_v", "_h", "_low", "_high", "_won")
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, ceiling: int = 2, block: int = 8, shards: int = 4, seed: int = 42, buckets: int = 256, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, size, source_size, target, taken for each document: how many of its words the mix takes.
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, ceiling: int = 2, block: int = 8, shards: int = 4, seed: int = 42, buckets: int = 4096, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """doc_id, size, source_size, target, taken, source, text_hash for each document: how many of its words the mix takes.
 
     size is the number of words. Targets: target_words(). Blocks of `block` words go to the sources by the highest
     quotients, round(total / block) in all, and each source's blocks to its shards in the same way by their sizes; a
@@ -66,16 +66,18 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: fl
     and the quota's blocks are laid over them from the front, around and around, so whole documents come first, at
     most `ceiling` times, and one document at the end of the quota is taken in part.
 
-    Null text: size 0, taken 0. Null source: a source of its own, the last. Null ids share one place in the order.
-    Repeated rows each count; which of several equal rows is the one taken in part is not defined, the set of results
-    is. Running sums go over hash-ordered buckets, so no task sorts a whole source. An empty table gives no rows.
+    Null text: size 0, taken 0. Null source: a source of its own, the last. A document without an id has its place in the
+    order by its text. Repeated rows each count; which of several equal rows is the one taken in part is not defined,
+    the set of results is. source and text_hash (XXH64 of the text, null for null) tell rows that share an id apart;
+    further columns are not carried. The weights and quotas are windows over one row per source, and per source and
+    shard: fine for thousands of sources, not for a source per document. Running sums go over hash-ordered buckets, so no task sorts a whole source. An empty table gives no rows.
     """
-    where = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), where.alias("_at"))
+    where = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("null:"), F.coalesce(F.col(text_col), F.lit(""))))))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), F.when(F.col(text_col).isNotNull(), F.xxhash64(text_col)).alias("text_hash"), where.alias("_at"))
     # The key stands for the source where null has to be equal to null.
     rows = rows.withColumn("_key", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")))
     rows = rows.withColumn("_shard", F.conv(F.substring("_at", 17, 8), 16, 10).cast("long") % shards).withColumn("_bucket", (F.conv(F.substring("_at", 1, 8), 16, 10).cast("long") * buckets / F.lit(1 << 32)).cast("int"))
-    rows = cut(rows.select("doc_id", "source", "size", F.substring("_at", 1, 16).alias("_at"), "_key", "_shard", "_bucket"))
+    rows = cut(rows.select("doc_id", "source", "size", "text_hash", F.substring("_at", 1, 16).alias("_at"), "_key", "_shard", "_bucket"))
     parts = cut(rows.groupBy("_key", "source", "_shard", "_bucket").agg(F.sum("size").alias("_words")))
     sources = cut(target_words(parts.groupBy("_key", "source").agg(F.sum("_words").alias("source_size")), weights, share, ceiling))
     every = Window.orderBy(F.lit(1)).rowsBetween(*_ALL)
@@ -92,4 +94,4 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: fl
     part = F.col("_quota") - rounds * F.col("_stratum")
     taken = rounds * F.col("size") + F.greatest(F.lit(0), F.least(start + F.col("size"), part) - start)
     out = rows.withColumn("_inside", inside).join(placed, ["_key", "_shard", "_bucket"])
-    return out.select("doc_id", "size", "source_size", "target", F.coalesce(taken, F.lit(0)).cast("long").alias("taken"))
+    return out.select("doc_id", "size", "source_size", "target", F.coalesce(taken, F.lit(0)).cast("long").alias("taken"), "source", "text_hash")

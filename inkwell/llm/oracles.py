@@ -58,13 +58,13 @@ sums AS (
          xor(list_reduce(list_transform(regexp_extract_all(h, '..'), lambda y: ('0x' || y)::BIGINT), lambda c, x: xor(c // 256, t[xor(c % 256, x) + 1]), 4294967295), 4294967295) AS text_crc32
   FROM raw, tab)
 SELECT s.doc_id, size, text_crc32, 'key' AS law, shard,
-       row_number() OVER (PARTITION BY shard ORDER BY md5(coalesce(s.doc_id::VARCHAR, 'null')), text_crc32, size) - 1 AS slot, grown_shard
+       row_number() OVER (PARTITION BY shard ORDER BY md5(coalesce(s.doc_id::VARCHAR, 'null:' || text_crc32 || ':' || size)), text_crc32, size) - 1 AS slot, grown_shard
 FROM sums s JOIN ends e ON s.doc_id IS NOT DISTINCT FROM e.doc_id
 """,
     "op10_source_mix": r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         md5('42:' || coalesce(doc_id::VARCHAR, 'null')) AS m FROM documents),
+         md5('42:' || coalesce(doc_id::VARCHAR, 'null:' || coalesce(text, ''))) AS m FROM documents),
 s0 AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 s1 AS (SELECT *, [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS w FROM s0),
 s2 AS (

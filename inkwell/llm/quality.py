@@ -88,6 +88,8 @@ class Rules:
         failed = n < self.min_words or 100 * repeats > self.max_repeat_percent * n
         ratio = self.ratio(raw)
         chunks = [raw[i : i + self.chunk] for i in range(0, len(raw) - self.chunk + 1, self.chunk)]
+        if chunks and len(raw) % self.chunk:
+            chunks.append(raw[-self.chunk :])
         low, high = self.chunk_band
         bad = sum(not low <= self.ratio(x) <= high for x in chunks)
         low, high = band(len(raw), self.bands)
@@ -104,9 +106,10 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     A text fails the base rules with under min_words words or with over max_repeat_percent of its words in 5-word
     windows found twice. Else it is kept if raw bytes per compressed byte lie within the band of its length and at most
-    chunk_share of its whole chunks of `chunk` bytes lie outside the chunk's band: above a band text is repetitive,
-    below it is incompressible. The last, partial chunk only counts in the whole. Whole texts are read. A null text has
-    no words and fails, as does the empty one; repeated rows are judged each; ids may be null. No rows give no rows.
+    chunk_share of its chunks of `chunk` bytes lie outside the chunk's band: above a band text is repetitive, below it
+    is incompressible. A text that doesn't end with a chunk has its last `chunk` bytes as one more, so its tail is judged
+    like the rest; a text shorter than a chunk has none. Whole texts are read. A null text has no words and fails, as does
+    the empty one; repeated rows are judged each; ids may be null; further columns are not carried. No rows, no rows.
     """
 
     def judge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,7 +125,11 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
-    """The rows of docs, with all their columns, that quality_rules keeps; the texts are judged where they are read."""
+    """The rows of docs, with all their columns, that quality_rules keeps; the texts are judged where they are read.
+
+    Null and empty texts have no words and go. Repeated rows stay or go together, null ids don't matter, and columns may
+    have any names, as none is added. No rows give no rows.
+    """
     at = docs.columns.index(text_col)
 
     def choose(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -62,14 +62,21 @@ def read_pieces(path: str) -> list[tuple[str, float, int]]:
     """(piece, log score, type) of a model file, by id.
 
     A Unigram model's scores are logarithms and stay. Those of other kinds of model are negated ranks of merges: by
-    Zipf's law a piece of rank r then gets the log score -ln(r) - ln(sum of 1 / r).
+    Zipf's law a piece of rank r then gets the log score -ln(r) - ln(sum of 1 / r). Models whose normaliser changes more
+    than a leading space are an error, as their texts would be encoded wrongly.
     """
     with open(path, "rb") as f:
         found = list(_fields(f.read()))
+    # Fields of the normaliser's message and what they are where they are left out.
+    law = {1: b"", 2: b"", 3: 1, 4: 1, 5: 1} | next((dict(_fields(v)) for k, v in found if k == 3), {})
+    if law[2] or law[4] or not law[3] or not law[5] or law[1] not in (b"", b"identity"):
+        raise ValueError("only models with the identity normaliser, a leading space, kept spaces and escaped spaces are supported")
     messages = [dict(_fields(v)) for k, v in found if k == 1]
     pieces = [(m[1].decode(), float(m.get(2, 0.0)), int(m.get(3, NORMAL))) for m in messages]
     if next((dict(_fields(v)).get(3, 1) for k, v in found if k == 2), 1) == 1:
-        return pieces
+        # A piece that its user defines wins over all others of its length together.
+        best = max((s for _, s, kind in pieces if kind == NORMAL), default=0.0)
+        return [(p, len(p.encode()) * best - 0.1 if kind == USER else s, kind) for p, s, kind in pieces]
     ranks = [max(1.0, -s + 1.0) for _, s, kind in pieces if kind in (NORMAL, USER)]
     total = math.log(sum(1 / r for r in ranks)) if ranks else 0.0
     return [(p, -math.log(max(1.0, -s + 1.0)) - total if kind in (NORMAL, USER) else s, kind) for p, s, kind in pieces]

@@ -30,11 +30,12 @@ def _step(key: Column) -> Column:
     return F.shiftleft(top, 32).bitwiseOR(rest.bitwiseAND(F.lit(_LOW)))
 
 
-def jump_shards(key: Column, *counts: int) -> list[Column]:
+def jump_shards(key: Column, *counts: int, steps: int = 64) -> list[Column]:
     """The shard of a long key for each number of shards; a null key counts as 0.
 
     The method walks a key-determined rising sequence of shard numbers and takes the last below the count. One walk
-    serves all counts. It has at most max(counts) steps, and a step after the end changes nothing.
+    serves all counts. It has at most max(counts) steps, about the logarithm of that on average, and a step after the end
+    changes nothing. So every key walks `steps` steps, and only a key that isn't at its end then walks on.
     """
     if not counts or min(counts) < 1:
         raise ValueError("counts must be positive")
@@ -48,18 +49,26 @@ def jump_shards(key: Column, *counts: int) -> list[Column]:
         done = acc["j"] >= F.lit(max(counts))
         return F.struct(F.when(done, acc["key"]).otherwise(new).alias("key"), F.when(done, acc["j"]).otherwise(ahead).alias("j"), *reached)
 
-    end = F.aggregate(F.sequence(F.lit(1), F.lit(max(counts))), start, walk)
+    end = F.aggregate(F.sequence(F.lit(1), F.lit(min(max(counts), steps))), start, walk)
+    if max(counts) > steps:
+        rest = F.sequence(F.lit(steps + 1), F.lit(max(counts)))
+        end = bind(end, lambda x: F.when(x["j"] < F.lit(max(counts)), F.aggregate(rest, x, walk)).otherwise(x))
     return [end[f"b{i}"].cast("int") for i in range(len(counts))]
 
 
+def bind(x: Column, f) -> Column:
+    """f(x) with x computed once."""
+    return F.transform(F.array(x), f)[0]
+
+
 def gapless_slots(df: DataFrame, group: str, id_col: str, ties: list[str]) -> DataFrame:
-    """Adds slot: 0, 1, 2, ... within each value of group, in the order of the MD5 of id_col, then ties.
+    """Adds slot: 0, 1, 2, ... within each value of group, in the order of the MD5 of id_col, or of ties where it is null.
 
     No task sorts a whole group: the first three digits of the MD5 deal its rows to 4096 buckets that follow the order,
     and a slot is the rows of the buckets before plus the place in the bucket. The table of bucket sizes has at most
     4096 rows a group. Rows equal in id and ties may swap slots.
     """
-    dealt = df.withColumn("_at", F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("null")))).withColumn("_b", F.substring("_at", 1, 3))
+    dealt = df.withColumn("_at", F.md5(F.coalesce(F.col(id_col).cast("string"), F.concat_ws(":", F.lit("null"), *(F.col(c).cast("string") for c in ties))))).withColumn("_b", F.substring("_at", 1, 3))
     before = Window.partitionBy(group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     sizes = dealt.groupBy(group, "_b").count().withColumn("_base", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
     placed = dealt.withColumn("_place", F.row_number().over(Window.partitionBy(group, "_b").orderBy("_at", *ties)) - 1)

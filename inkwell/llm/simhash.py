@@ -20,7 +20,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.llm.common import connected_components, cut, local_roots, unused, whole_groups
@@ -58,15 +58,15 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42) -> DataFrame:
-    """(doc_id, fp): the fingerprint of every row as a signed long."""
+    """(doc_id, text_hash, fp): the fingerprint of every row as a signed long; text_hash: XXH64 of the text."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.fromiter((fingerprint(x.as_py(), shingle, seed) for x in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            found = np.fromiter((fingerprint(x.as_py(), shingle, seed) for x in batch.column(2)), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(found.view(np.int64))], ["doc_id", "text_hash", "fp"])
 
-    rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")
+    rows = docs.select(docs[id_col].alias("doc_id"), F.xxhash64(docs[text_col]).alias("text_hash"), docs[text_col].alias("text"))
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text_hash long, fp long")
 
 
 def references(n: int = 16, seed: int = 7) -> np.ndarray:
@@ -155,33 +155,44 @@ def hamming_edges(distinct: DataFrame, bits: int = 3, limit: int = 4096, n_pivot
     return edges
 
 
+def by_fingerprint(marked: DataFrame, edges: DataFrame) -> DataFrame:
+    """marked (doc_id, text_hash, fp, ...) with component_id and is_head, given links (src, dst) between fingerprints.
+
+    The head of a component is its least document by id, those without an id last, then by text_hash.
+    """
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    distinct = cut(marked.groupBy("fp").agg(F.min(order).alias("least")))
+    roots = connected_components(edges)
+    members = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    heads = members.groupBy("root").agg(F.min("least").alias("head"))
+    # Texts without words all have fingerprint 0: its rows are dealt to many tasks.
+    salts = F.when(F.col("fp") == 0, F.sequence(F.lit(0), F.lit(63))).otherwise(F.array(F.lit(0)))
+    classes = members.join(heads, "root").select("fp", "head", F.explode(salts).alias("salt"))
+    salted = marked.withColumn("salt", F.when(F.col("fp") == 0, F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(64)).cast("int")).otherwise(F.lit(0)))
+    return salted.join(classes, ["fp", "salt"]).select("doc_id", "fp", F.col("head.doc_id").alias("component_id"), "text_hash", (order == F.col("head")).alias("is_head"))
+
+
 def near_duplicates(docs: DataFrame, bits: int = 3, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42) -> DataFrame:
-    """doc_id, fp (signed long), component_id: the least doc_id of all documents that chains of links reach.
+    """doc_id, fp (signed long), component_id, text_hash, is_head: the classes of documents that chains of links join.
 
-    Texts without words, null or empty, have fingerprint 0 and link like any others. Equal fingerprints are one node,
-    whatever their number, so a group of copies costs one row. Null ids get a fingerprint and a component, and count as
-    no id there: component_id is null only where all are. Repeated rows give repeated rows; further columns are not
-    carried. An empty table gives no rows.
+    component_id is the least doc_id of the class, is_head marks the row that has it. Texts without words, null or empty,
+    have fingerprint 0 and link like any others. Equal fingerprints are one node, whatever their number, so a group of
+    copies costs one row. Rows without an id come last in their class: component_id is null only where all are. Of rows
+    that share an id the first by text_hash (XXH64 of the text) may be head, and rows equal in both are head together.
+    Repeated rows give repeated rows; further columns are not carried. An empty table gives no rows.
     """
     marked = cut(fingerprints(docs, id_col, text_col, shingle, seed))
-    distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = connected_components(cut(hamming_edges(distinct.select("fp"), bits, limit)))
-    members = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    heads = members.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = members.join(heads, "root").select("fp", "component_id")
-    return marked.join(classes, "fp").select("doc_id", "fp", "component_id")
+    edges = cut(hamming_edges(marked.select("fp").distinct(), bits, limit))
+    return by_fingerprint(marked, edges)
 
 
 def one_of_each(docs: DataFrame, find: Callable[..., DataFrame] = near_duplicates, **settings) -> DataFrame:
-    """docs without near-duplicates: of each component that find gives the row with its least doc_id stays; columns as before.
+    """docs without near-duplicates: the head of every class that find gives stays; columns as before.
 
-    Of rows that share that id one stays, the first by its text's hash. Rows without an id stay all: they cannot be
-    told apart, and a clean one must not go.
+    Rows equal in id and text are one document given several times and stay together. Null ids and texts, repeated ids
+    and empty tables: as find says. No column is added, so none can clash.
     """
-    head, n = unused(docs, "_head", "_n")
-    heads = find(docs, **settings).where("doc_id = component_id").select(F.col("doc_id").alias(head)).distinct()
-    kept = docs.join(heads, docs["doc_id"] == F.col(head), "left_semi")
-    if not docs.groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1 and doc_id is not null").isEmpty():
-        first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-        kept = kept.withColumn(n, F.row_number().over(first)).where(F.col(n) == 1).drop(n)
-    return kept.union(docs.where("doc_id is null"))
+    id_, print_ = unused(docs, "_head", "_print")
+    heads = find(docs, **settings).where("is_head").select(F.col("doc_id").alias(id_), F.col("text_hash").alias(print_)).distinct()
+    same = docs["doc_id"].eqNullSafe(F.col(id_)) & (F.xxhash64(docs["text"]) == F.col(print_))
+    return docs.join(heads, same, "left_semi")

@@ -10,6 +10,7 @@ nodes above them change.
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -26,6 +27,11 @@ CONTEXT = 3
 _KEPT = 1 << 18
 
 
+def content_mark(ranks: dict[bytes, int]) -> str:
+    """A digest of a whole vocabulary, whatever the order of its entries."""
+    return hashlib.sha256(b"".join(b"%d:%d:%b" % (r, len(x), x) for x, r in sorted(ranks.items()))).hexdigest()
+
+
 def read_ranks(path: str) -> dict[bytes, int]:
     """Byte strings and ranks of a vocabulary file."""
     with open(path, "rb") as f:
@@ -140,15 +146,14 @@ class TokenTree:
         return self.tokens
 
 
-_BUILT: dict[int, Counter] = {}
+_BUILT: dict[str, Counter] = {}
 
 
-def _built(ranks: dict[bytes, int]) -> Counter:
-    key = hash((len(ranks), max(ranks.items(), key=lambda x: x[1])))
-    if key not in _BUILT:
+def _built(ranks: dict[bytes, int], mark: str) -> Counter:
+    if mark not in _BUILT:
         _BUILT.clear()
-        _BUILT[key] = Counter(ranks)
-    return _BUILT[key]
+        _BUILT[mark] = Counter(ranks)
+    return _BUILT[mark]
 
 
 def count_edited(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", edits_col: str = "edits", leaf: int = 64) -> DataFrame:
@@ -161,11 +166,12 @@ def count_edited(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
     other columns are not carried. The vocabulary file is read on the driver. No rows give no rows.
     """
     ranks = read_ranks(vocabulary)
+    mark = content_mark(ranks)
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), docs[edits_col].alias("edits"))
     names = ["doc_id", "n_tokens", "n_tokens_after", "n_chars_after", "n_chars_encoded", "edits_done"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = _built(ranks)
+        counter = _built(ranks, mark)
         for batch in batches:
             out: list[list[int]] = [[] for _ in names[1:]]
             for text, edits in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):

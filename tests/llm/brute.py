@@ -43,11 +43,26 @@ def classes(keys, linked):
 
 
 def near_copies(docs):
-    """{id: class} of (id, text)."""
+    """{id: class} of (id, text) by fingerprints."""
     prints = {i: simhash(t) for i, t in docs}
     return classes(list(prints), lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 3)
 
 
+def shingle_set(text):
+    w = words("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def near_texts(docs):
+    """{id: class} of (id, text) by fingerprints or by a similarity of 0.8 of the sets of five-word shingles."""
+    prints, sets = {i: simhash(t) for i, t in docs}, {i: shingle_set(t) for i, t in docs}
+
+    def linked(a, b):
+        return (prints[a] ^ prints[b]).bit_count() <= 3 or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) > 0
+
+    return classes(list(prints), linked)
+
+
 def quality(text, bands):
     """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept)."""
     text = text or ""
@@ -76,6 +91,7 @@ def quality(text, bands):
         return limits[0] <= ratio <= limits[1]
 
     chunks = [raw[i : i + 4096] for i in range(0, len(raw), 4096) if len(raw) - i >= 4096]
+    chunks += [raw[-4096:]] if len(raw) > 4096 and len(raw) % 4096 else []
     verdict = fits(raw, len(raw)) and sum(not fits(c, 4096) for c in chunks) <= 0.25 * len(chunks)
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(inside), failed, not failed and verdict
 

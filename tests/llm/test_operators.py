@@ -449,11 +449,14 @@ def test_odd_rows_give_a_row_each(odd, name):
 
 def test_odd_rows_give_what_the_docstrings_say(odd):
     near = [(r.doc_id, r.fp, r.component_id) for r in operators(odd)["near"]().collect()]
+    heads = simhash.one_of_each(odd)
+    assert sorted((r.doc_id or 0) for r in heads.collect()) == [0, 1, 3, 3, 3, 5]
     assert {c for i, f, c in near if f == 0} == {1} and {c for i, f, c in near if i in (3, 4) and c == 3} == {3}
     lines = operators(odd)["lines"]().collect()
-    first = odd.where("doc_id is not null and text is not null").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("t"))
-    want = brute.dedup_lines([(r.doc_id, r.t) for r in first.collect()])
-    assert {r.text for r in lines if r.doc_id == 4} == {want[4]} and all(r.n_removed == 0 for r in lines if r.doc_id is None)
+    keys = {(r.doc_id is None, r.doc_id or 0, r.h): r.text for r in odd.withColumn("h", F.xxhash64("text")).collect()}
+    want = brute.dedup_lines(list(keys.items()))
+    got = {(r.doc_id, keys[k], r.text) for r in lines for k in keys if (r.doc_id is None, r.doc_id or 0) == k[:2] and want[k] == r.text}
+    assert {(k[1] or None, t, want[k]) for k, t in keys.items()} <= {(i or None, t, x) for i, t, x in got} and len(lines) == 10
     quality_rows = operators(odd)["quality"]().collect()
     assert all(r.base_failed and not r.kept for r in quality_rows if r.n_words == 0)
     mix = operators(odd)["mix"]().collect()
