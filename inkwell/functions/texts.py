@@ -14,6 +14,7 @@ LEGAL = r"(?i)^(copyright|all rights reserved|privacy policy|terms of service)"
 TITLE_SEPARATORS = [" | ", " – ", " — ", " - ", " :: ", " » "]
 SEPARATORS = [" — ", " – ", " - ", " :: ", " | "]
 ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " ")]
+MARKDOWN = [r"(?m)^#{1,6}\s", r"\*\*[^*\n]+\*\*", r"(?m)^[-*]\s+\S", r"```", r"\[[^\]]+\]\([^)]+\)"]
 NOT_AUTHORS = r"(?i)^(?:posted on|published by|written by|admin|administrator|editor|staff|unknown|anonymous|\?)$"
 SUBMITTER = r"(?i)^[^\s]+\.[a-z]{2,}\s+(?:via|by)\s+\S+$"
 NEWS_DATE = r"(?i)\s+(?:·\s*)?(?:posted|published|updated|last updated)\b.*$"
@@ -74,6 +75,30 @@ def is_boilerplate(text: Column) -> Column:
     return (F.length(trimmed) <= 120) & (trimmed.rlike(BOILERPLATE) | trimmed.rlike(LEGAL))
 
 
+def title_for_enriched(source_id: Column, known: Column, found: Column) -> Column:
+    """A card's title after extraction: what a curator gave a direct link stays, else the page's own title wins if it has one."""
+    return F.when(source_id.isNull() & (F.trim(known) != ""), F.trim(known)).otherwise(F.coalesce(F.when(F.trim(found) != "", F.trim(found)), F.trim(known)))
+
+
+def needs_verified_date(source_id: Column, stored: Column, found: Column) -> Column:
+    """Whether a direct link has no date of its own and none on its page, so that it must not pass for new."""
+    return source_id.isNull() & stored.isNull() & found.isNull()
+
+
+def format_date(ms: Column) -> Column:
+    """A date as on cards, such as "January 5, 2024", in UTC; empty without one."""
+    at = F.expr("timestamp_ntz'1970-01-01 00:00:00'") + F.make_dt_interval(secs=ms / 1000)
+    return F.when(ms.isNull() | (ms == 0), "").otherwise(F.date_format(at, "MMMM d, yyyy"))
+
+
+def looks_like_markdown(text: Column) -> Column:
+    """Markdown marks and no block element of HTML."""
+    marks = F.lit(False)
+    for p in MARKDOWN:
+        marks = marks | text.rlike(p)
+    return ~text.rlike(r"(?i)<(p|div|h[1-6]|ul|ol|blockquote|pre)\b") & marks
+
+
 def clean_title(title: Column, site: Column) -> Column:
     """A title without the tail, behind its last separator, that holds the site's name."""
     out = F.when(site == "", F.trim(title))
@@ -107,7 +132,7 @@ def clean_author(author: Column) -> Column:
 
     def before_news(x: Column) -> Column:
         parts = F.split(x, r"\s+·\s+", -1)
-        news = F.exists(F.slice(parts, 2, 1000), lambda p: matches(p, r"\b(?:news|posted|updated)\b", True))
+        news = F.exists(F.slice(parts, F.lit(2), F.size(parts)), lambda p: matches(p, r"\b(?:news|posted|updated)\b", True))
         return compact(F.when((F.size(parts) > 1) & news, parts[0]).otherwise(x))
 
     def person(x: Column) -> Column:

@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 def round_robin_by(rows: DataFrame, key: str, position: str, limit: int, per_key: int | None = None) -> DataFrame:
     """The first of each key in the order keys appear, then the second of each, up to limit; adds round and slot.
 
-    Keys take turns in the order of their first position, so the result is a sort by (round, first position).
+    Keys take turns in the order of their first position, so the result is a sort by (round, first position). A key is
+    cut at what it can give before its shuffle, so a key with a third of all rows sends a task few of them.
     """
     own = Window.partitionBy(key).orderBy(position)
-    rows = rows.withColumn("round", F.row_number().over(own)).withColumn("_first", F.min(position).over(Window.partitionBy(key)))
-    if per_key is not None:
-        rows = rows.where(F.col("round") <= per_key)
+    rows = rows.withColumn("round", F.row_number().over(own)).where(F.col("round") <= min(limit, limit if per_key is None else per_key))
+    rows = rows.withColumn("_first", F.min(position).over(Window.partitionBy(key)))
     top = rows.orderBy("round", "_first").limit(limit)
     return top.withColumn("slot", F.row_number().over(Window.orderBy("round", "_first"))).drop("_first")
 
@@ -42,7 +42,7 @@ def identity_cap(counts: DataFrame, limit: int) -> DataFrame:
     steps = steps.withColumn("gap", F.col("cap") - F.coalesce(F.lag("cap").over(below), F.lit(0)))
     steps = steps.withColumn("filled", F.sum(F.col("gap") * F.col("at_least")).over(below))
     # Within a step each cap adds at_least; the last step's caps that are still enough follow by division.
-    meets = steps.join(slots.select("slots"), F.col("filled") >= F.col("slots")).groupBy("slots").agg(F.min_by(F.struct("cap", "at_least", "filled"), F.col("cap")).alias("s"))
+    meets = steps.withColumn("_k", F.lit(1)).join(slots.select("slots", F.lit(1).alias("_k")), "_k").where(F.col("filled") >= F.col("slots")).groupBy("slots").agg(F.min_by(F.struct("cap", "at_least", "filled"), F.col("cap")).alias("s"))
     cap = F.col("s.cap") - F.floor((F.col("s.filled") - F.col("slots")) / F.col("s.at_least"))
     return slots.select("slots").join(meets.select(F.col("slots").alias("_slots"), cap.alias("cap")), F.col("slots") == F.col("_slots"), "left").select(F.col("slots").cast("long"), F.when(F.col("slots") == 0, 0).otherwise(F.col("cap")).cast("long").alias("cap"))
 
@@ -108,29 +108,40 @@ def hn_lanes(stories: DataFrame, limit: int = 12) -> DataFrame:
     left = stories.join(taken.select("url"), "url", "left_anti")
     playful = F.when(F.col("playfulness") > 0, 0).otherwise(1)
     order = [playful, F.when(playful == 0, -F.col("selection_score")).otherwise(-F.col("points").cast("double")), -F.col("selection_score"), at]
-    fill = left.withColumn("lane", F.lit("fill")).withColumn("_lane", F.lit(3)).withColumn("_in", F.row_number().over(Window.orderBy(*order)))
-    out = taken.unionByName(fill.orderBy("_in").limit(limit)).orderBy("_lane", "_in").limit(limit)
+    fill = left.orderBy(*order).limit(limit)
+    fill = fill.withColumn("lane", F.lit("fill")).withColumn("_lane", F.lit(3)).withColumn("_in", F.row_number().over(Window.orderBy(*order)))
+    out = taken.unionByName(fill).orderBy("_lane", "_in").limit(limit)
     return out.withColumn("slot", F.row_number().over(Window.orderBy("_lane", "_in"))).drop("_lane", "_in")
 
 
 def duplicate_voices(candidates: DataFrame, sources: DataFrame) -> DataFrame:
-    """(candidate_id, source_id) where a candidate is a voice we carry: by name, by a contained name or by domain.
+    """(candidate_id, source_id) of every candidate that is a voice we carry, with the least source it repeats.
 
-    candidates: (candidate_id, name, domain); sources: (source_id, name, domain), names normalised. Equal names and equal
-    domains are equi-joins. Containment is one on n-grams: a name of 8 characters or more is in another one only if its
-    first 8 are, at some place.
+    candidates: (candidate_id, name, domain); sources: (source_id, name, domain), names normalised. Equal names of 6
+    characters and equal domains are equi-joins. Containment is one on n-grams: a name of 8 characters or more is in
+    another only if all its runs of 8 characters are, so it is looked up by the one of them that the fewest names have; a
+    common opening costs nothing. Names and domains are made distinct first, and a candidate gives one row.
     """
 
-    def grams(rows: DataFrame, id_: str, every: bool) -> DataFrame:
-        n = F.length("name")
-        places = F.sequence(F.lit(1), n - 7) if every else F.array(F.lit(1))
-        return rows.where(n >= 8).select(id_, "name", F.explode(F.array_distinct(F.transform(places, lambda i: F.substring(F.col("name"), i, F.lit(8))))).alias("gram"))
-
-    by_name = candidates.join(sources.where(F.length("name") >= 6).select("source_id", "name"), "name").select("candidate_id", "source_id")
-    by_domain = candidates.where("domain <> ''").join(sources.select("source_id", "domain"), "domain").select("candidate_id", "source_id")
-
-    def contained(inner: DataFrame, outer: DataFrame, a: str, b: str) -> DataFrame:
-        x, y = grams(inner, a, False).withColumnRenamed("name", "inner_name"), grams(outer, b, True)
-        return x.join(y, "gram").where(F.contains("name", "inner_name")).select("candidate_id", "source_id")
-
-    return by_name.union(by_domain).union(contained(sources, candidates, "source_id", "candidate_id")).union(contained(candidates, sources, "candidate_id", "source_id")).distinct()
+    def least(rows: DataFrame, key: str) -> DataFrame:
+        return rows.groupBy(key).agg(F.min("source_id").alias("source_id"))
+
+    def grams(names: DataFrame) -> DataFrame:
+        runs = F.transform(F.sequence(F.lit(1), F.length("name") - 7), lambda i: F.substring(F.col("name"), i, F.lit(8)))
+        return names.where(F.length("name") >= 8).select("name", F.explode(F.array_distinct(runs)).alias("gram"))
+
+    def contained(inner: DataFrame, outer: DataFrame) -> DataFrame:
+        """(inner_name, name): distinct names of inner that lie in names of outer."""
+        there = grams(outer)
+        own = grams(inner).join(there.groupBy("gram").agg(F.count("*").alias("k")), "gram", "left")
+        rare = own.groupBy("name").agg(F.min_by("gram", "k").alias("gram"), F.count_if(F.col("k").isNull()).alias("absent")).where("absent = 0")
+        return rare.select(F.col("name").alias("inner_name"), "gram").join(there, "gram").where(F.contains("name", "inner_name")).select("inner_name", "name")
+
+    carried = least(sources.where(F.length("name") >= 6), "name")
+    names = candidates.select("name").distinct()
+    same = names.join(carried, "name")
+    held = contained(carried.select("name"), names).join(carried.withColumnRenamed("name", "inner_name"), "inner_name").select("name", "source_id")
+    holding = contained(names, carried.select("name")).join(carried, "name").select(F.col("inner_name").alias("name"), "source_id")
+    by_name = candidates.join(least(same.unionByName(held).unionByName(holding), "name"), "name").select("candidate_id", "source_id")
+    by_domain = candidates.where("domain <> ''").join(least(sources, "domain"), "domain").select("candidate_id", "source_id")
+    return least(by_name.union(by_domain), "candidate_id")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkwell.functions import hn
+
 # Cards remembered, cards per topic below which a refill is due, trust bounds by origin.
 CONTEXT, LOW_WATER = 60, 12
 MOST = {"seed": 0.58}
@@ -16,16 +18,19 @@ def diversity_context(queue: DataFrame, articles: DataFrame, size: int = CONTEXT
     last = queue.orderBy(F.col("position").desc()).limit(size).join(articles, "id")
     read = articles.where("is_read = 1 and read_at is not null").orderBy(F.col("read_at").desc(), F.col("id").desc()).limit(size)
     read = read.withColumn("position", F.row_number().over(Window.orderBy("read_at", "id")))
-    nothing = queue.agg(F.count("*").alias("_n")).where("_n = 0")
     names = [c for c in last.columns if c in read.columns]
-    return last.select(names).unionByName(read.join(nothing).select(names))
+    alone = read.withColumn("_k", F.lit(1)).join(queue.limit(1).select(F.lit(1).alias("_k")), "_k", "left_anti")
+    return last.select(names).unionByName(alone.select(names))
+
 
+def append_unseen(queue: DataFrame, fresh: DataFrame, most: int = 10 * CONTEXT) -> DataFrame:
+    """(position, id): the queue with the fresh cards it doesn't hold behind it, each once, in their order.
 
-def append_unseen(queue: DataFrame, fresh: DataFrame) -> DataFrame:
-    """(position, id): the queue with the fresh cards it doesn't hold behind it, each once, in their order."""
+    fresh is one window of cards; no more than `most` of them, ten windows, are appended at once.
+    """
     new = fresh.groupBy("id").agg(F.min("position").alias("position")).join(queue.select("id"), "id", "left_anti")
-    end = queue.agg(F.coalesce(F.max("position"), F.lit(0)).alias("_end"))
-    placed = new.withColumn("_n", F.row_number().over(Window.orderBy("position"))).join(end)
+    end = queue.agg(F.coalesce(F.max("position"), F.lit(0)).alias("_end")).withColumn("_k", F.lit(1))
+    placed = new.orderBy("position").limit(most).withColumn("_n", F.row_number().over(Window.orderBy("position"))).withColumn("_k", F.lit(1)).join(end, "_k")
     return queue.select("position", "id").unionByName(placed.select((F.col("_end") + F.col("_n")).cast(queue.schema["position"].dataType).alias("position"), "id"))
 
 
@@ -81,7 +86,7 @@ def probe_outcomes(evidence: DataFrame) -> DataFrame:
     evidence: (domain, allowed, known, feed_url, entries, title, authors, duplicate, failed).
     """
     outcome = F.when(~F.col("allowed"), "blocked").when(F.col("known"), "known").when(F.col("failed") | F.col("feed_url").isNull(), "error").when(F.col("entries") < 2, "blocked")
-    outcome = outcome.when(F.col("title").rlike(r"(?i)podcast|archive|changelog|release notes|recent additions|\bnews\b|status|jobs|roadmap|press release"), "blocked").when(F.col("authors") >= 4, "blocked").when(F.col("duplicate"), "known").otherwise("added")
+    outcome = outcome.when(F.col("title").rlike(hn.NOT_BLOG), "blocked").when(F.col("authors") >= 4, "blocked").when(F.col("duplicate"), "known").otherwise("added")
     return evidence.select("domain", outcome.alias("outcome"), (outcome != "error").alias("takes_slot"))
 
 

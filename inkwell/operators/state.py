@@ -48,18 +48,22 @@ def trust(log: DataFrame, start: Column) -> DataFrame:
     return clamped_fold(log, "source_id", "seq", step, start)
 
 
-def poll_interval(checks: DataFrame, start: Column) -> DataFrame:
+def poll_interval(checks: DataFrame, start: Column, block: int = 4096) -> DataFrame:
     """(source_id, value): hours to the next check after (source_id, seq, at, new_entries).
 
     A check that brings something sets the hours since the one before, if those are 0.5 to 720; one that brings nothing,
     and the first, stretches the interval by 1.3; half an hour to a week bound it.
     """
-    gap = (F.col("at") - F.lag("at").over(Window.partitionBy("source_id").orderBy("seq"))) / 3600000.0
-    rows = checks.withColumn("gap", gap)
+    # The check before is in the same block of entries, or it is the last of the block before; no task sees a whole log.
+    blocked = checks.withColumn("_block", F.floor(F.col("seq") / block))
+    ends = blocked.groupBy("source_id", "_block").agg(F.max_by("at", "seq").alias("_end"))
+    ends = ends.withColumn("_before", F.lag("_end").over(Window.partitionBy("source_id").orderBy("_block"))).drop("_end")
+    before = F.coalesce(F.lag("at").over(Window.partitionBy("source_id", "_block").orderBy("seq")), "_before")
+    rows = blocked.join(ends, ["source_id", "_block"]).withColumn("gap", (F.col("at") - before) / 3600000.0).drop("_block", "_before")
     fresh = (F.col("new_entries") > 0) & F.col("gap").isNotNull()
     usable = fresh & (F.col("gap") >= 0.5) & (F.col("gap") <= 720)
     a = F.when(usable, 0.0).when(fresh, 1.0).otherwise(1.3)
-    return clamped_fold(rows, "source_id", "seq", _map(a, F.when(usable, F.col("gap")).otherwise(0.0), F.lit(0.5), F.lit(168.0)), start)
+    return clamped_fold(rows, "source_id", "seq", _map(a, F.when(usable, F.col("gap")).otherwise(0.0), F.lit(0.5), F.lit(168.0)), start, block)
 
 
 def failures(checks: DataFrame, dead_at: int = 8) -> DataFrame:
@@ -128,6 +132,6 @@ def pruned(articles: DataFrame, now: int = AS_OF, text_days: int = 30, dead_days
 
 def under_ceiling(articles: DataFrame, ceiling: int, batch: int = 200) -> DataFrame:
     """Articles without the `batch` oldest read, unbookmarked ones, if all texts together are over the ceiling."""
-    total = articles.agg(F.coalesce(F.sum(F.octet_length("text_content").cast("long")), F.lit(0)).alias("bytes")).where(F.col("bytes") > ceiling)
+    total = articles.agg(F.coalesce(F.sum(F.octet_length("text_content").cast("long")), F.lit(0)).alias("bytes")).where(F.col("bytes") > ceiling).select(F.lit(1).alias("_k"))
     old = articles.where("is_bookmarked = 0 and is_read = 1").orderBy(F.coalesce("read_at", "fetched_at"), "id").limit(batch)
-    return articles.join(old.select("id").join(total), "id", "left_anti")
+    return articles.join(old.select("id", F.lit(1).alias("_k")).join(total, "_k").select("id"), "id", "left_anti")

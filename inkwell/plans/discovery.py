@@ -10,7 +10,7 @@ from inkwell.operators import fairness
 from inkwell.plans.oracle_views import with_views
 from inkwell.plans.registry import query
 from inkwell.plans.text import HEADLINES, q, qs
-from inkwell.sources import feeds, views
+from inkwell.sources import feeds, pages, views
 
 
 def _feed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,20 +78,20 @@ def hn_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fairness.hn_lanes(rows, 12).select("url", "points", "playfulness", "lane", F.col("slot").cast("long").alias("slot"))
 
 
-_LINKS = """WITH links AS (SELECT event_id % 60 AS batch, event_id AS position, 'site-' || (user_id * 7 % 90) || '.example' AS domain, 'https://www.site-' || (user_id * 7 % 90) || '.example/blog/' || event_id AS url,
-    ['technology', 'economics', 'math'][(event_id % 3 + 1)::INT] AS topic, ['outbound', 'hn', 'outbound', 'aggregator', 'outbound', 'outbound'][(event_id % 60 % 6 + 1)::INT] AS origin, epoch_us(ts) // 1000 AS ms FROM events WHERE event_type = 'click'),
+_LINKS = """WITH links AS (SELECT event_id // 60 AS batch, event_id AS position, 'site-' || (user_id * 7 % 900) || '.example' AS domain, 'https://www.site-' || (user_id * 7 % 900) || '.example/blog/' || event_id AS url,
+    ['technology', 'economics', 'math'][(event_id % 3 + 1)::INT] AS topic, ['outbound', 'hn', 'outbound', 'aggregator', 'outbound', 'outbound'][(event_id // 60 % 6 + 1)::INT] AS origin, epoch_us(ts) // 1000 AS ms FROM events WHERE event_type = 'click'),
 used AS (SELECT * FROM links QUALIFY row_number() OVER (PARTITION BY batch ORDER BY position) <= 30),
 pool AS (SELECT domain, count(*) AS count, arg_min(url, (ms, batch, position)) AS sample_url, arg_min(origin, (ms, batch, position)) AS first_origin, arg_min(topic, (ms, batch, position)) AS first_topic, arg_max(topic, (ms, batch, position)) FILTER (origin = 'aggregator') AS told, min(ms) AS added_at FROM used GROUP BY domain),
-best AS (SELECT domain, count, sample_url, coalesce(told, first_topic) AS topic, CASE WHEN told IS NOT NULL THEN 'aggregator' ELSE first_origin END AS origin, added_at FROM pool ORDER BY count DESC, added_at DESC, domain LIMIT 60)
+best AS (SELECT domain, count, sample_url, coalesce(told, first_topic) AS topic, CASE WHEN told IS NOT NULL THEN 'aggregator' ELSE first_origin END AS origin, added_at FROM pool ORDER BY count DESC, added_at DESC, domain LIMIT 600)
 """
 
 
 def _pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i, name = F.col("event_id"), F.concat(F.lit("site-"), (F.col("user_id") * 7 % 90).cast("string"), F.lit(".example"))
+    i, name = F.col("event_id"), F.concat(F.lit("site-"), (F.col("user_id") * 7 % 900).cast("string"), F.lit(".example"))
     url = F.concat(F.lit("https://www."), name, F.lit("/blog/"), i.cast("string"))
-    rows = views.table(spark, sf_dir, "events").where("event_type = 'click'").select((i % 60).alias("batch"), i.alias("position"), url.alias("url"), views.pick(["technology", "economics", "math"], i).alias("topic"), views.pick(["outbound", "hn", "outbound", "aggregator", "outbound", "outbound"], i % 60).alias("origin"), views.epoch_ms(F.col("ts")).alias("at"))
+    rows = views.table(spark, sf_dir, "events").where("event_type = 'click'").select(F.floor(i / 60).alias("batch"), i.alias("position"), url.alias("url"), views.pick(["technology", "economics", "math"], i).alias("topic"), views.pick(["outbound", "hn", "outbound", "aggregator", "outbound", "outbound"], F.floor(i / 60)).alias("origin"), views.epoch_ms(F.col("ts")).alias("at"))
     rows = rows.withColumn("c", urls.candidate(F.col("url"))).select("*", "c.site_url", "c.domain")
-    return fairness.fold_candidates(rows, 30, 60)
+    return fairness.fold_candidates(rows)
 
 
 @query(_LINKS + "SELECT domain, count, sample_url, 'https://www.' || domain || '/blog/' || regexp_extract(sample_url, '([0-9]+)$', 1) AS site_check, topic, origin, added_at FROM best")
@@ -107,14 +107,14 @@ def candidate_promotion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fairness.promotable(_pool(spark, sf_dir), rejected).select("domain", "count", "origin")
 
 
-@query(r"""WITH c AS (SELECT doc_id AS candidate_id, regexp_replace(lower('The ' || substr(text, 1, 14 + (doc_id % 12)::INT)), '[^a-z0-9]', '', 'g') AS name, 'site-' || (doc_id % 60) || '.example' AS domain FROM documents WHERE doc_id % 3 = 0),
-s AS (SELECT doc_id AS source_id, regexp_replace(lower(substr(text, 1, 10 + (doc_id % 7)::INT)), '[^a-z0-9]', '', 'g') AS name, 'site-' || (doc_id % 400) || '.example' AS domain FROM documents WHERE doc_id % 3 = 1)
-SELECT candidate_id, source_id FROM c, s WHERE (length(s.name) >= 6 AND (c.name = s.name OR (length(s.name) >= 8 AND length(c.name) >= 8 AND (contains(c.name, s.name) OR contains(s.name, c.name))))) OR c.domain = s.domain""")
+@query(r"""WITH c AS (SELECT doc_id AS candidate_id, regexp_replace(lower('The ' || substr(text, 1, 14 + (doc_id % 12)::INT)), '[^a-z0-9]', '', 'g') AS name, 'site-' || (doc_id * 13 % 50021) || '.example' AS domain FROM documents),
+s AS (SELECT doc_id AS source_id, regexp_replace(lower(substr(text, 1, 10 + (doc_id % 7)::INT)), '[^a-z0-9]', '', 'g') AS name, 'site-' || doc_id || '.example' AS domain FROM documents)
+SELECT candidate_id, min(source_id) AS source_id FROM c, s WHERE (length(s.name) >= 6 AND (c.name = s.name OR (length(s.name) >= 8 AND length(c.name) >= 8 AND (contains(c.name, s.name) OR contains(s.name, c.name))))) OR c.domain = s.domain GROUP BY candidate_id""")
 def duplicate_voice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates that are voices carried already, by equi-joins on names, their n-grams and domains."""
+    """Candidates that are voices carried already, with the first source they repeat."""
     docs, i = views.table(spark, sf_dir, "documents"), F.col("doc_id")
-    new = docs.where(i % 3 == 0).select(i.alias("candidate_id"), texts.normal_name(F.concat(F.lit("The "), F.substring(F.col("text"), F.lit(1), (F.lit(14) + i % 12).cast("int")))).alias("name"), F.concat(F.lit("site-"), (i % 60).cast("string"), F.lit(".example")).alias("domain"))
-    old = docs.where(i % 3 == 1).select(i.alias("source_id"), texts.normal_name(F.substring(F.col("text"), F.lit(1), (F.lit(10) + i % 7).cast("int"))).alias("name"), F.concat(F.lit("site-"), (i % 400).cast("string"), F.lit(".example")).alias("domain"))
+    new = docs.select(i.alias("candidate_id"), texts.normal_name(F.concat(F.lit("The "), F.substring(F.col("text"), F.lit(1), (F.lit(14) + i % 12).cast("int")))).alias("name"), F.concat(F.lit("site-"), (i * 13 % 50021).cast("string"), F.lit(".example")).alias("domain"))
+    old = docs.select(i.alias("source_id"), texts.normal_name(F.substring(F.col("text"), F.lit(1), (F.lit(10) + i % 7).cast("int"))).alias("name"), F.concat(F.lit("site-"), i.cast("string"), F.lit(".example")).alias("domain"))
     return fairness.duplicate_voices(new, old)
 
 
@@ -125,28 +125,36 @@ def due_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.orderBy(F.col("next_check_at").asc_nulls_first(), "id").limit(8).select("id", "name", "status", "next_check_at")
 
 
-_OUT = r"""WITH n AS (SELECT count(*) AS n FROM pages), p AS (SELECT page_id, url, row_number() OVER (ORDER BY page_id) - 1 AS r FROM pages),
-l AS (SELECT a.page_id, k, CASE WHEN k = 3 THEN 'https://github.com/x/' || a.page_id WHEN k = 4 THEN '/local/' || a.page_id ELSE b.url END AS href, regexp_extract(a.url, '^https?://([^/?#]+)', 1) AS own
-  FROM p a, n, (SELECT unnest([1, 2, 3, 4, 5]) AS k) JOIN p b ON b.r = (7 * a.r + k) % n.n)
-, h AS (SELECT page_id, k, regexp_extract(href, '^(https?)://([^/?#]+)([^?#]*)', ['scheme', 'host', 'path']) AS u, own FROM l WHERE k <> 4)
-SELECT page_id, min(k) AS position, u.scheme || '://' || u.host || u.path AS link FROM h
-WHERE u.host <> own AND u.host <> 'github.com' AND u.path NOT IN ('', '/') AND NOT regexp_matches(lower(u.path), '/(tag|tags|category|categories|author|archive|page|search)/') GROUP BY page_id, link"""
+_OUT = r"""WITH l AS (SELECT page_id, regexp_extract(url, '^https?://([^/?#]+)', 1) AS own, regexp_extract(url, '^(https?)', 1) AS scheme, k,
+  CASE k WHEN 3 THEN 'https://github.com/x/' || page_id WHEN 4 THEN '/local/' || page_id WHEN 5 THEN 'HTTPS://www.site-' || (page_id * 7 % 97) || '.example/a/' || page_id || '?q=1#f' WHEN 6 THEN 'https://site-' || (page_id % 50) || '.example/'
+    WHEN 7 THEN '//cdn-' || page_id || '.example/post/x' WHEN 8 THEN 'https://site-1.example/tag/x' ELSE 'https://site-' || ((page_id * 7 + k // 2) % 97) || '.example/a/' || page_id END AS href FROM pages, (SELECT unnest(range(1, 9)) AS k)),
+h AS (SELECT page_id, k, own, regexp_extract(regexp_replace(href, '^//', scheme || '://'), '^([A-Za-z]+)://([^/?#]+)([^?#]*)', ['scheme', 'host', 'path']) AS u FROM l WHERE k <> 4),
+g AS (SELECT page_id, lower(u.scheme) || '://' || lower(u.host) || u.path AS url, min(k) AS k FROM h
+  WHERE lower(u.host) <> own AND u.host <> 'github.com' AND ({roots} u.path NOT IN ('', '/')) AND NOT regexp_matches(lower(u.path), '/(tag|tags|category|categories|author|archive|page|search)/') GROUP BY ALL)
+SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY k) AS position, url, '{hint}' AS topic_hint FROM g"""
 
 
-@query(_OUT)
+def _linked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages with eight links more, of every kind that the rules know."""
+    i = F.col("page_id")
+
+    def made(k):
+        site = F.concat(F.lit("https://site-"), ((i * 7 + F.floor(k / 2)) % 97).cast("string"), F.lit(".example/a/"), i.cast("string"))
+        href = F.when(k == 3, F.concat(F.lit("https://github.com/x/"), i.cast("string"))).when(k == 4, F.concat(F.lit("/local/"), i.cast("string"))).when(k == 5, F.concat(F.lit("HTTPS://www.site-"), (i * 7 % 97).cast("string"), F.lit(".example/a/"), i.cast("string"), F.lit("?q=1#f")))
+        href = href.when(k == 6, F.concat(F.lit("https://site-"), (i % 50).cast("string"), F.lit(".example/"))).when(k == 7, F.concat(F.lit("//cdn-"), i.cast("string"), F.lit(".example/post/x"))).when(k == 8, F.lit("https://site-1.example/tag/x")).otherwise(site)
+        return F.concat(F.lit('<p><a class="l" href="'), href, F.lit('">x</a></p>'))
+
+    more = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(8)), made), "")
+    return views.table(spark, sf_dir, "pages").select("page_id", "url", F.concat("html", more).alias("html"))
+
+
+@query(_OUT.format(roots="", hint="technology"))
 def outbound_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Links of pages to articles elsewhere, the first forty of each page, each address once."""
-    from pyspark.sql import Window
-
-    pages = views.table(spark, sf_dir, "pages").withColumn("r", F.row_number().over(Window.orderBy("page_id")) - 1)
-    n = views.table(spark, sf_dir, "pages").count()
-    ks = pages.select("page_id", "url", "r", F.explode(F.array(*map(F.lit, range(1, 6)))).alias("k")).withColumn("to", (F.col("r") * 7 + F.col("k")) % n)
-    there = pages.select(F.col("r").alias("to"), F.col("url").alias("target"))
-    href = F.when(F.col("k") == 3, F.concat(F.lit("https://github.com/x/"), F.col("page_id").cast("string"))).when(F.col("k") == 4, F.concat(F.lit("/local/"), F.col("page_id").cast("string"))).otherwise(F.col("target"))
-    made = ks.join(there, "to").groupBy("page_id", "url").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", href.alias("h")))), lambda s: F.concat(F.lit('<p><a class="l" href="'), s["h"], F.lit('">x</a></p>'))), "").alias("html"))
-    found = made.select("page_id", "url", F.posexplode(F.regexp_extract_all("html", F.lit(r"""(?i)<a\s[^>]*href=["']([^"']+)["'][^>]*>"""), F.lit(1))).alias("i", "href"))
-    where, own = urls.host(F.col("href")), urls.host(F.col("url"))
-    bare = F.concat(F.lower(F.regexp_extract("href", r"^([A-Za-z]+)://", 1)), F.lit("://"), where, urls.path(F.col("href")))
-    fits = where.isNotNull() & (where != own) & urls.is_article_path(bare) & urls.classify(bare)["allowed"]
-    out = found.where(fits).select("page_id", (F.col("i") + 1).alias("position"), bare.alias("link")).groupBy("page_id", "link").agg(F.min("position").alias("position"))
-    return out.withColumn("_n", F.row_number().over(Window.partitionBy("page_id").orderBy("position"))).where("_n <= 40").drop("_n")
+    """Links of pages to articles elsewhere."""
+    return pages.outbound_links(_linked_pages(spark, sf_dir))
+
+
+@query(_OUT.format(roots="u.path IN ('', '/') OR", hint="math"))
+def outbound_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of pages to articles and front pages elsewhere."""
+    return pages.outbound_links(_linked_pages(spark, sf_dir), allow_root_paths=True, topic_hint="math")

@@ -6,18 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkwell.operators import ranking, session
+from inkwell.operators.ranking import Settings
 from inkwell.plans.oracle_views import with_views
 from inkwell.plans.registry import query
 from inkwell.sources import views
 
 
 def _queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every ninth article, queued from the newest id on."""
-    rows = views.articles(spark, sf_dir).where("id % 9 = 0").select("id")
+    """The bookmarked articles, queued from the newest id on."""
+    rows = views.articles(spark, sf_dir).where("is_bookmarked = 1").select("id")
     return rows.select((F.lit(1_000_000) - F.col("id")).alias("position"), "id")
 
 
-@query(with_views("SELECT 1000000 - id AS position, id, domain, topic FROM keyed WHERE id % 9 = 0 ORDER BY position DESC LIMIT 60", "keyed"))
+@query(with_views("SELECT 1000000 - id AS position, id, domain, topic FROM keyed WHERE is_bookmarked = 1 ORDER BY position DESC LIMIT 60", "keyed"))
 def queued_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last sixty queued cards."""
     cards = ranking.keyed(views.articles(spark, sf_dir)).select("id", "domain", "topic", "is_read", "read_at")
@@ -31,14 +32,13 @@ def read_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return session.diversity_context(_queue(spark, sf_dir).where("id < 0"), cards).select("position", "id", "domain", "topic")
 
 
-@query(with_views("""--+ q AS (SELECT 1000000 - id AS position, id FROM articles WHERE id % 9 = 0), n AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS r FROM articles WHERE id % 3 = 0 AND id NOT IN (SELECT id FROM q))
-SELECT position, id FROM q UNION ALL SELECT (SELECT max(position) FROM q) + r, id FROM n""", "articles"))
+@query(with_views("""--+ q AS (SELECT 1000000 - id AS position, id FROM articles WHERE is_bookmarked = 1),
+w AS (SELECT id, row_number() OVER (ORDER BY greatest(rank_in_voice, rank_in_domain), ranking_key DESC, id) AS r FROM ranked QUALIFY r <= 360), n AS (SELECT id, row_number() OVER (ORDER BY r) AS r FROM w WHERE id NOT IN (SELECT id FROM q))
+SELECT position, id FROM q UNION ALL SELECT (SELECT max(position) FROM q) + r, id FROM n""", "ranked"))
 def top_up(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The queue with the best unqueued cards behind it."""
-    from pyspark.sql import Window
-
-    fresh = views.articles(spark, sf_dir).where("id % 3 = 0").select("id", F.row_number().over(Window.orderBy(F.col("score").desc(), "id")).alias("position"))
-    return session.append_unseen(_queue(spark, sf_dir), fresh)
+    """The queue with the unqueued cards of a window behind it; the window of 360 is the feature."""
+    rows = ranking.weighed(views.articles(spark, sf_dir), views.sources(spark, sf_dir), views.muted(spark, sf_dir), Settings())
+    return session.append_unseen(_queue(spark, sf_dir), ranking.round_robin(rows, 360).select("id", "position"))
 
 
 @query(with_views("SELECT id, CASE WHEN topic IN ('technology', 'math') AND status = 'paused' THEN 'active' WHEN topic NOT IN ('technology', 'math') AND status IN ('active', 'failing') THEN 'paused' ELSE status END AS status FROM sources", "sources"))

@@ -20,8 +20,6 @@ from inkwell.functions import hn, texts, urls
 
 _FIELDS = ["url", "title", "author", "published", "summary"]
 _ISO_DAY = re.compile(r"\d{4}-\d{2}-\d{2}")
-#: Characters of a document that are read.
-MOST = 1_500_000
 
 
 def _name(e: ET.Element) -> str:
@@ -56,10 +54,13 @@ def parse_date(raw: str) -> int | None:
         return None
 
 
-def parse_document(raw: str | None) -> tuple[str, str, list[dict]] | None:
-    """(title, site, entries) of a feed; None for what is none. RDF without entries is none."""
+def parse_document(raw: str | None, most: int | None = None) -> tuple[str, str, list[dict]] | None:
+    """(title, site, entries) of a feed; None for what is none. RDF without entries is none.
+
+    most: characters of a document that are read, 1.5 million in the product's own crawler; None: all.
+    """
     try:
-        root = ET.fromstring((raw or "")[:MOST].strip())
+        root = ET.fromstring((raw or "")[:most].strip())
     except (ET.ParseError, ValueError):
         return None
     kind = _name(root)
@@ -96,10 +97,10 @@ def strip_html(text: Column) -> Column:
     return texts.compact(F.regexp_replace(F.regexp_replace(text, "<[^>]*>", " "), "(?i)&[a-z#0-9]+;", " "))
 
 
-def entries(documents: DataFrame, id_col: str = "feed_id", xml_col: str = "xml") -> DataFrame:
+def entries(documents: DataFrame, id_col: str = "feed_id", xml_col: str = "xml", most: int | None = None) -> DataFrame:
     """(feed_id, feed_title, site_url, position, url, title, author, published, summary) of every entry with an http URL.
 
-    Documents that are no feed give no rows. Titles lose their tags, missing ones become "(untitled)"; URLs lose
+    Documents that are no feed give no rows; whole documents are read unless most says otherwise. Titles lose their tags, missing ones become "(untitled)"; URLs lose
     fragments and tracking parameters.
     """
     item = pa.struct([(f, pa.int64() if f == "published" else pa.string()) for f in _FIELDS])
@@ -107,7 +108,7 @@ def entries(documents: DataFrame, id_col: str = "feed_id", xml_col: str = "xml")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [parse_document(x.as_py()) for x in batch.column(1)]
+            found = [parse_document(x.as_py(), most) for x in batch.column(1)]
             columns = [pa.array([f and f[0] for f in found], pa.string()), pa.array([f and f[1] for f in found], pa.string()), pa.array([f and f[2] for f in found], pa.list_(item))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["feed_id", "feed_title", "site_url", "entries"])
 

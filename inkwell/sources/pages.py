@@ -8,15 +8,16 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
 from urllib.parse import unquote, urljoin, urlsplit
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkwell.functions import texts, urls
 from inkwell.functions.basics import matches
 from inkwell.sources.feeds import parse_date
 
@@ -29,12 +30,10 @@ MATHJAX = re.compile(r"<script\s+type=[\"']math/tex(;\s*mode=display)?[\"'][^>]*
 LATEX_IMAGE = re.compile(r"<img\b[^>]*\bsrc\s*=\s*([\"'])((?:https?:)?//(?:[a-z0-9-]+\.)*(?:wp|wordpress)\.com/latex\.php\?.*?)\1[^>]*/?>", re.I)
 LATEX = re.compile(r"\\[a-zA-Z]+|[_^{}]|\d\s*[a-zA-Z]\s*\d|\\$")
 MATH = re.compile(r"\$\$([\s\S]+?)\$\$|\\\[([\s\S]+?)\\\]|\\\(([\s\S]+?)\\\)")
-BOILERPLATE = re.compile(r"(share|tweet|follow|subscribe|sign up|log in|login|menu|search|comments?|related posts?|leave a (reply|comment)|advertisement|cookie|copyright|all rights reserved|privacy policy|terms of service)", re.I)
+BOILERPLATE = [re.compile(p) for p in (texts.BOILERPLATE, texts.LEGAL)]
 LANGUAGE = re.compile(r"(?:^|\s)(?:lang|language)[-_]([\w+#-]+)", re.I)
-MARKDOWN = [re.compile(p, re.M) for p in (r"^#{1,6}\s", r"\*\*[^*\n]+\*\*", r"^[-*]\s+\S", r"```", r"\[[^\]]+\]\([^)]+\)")]
-MAX_PAGE, MAX_HTML, MAX_TEXT, MIN_WORDS = 600_000, 300_000, 60_000, 80
+MIN_WORDS = 80
 LEAST_BLOCK, MOST_LINKS = 40, 0.55
-TITLE_SEPARATORS = [" | ", " – ", " — ", " - ", " :: ", " » "]
 #: (language, pattern, weight, any case) of code; the first with the most points from 2 on wins.
 CODE = [
     ("rust", r"\b(fn\s+\w+|impl\s+\w|let\s+mut|vec!)", 2, False), ("rust", r"\b(unsafe|trait|crate)::?", 1, False), ("python", r"(?m)^\s*def\s+\w+\(", 2, False), ("python", r"(?m)^\s*from\s+\S+\s+import\s", 1, False),
@@ -42,7 +41,22 @@ CODE = [
     ("c", r"#include\s*[<\"]", 2, False), ("sql", r"\b(SELECT|INSERT INTO|CREATE TABLE)\b", 2, True), ("bash", r"(?m)^\$\s", 2, False),
 ]
 SEGMENT_TAGS = frozenset("p blockquote h1 h2 h3 h4 ul ol figure table".split())
-MAX_SEGMENTS = 250
+
+
+@dataclass(frozen=True)
+class Limits:
+    """Characters of a page that are read, of content and text that are kept, and parts of an article; None: all.
+
+    PRODUCT has the bounds of the product's own crawler and reader, which runs on telephones.
+    """
+
+    page: int | None = None
+    content: int | None = None
+    text: int | None = None
+    segments: int | None = None
+
+
+WHOLE, PRODUCT = Limits(), Limits(600_000, 300_000, 60_000, 250)
 
 
 @dataclass
@@ -69,11 +83,29 @@ class Node:
         return "".join(said)
 
     def inner(self) -> str:
-        return "".join(html.escape(c, quote=False) if isinstance(c, str) else c.outer() for c in self.children)
+        out, todo = [], list(reversed(self.children))
+        while todo:
+            x = todo.pop()
+            if isinstance(x, str):
+                out.append(html.escape(x, quote=False))
+            elif isinstance(x, _End):
+                out.append(f"</{x.tag}>")
+            else:
+                out.append("<" + x.tag + "".join(f' {k}="{html.escape(v)}"' for k, v in x.attributes.items()) + ">")
+                if x.tag not in VOID:
+                    todo.append(_End(x.tag))
+                    todo.extend(reversed(x.children))
+        return "".join(out)
 
     def outer(self) -> str:
-        said = "".join(f' {k}="{html.escape(v)}"' for k, v in self.attributes.items())
-        return f"<{self.tag}{said}>" + ("" if self.tag in VOID else f"{self.inner()}</{self.tag}>")
+        return Node("#", children=[self]).inner()
+
+
+@dataclass
+class _End:
+    """An element's end on a stack of what is still to be written."""
+
+    tag: str
 
 
 class _Builder(HTMLParser):
@@ -122,40 +154,58 @@ def safe_url(raw: str, base: str) -> str:
         return ""
 
 
+def _cleaned(c: Node, base: str) -> dict[str, str] | None:
+    """An allowed element's attributes; None if it has a source that can't stay."""
+    clean: dict[str, str] = {}
+    hint = LANGUAGE.search(c.attributes.get("class", "")) if c.tag in ("pre", "code") else None
+    if hint:
+        clean["data-nc-lang"] = hint[1].lower()
+    for k, v in c.attributes.items():
+        own = (c.tag, k) in (("nc-math", "data-nc-display"), ("pre", "data-nc-lang"), ("code", "data-nc-lang"))
+        if not own and (k.startswith(("on", "data-", "aria-")) or k in ("style", "class", "id", "srcset", "sizes", "loading")):
+            continue
+        if k in ("src", "href") and (c.tag == "a" or k == "src"):
+            v = safe_url(v, base)
+            if not v:
+                continue
+        clean[k] = v
+    return None if "src" in c.attributes and not clean.get("src") else clean
+
+
 def sanitize(node: Node, base: str) -> None:
     """Keep the allowed elements, put others' children in their place, drop what never holds text; clean attributes."""
-    kept: list = []
-    todo = list(reversed(node.children))
+    order, todo = [], [node]
     while todo:
-        c = todo.pop()
-        if isinstance(c, str):
-            kept.append(c)
-        elif c.tag in DROPPED:
-            continue
-        elif c.tag not in ALLOWED and c.tag not in ("html", "body", "head"):
-            todo.extend(reversed(c.children))
-        else:
-            clean: dict[str, str] = {}
-            hint = LANGUAGE.search(c.attributes.get("class", "")) if c.tag in ("pre", "code") else None
-            if hint:
-                clean["data-nc-lang"] = hint[1].lower()
-            for k, v in c.attributes.items():
-                own = (c.tag, k) in (("nc-math", "data-nc-display"), ("pre", "data-nc-lang"), ("code", "data-nc-lang"))
-                if not own and (k.startswith(("on", "data-", "aria-")) or k in ("style", "class", "id", "srcset", "sizes", "loading")):
-                    continue
-                if k in ("src", "href") and (c.tag == "a" or k == "src"):
-                    v = safe_url(v, base)
-                    if not v:
-                        continue
-                clean[k] = v
-            if "src" in c.attributes and not clean.get("src"):
-                continue
-            c.attributes = clean
-            sanitize(c, base)
-            if c.tag in ("p", "li") and not c.text().strip() and not any(x.tag == "img" for x in c.walk()):
+        x = todo.pop()
+        order.append(x)
+        kept: list = []
+        inner = list(reversed(x.children))
+        while inner:
+            c = inner.pop()
+            if isinstance(c, str):
+                kept.append(c)
+            elif c.tag in DROPPED:
                 continue
-            kept.append(c)
-    node.children = kept
+            elif c.tag not in ALLOWED and c.tag not in ("html", "body", "head"):
+                inner.extend(reversed(c.children))
+            elif (clean := _cleaned(c, base)) is not None:
+                c.attributes = clean
+                kept.append(c)
+                todo.append(c)
+        x.children = kept
+    # From the leaves up: paragraphs and items without text or image go.
+    full: set[int] = set()
+    for x in reversed(order):
+        x.children = [c for c in x.children if isinstance(c, str) or c.tag not in ("p", "li") or id(c) in full]
+        if x.tag == "img" or any(c.strip() if isinstance(c, str) else id(c) in full for c in x.children):
+            full.add(id(x))
+
+
+def sanitized_fragment(content: str | None, base: str) -> str:
+    """A fragment of HTML, such as a feed's summary, with the allowed elements only."""
+    root = parse(content or "")
+    sanitize(root, base)
+    return root.inner()
 
 
 def space(text: str) -> str:
@@ -228,88 +278,206 @@ def metadata(root: Node, url: str) -> dict:
 
 def densest(root: Node) -> tuple[str, str] | None:
     """(html, text) of the innermost element that holds all the long, link-poor blocks; None without any."""
-    found: list[tuple[list[Node], Node, str]] = []
-
-    def visit(node: Node, above: list[Node]) -> None:
-        for c in node.children:
-            if not isinstance(c, Node):
-                continue
-            if c.tag in ("p", "pre", "blockquote", "nc-math"):
-                text = re.sub(r"[ \t]+\n", "\n", c.text()).strip() if c.tag == "pre" else space(c.text())
-                links = sum(len(a.text()) for a in c.walk() if a.tag == "a")
-                if len(text) >= LEAST_BLOCK and links < MOST_LINKS * len(text) and not (len(text.strip()) <= 120 and BOILERPLATE.match(text.strip())):
-                    found.append(([*above, node], c, text))
-            visit(c, [*above, node])
-
-    visit(root, [])
+    # In page order: text pieces and elements; an element's subtree is a range of both.
+    nodes, parent, depth, said, first_text, last_text, last_node = [root], [0], [0], [], [0], [0], [0]
+    todo: list = [(0, iter(root.children))]
+    while todo:
+        at, children = todo[-1]
+        c = next(children, None)
+        if c is None:
+            last_text[at], last_node[at] = len(said), len(nodes)
+            todo.pop()
+        elif isinstance(c, str):
+            said.append(c)
+        else:
+            nodes.append(c)
+            parent.append(at)
+            depth.append(depth[at] + 1)
+            first_text.append(len(said))
+            last_text.append(0)
+            last_node.append(0)
+            todo.append((len(nodes) - 1, iter(c.children)))
+    ends = [0]
+    for x in said:
+        ends.append(ends[-1] + len(x))
+    linked = [0]
+    for i, x in enumerate(nodes):
+        linked.append(linked[-1] + (ends[last_text[i]] - ends[first_text[i]] if x.tag == "a" else 0))
+    found: list[tuple[int, str]] = []
+    for i, c in enumerate(nodes):
+        if c.tag in ("p", "pre", "blockquote", "nc-math"):
+            text = "".join(said[first_text[i] : last_text[i]])
+            text = re.sub(r"[ \t]+\n", "\n", text).strip() if c.tag == "pre" else space(text)
+            links = linked[last_node[i]] - linked[i]
+            if len(text) >= LEAST_BLOCK and links < MOST_LINKS * len(text) and not (len(text.strip()) <= 120 and any(p.match(text.strip()) for p in BOILERPLATE)):
+                found.append((i, text))
     if not found:
         return None
-    shared = [a for level in zip(*(x[0] for x in found), strict=False) if all(b is level[0] for b in level) for a in level[:1]]
-    box = shared[-1]
-    parts = [c.outer() if c.tag == "nc-math" else f"<pre>{html.escape(text, quote=False)}</pre>" if c.tag == "pre" else f"<{c.tag}>{c.inner()}</{c.tag}>" for _, c, text in found]
-    heading = next((x.outer() for x in box.walk() if x.tag in ("h1", "h2")), "")
-    return heading + "\n".join(parts), space(box.text())
-
-
-def clean_title(title: str, site: str) -> str:
-    for s in TITLE_SEPARATORS if site else []:
-        head, found, tail = title.rpartition(s)
-        if found and head and tail.strip() and site.lower() in tail.lower():
-            return head.strip()
-    return title.strip()
-
-
-def excerpt(text: str) -> str:
-    if len(text) <= 220:
-        return text
-    head = text[:220]
-    stop = max(head.rfind(". "), head.rfind("! "))
-    return head[: stop + 1] if stop > 100 else re.sub(r"\s\S*$", "", head) + "…"
+    # All blocks lie between the first and the last, so what holds these two holds all.
+    a, b = parent[found[0][0]], parent[found[-1][0]]
+    while a != b:
+        if depth[a] >= depth[b]:
+            a = parent[a]
+        else:
+            b = parent[b]
+    parts = [nodes[i].outer() if nodes[i].tag == "nc-math" else f"<pre>{html.escape(text, quote=False)}</pre>" if nodes[i].tag == "pre" else f"<{nodes[i].tag}>{nodes[i].inner()}</{nodes[i].tag}>" for i, text in found]
+    heading = next((x.outer() for x in nodes[a : last_node[a]] if x.tag in ("h1", "h2")), "")
+    return heading + "\n".join(parts), space("".join(said[first_text[a] : last_text[a]]))
 
 
-def extract(page: str | None, url: str | None) -> dict | None:
-    """An article of a page: None if it has no title or under 80 words."""
+def extract(page: str | None, url: str | None, limits: Limits = WHOLE) -> dict | None:
+    """What is an article of a page: None under 80 words. Its title is as the page gives it."""
     try:
-        prepared = math_placeholders((page or "")[:MAX_PAGE])
-        root = parse(prepared)
+        root = parse(math_placeholders((page or "")[: limits.page]))
         meta = metadata(root, url or "")
         sanitize(root, url or "")
         found = densest(root)
-    except (RecursionError, ValueError):
+    except ValueError:
         return None
     if not found:
         return None
     content, text = found
     words = len(text.split())
-    title = clean_title(space(meta["title"]), meta["site"])
-    if words < MIN_WORDS or not title:
+    if words < MIN_WORDS:
         return None
-    return {"title": title, "author": space(meta["author"]), "site_name": space(meta["site"]), "published_date": meta["published"], "excerpt": excerpt(text), "content_html": content[:MAX_HTML], "text_content": text[:MAX_TEXT], "lead_image_url": meta["image"], "word_count": words}
+    return {"title": space(meta["title"]), "author": space(meta["author"]), "site_name": space(meta["site"]), "published_date": meta["published"], "content_html": content[: limits.content], "text_content": text[: limits.text], "lead_image_url": meta["image"], "word_count": words}
 
 
-_SCHEMA = [("title", pa.string()), ("author", pa.string()), ("site_name", pa.string()), ("published_date", pa.int64()), ("excerpt", pa.string()), ("content_html", pa.string()), ("text_content", pa.string()), ("lead_image_url", pa.string()), ("word_count", pa.int64())]
+_SCHEMA = [("title", pa.string()), ("author", pa.string()), ("site_name", pa.string()), ("published_date", pa.int64()), ("content_html", pa.string()), ("text_content", pa.string()), ("lead_image_url", pa.string()), ("word_count", pa.int64())]
 
 
-def articles(pages: DataFrame) -> DataFrame:
-    """page_id, url and the article of every page that has one; page_id, url, html in."""
+def articles(pages: DataFrame, limits: Limits = WHOLE) -> DataFrame:
+    """page_id, url and the article of every page that has one: a title and 80 words; page_id, url, html in."""
     kind = pages.schema["page_id"].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [extract(h.as_py(), u.as_py()) for h, u in zip(batch.column(2), batch.column(1), strict=True)]
+            found = [extract(h.as_py(), u.as_py(), limits) for h, u in zip(batch.column(2), batch.column(1), strict=True)]
             rows = pa.array([i for i, x in enumerate(found) if x], pa.int64())
             made = [x for x in found if x]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), *(pa.array([x[k] for x in made], t) for k, t in _SCHEMA)], ["page_id", "url", *(k for k, _ in _SCHEMA)])
 
     ddl = ", ".join(f"{k} {'long' if t == pa.int64() else 'string'}" for k, t in _SCHEMA)
-    return pages.select("page_id", "url", "html").mapInArrow(run, f"page_id {kind}, url string, {ddl}")
+    rows = pages.select("page_id", "url", "html").mapInArrow(run, f"page_id {kind}, url string, {ddl}")
+    rows = rows.withColumn("title", texts.clean_title(F.col("title"), F.col("site_name"))).where("title <> ''")
+    return rows.withColumn("excerpt", texts.excerpt(F.col("text_content")))
+
+
+_META = "title string, author string, site_name string, published_date long, lead_image_url string"
 
 
-def segments(content: str | None) -> list[dict]:
-    """A reader's parts of an article: blocks of HTML, and code with its language, 250 at most."""
+def page_metadata(pages: DataFrame) -> DataFrame:
+    """page_id, title, author, site_name, published_date, lead_image_url as every page's head gives them."""
+    kind = pages.schema["page_id"].dataType.simpleString()
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [metadata(parse(h.as_py() or ""), u.as_py() or "") for h, u in zip(batch.column(2), batch.column(1), strict=True)]
+            made = [pa.array([space(x[k]) for x in found], pa.string()) for k in ("title", "author", "site")]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *made, pa.array([x["published"] for x in found], pa.int64()), pa.array([x["image"] for x in found], pa.string())], ["page_id", "title", "author", "site_name", "published_date", "lead_image_url"])
+
+    return pages.select("page_id", "url", "html").mapInArrow(run, f"page_id {kind}, {_META}")
+
+
+def html_column(rows: DataFrame, column: str, change: Callable[[str | None, str], str], base: str | None = None) -> DataFrame:
+    """rows with a column of HTML put through change(html, base URL), in Arrow batches; base names the column of URLs."""
+    at, where = rows.columns.index(column), rows.columns.index(base) if base else -1
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            urls_ = batch.column(where).to_pylist() if base else [""] * batch.num_rows
+            made = pa.array([change(x.as_py(), u or "") for x, u in zip(batch.column(at), urls_, strict=True)], pa.string())
+            yield batch.set_column(at, batch.schema.names[at], made)
+
+    return rows.mapInArrow(run, rows.schema)
+
+
+def math_rendered(content: str | None, base: str = "") -> str:
+    """HTML whose formulas in text, outside code, are nc-math elements with their TeX; layout is left to the reader."""
+    root = parse(content or "")
+    todo: list[tuple[Node, bool]] = [(root, False)]
+    while todo:
+        x, in_code = todo.pop()
+        joined: list = []
+        for c in x.children:  # neighbouring texts are one, or an entity would part a delimiter
+            if isinstance(c, str) and joined and isinstance(joined[-1], str):
+                joined[-1] += c
+            else:
+                joined.append(c)
+        out: list = []
+        for c in joined:
+            if isinstance(c, Node):
+                todo.append((c, in_code or c.tag in ("code", "pre", "nc-math")))
+                out.append(c)
+            elif in_code or not any(mark in c for mark in ("$", "\\(", "\\[")):
+                out.append(c)
+            else:
+                out += [value if kind == "text" else Node("nc-math", {"data-nc-display": str(int(kind == "display"))}, [value]) for kind, value in math_segments(c)]
+        x.children = out
+    return root.inner()
+
+
+_INLINE = [(re.compile(p), to) for p, to in ((r"`([^`\n]+)`", r"<code>\1</code>"), (r"!\[([^\]]*)\]\(([^)\s]+)\)", r'<img src="\2" alt="\1">'), (r"\[([^\]]+)\]\(([^)\s]+)\)", r'<a href="\2">\1</a>'), (r"\*\*([^*\n]+)\*\*", r"<strong>\1</strong>"), (r"(?<![*\w])[*_]([^*_\n]+)[*_](?![*\w])", r"<em>\1</em>"))]
+
+
+def markdown_html(text: str | None, base: str = "") -> str:
+    """The common part of Markdown as HTML: headings, lists, quotes, fenced code, rules, emphasis, links, images, code."""
+
+    def inline(x: str) -> str:
+        x = html.escape(x, quote=False)
+        for pattern, to in _INLINE:
+            x = pattern.sub(to, x)
+        return x
+
+    out: list[str] = []
+    held: list[str] = []
+    kind = ""
+
+    def close() -> None:
+        nonlocal kind
+        if held:
+            body = "\n".join(held)
+            out.append({"ul": "<ul>\n{}\n</ul>", "ol": "<ol>\n{}\n</ol>", "quote": "<blockquote>\n<p>{}</p>\n</blockquote>", "code": "<pre><code>{}\n</code></pre>", "p": "<p>{}</p>"}[kind].format(body))
+        held.clear()
+        kind = ""
+
+    fenced = False
+    for line in (text or "").splitlines():
+        if line.lstrip().startswith("```"):
+            close()
+            fenced = not fenced
+            continue
+        if fenced:
+            kind = "code"
+            held.append(html.escape(line, quote=False))
+            continue
+        for name, pattern, form in (("h", r"(#{1,6})\s+(.*?)\s*#*$", ""), ("hr", r"(?:-\s*){3,}$|(?:\*\s*){3,}$", ""), ("ul", r"[-*+]\s+(.*)$", "<li>{}</li>"), ("ol", r"\d+[.)]\s+(.*)$", "<li>{}</li>"), ("quote", r">\s?(.*)$", "{}"), ("p", r"(\S.*)$", "{}")):
+            m = re.match(pattern, line.strip())
+            if not m:
+                continue
+            if name in ("h", "hr") or name != kind:
+                close()
+            if name == "h":
+                out.append(f"<h{len(m[1])}>{inline(m[2])}</h{len(m[1])}>")
+            elif name == "hr":
+                out.append("<hr>")
+            else:
+                kind = name
+                held.append(form.format(inline(m[1])))
+            break
+        else:
+            close()
+    close()
+    return "\n".join(out)
+
+
+def segments(content: str | None, limits: Limits = WHOLE) -> list[dict]:
+    """A reader's parts of an article: blocks of HTML, and code with its language."""
     out: list[dict] = []
     for x in parse(content or "").children:
-        if not isinstance(x, Node) or len(out) >= MAX_SEGMENTS:
+        if len(out) == limits.segments:
+            break
+        if not isinstance(x, Node):
             continue
         if x.tag == "pre":
             out.append({"index": len(out), "html": "", "code": x.text(), "lang": x.attributes.get("data-nc-lang")})
@@ -318,8 +486,32 @@ def segments(content: str | None) -> list[dict]:
     return out
 
 
-def is_markdown(text: str) -> bool:
-    return not re.search(r"<(p|div|h[1-6]|ul|ol|blockquote|pre)\b", text, re.I) and any(p.search(text) for p in MARKDOWN)
+def code_lines(code: Column) -> Column:
+    """The lines of a piece of code, in order; colouring is left to the reader."""
+    return F.split(code, "\n", -1)
+
+
+def outbound_links(pages: DataFrame, allow_root_paths: bool = False, topic_hint: str = "technology", most: int = 40) -> DataFrame:
+    """(page_id, position, url, topic_hint): links of pages to articles elsewhere, each address once, `most` of a page.
+
+    pages: (page_id, url, html). Links are resolved against the page's address; queries and fragments go. With
+    allow_root_paths sites' front pages count too. The bound on a page's links is the product's; it is a ranking within
+    the page.
+    """
+    links = pages.select("page_id", F.col("url").alias("_base"), F.posexplode(F.regexp_extract_all("html", F.lit(r"""(?i)<a\s[^>]*href=["']([^"']+)["'][^>]*>"""), F.lit(1))).alias("_i", "_href"))
+    base, href = F.col("_base"), F.col("_href")
+    scheme = F.lower(F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1))
+    # Other forms, such as paths, lead to the page's own host.
+    whole = F.when(href.rlike(r"(?i)^https?://"), href).when(href.startswith("//"), F.concat(scheme, F.lit(":"), href))
+    there, own = urls.host(whole), urls.host(base)
+    bare = F.concat(F.lower(F.regexp_extract(whole, r"^([A-Za-z]+)://", 1)), F.lit("://"), there, urls.path(whole))
+    found = links.where(whole.isNotNull() & own.isNotNull() & (there != own)).select("page_id", "_i", bare.alias("url"))
+    fits = urls.is_article_path(F.col("url"))
+    if allow_root_paths:
+        fits = fits | urls.path(F.col("url")).isin("/", "")
+    found = found.where(fits & urls.classify(F.col("url"))["allowed"]).groupBy("page_id", "url").agg(F.min("_i").alias("_i"))
+    ranked = found.withColumn("position", F.row_number().over(Window.partitionBy("page_id").orderBy("_i"))).where(F.col("position") <= most)
+    return ranked.select("page_id", F.col("position").cast("long").alias("position"), "url", F.lit(topic_hint).alias("topic_hint"))
 
 
 def code_language(code: Column) -> Column:

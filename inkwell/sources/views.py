@@ -18,10 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes up to which a table is dealt out anew before costly work on its rows.
+SMALL = 64 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """df dealt to all cores if it comes from fewer files than there are cores; a large table stays where it is read."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df._jdf.inputFiles()) < cores else df
+    """df dealt to all cores if it is at most SMALL bytes; a larger table is split where it is read and never shuffled."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= SMALL else df
 
 
 def epoch_ms(at: Column) -> Column:

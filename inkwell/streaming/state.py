@@ -6,6 +6,7 @@ failures. State is kept per key and checkpointed; a lost executor replays from t
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
+from inkwell.sources.shared import delete_at_exit, shared_dir
 from inkwell.sources.views import epoch_ms
 
 
@@ -51,13 +53,17 @@ _OUT = "source_id long, interval_hours double, failures long, status string, las
 _STATE = "interval double, failures long, last_at long"
 
 
-def polling(checks: DataFrame, start_hours: float = 24.0, dead_at: int = 8) -> DataFrame:
+def polling(checks: DataFrame, start_hours: float = 24.0, dead_at: int = 8, forget_ms: int | None = None) -> DataFrame:
     """Interval, failures and status of each source after each batch of checks (source_id, seq, at, new_entries, ok).
 
-    Within a batch a source's checks count in the order of seq.
+    Within a batch a source's checks count in the order of seq. A source without a check for forget_ms milliseconds is
+    forgotten and starts anew; None: never.
     """
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         hours, failed, last = state.get if state.exists else (start_hours, 0, -1)
         rows = pd.concat(list(frames)).sort_values("seq")
         for check in rows.itertuples():
@@ -74,14 +80,29 @@ def polling(checks: DataFrame, start_hours: float = 24.0, dead_at: int = 8) -> D
             hours = max(0.5, min(hours, 168.0))
             last = int(check.at)
         state.update((float(hours), int(failed), int(last)))
+        if forget_ms:
+            state.setTimeoutDuration(forget_ms)
         status = "active" if not failed else "dead" if failed >= dead_at else "failing"
         yield pd.DataFrame([(key[0], hours, failed, status, last)], columns=["source_id", "interval_hours", "failures", "status", "last_at"])
 
-    return checks.groupBy("source_id").applyInPandasWithState(update, _OUT, _STATE, "update", GroupStateTimeout.NoTimeout)
+    return checks.groupBy("source_id").applyInPandasWithState(update, _OUT, _STATE, "update", GroupStateTimeout.ProcessingTimeTimeout if forget_ms else GroupStateTimeout.NoTimeout)
 
 
-def run_to_end(frame: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Run a stream over all that is there now, into a table in memory; for tests and small state tables."""
-    sink = frame.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint)
-    sink.trigger(availableNow=True).start().awaitTermination()
-    return frame.sparkSession.table(name)
+def run_to_end(frame: DataFrame, *keys: str) -> DataFrame:
+    """Run a stream over what is there now and give the last row of every key.
+
+    Each batch writes the rows it changed to the shared folder, under its number, so a batch that is run again replaces
+    its own; nothing is collected, and no batch writes the whole state.
+    """
+    spark = frame.sparkSession
+    run = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.withColumn("_batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{run}/out/part={number}")
+
+    q = frame.writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", f"{run}/checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+    delete_at_exit(spark, run)
+    rest = [c for c in frame.columns if c not in keys]
+    rows = spark.read.schema(frame.select("*", F.lit(0).cast("long").alias("_batch")).schema).parquet(f"{run}/out/*")
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_batch").alias("_last")).select(*keys, "_last.*")

