@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -11,20 +10,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkwell.sources.shared import shared_dir
+
 #: A word: a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines share. Only a local session may lack the setting; it gets a temporary folder."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return f"file://{tempfile.gettempdir()}/inkwell-{spark.sparkContext.applicationId}"
-
-
 def _path(spark: SparkSession, where: str):
     path = spark._jvm.org.apache.hadoop.fs.Path(where)
     return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
