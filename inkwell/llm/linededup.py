@@ -81,12 +81,13 @@ def dedup_lines(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", te
     null with 0 lines; the empty text is one line. Documents are in the order of their ids, those without an id last;
     of the same id, or without one, in that of a hash of the text. Rows equal in id and text are one document given
     several times, and all of them keep the same lines. An empty table gives no rows. Ranges of a document are merged
-    before they meet its text, whose lines are then cut in one pass.
+    before they meet its text, whose lines are then cut in one pass. That join is by sorted shuffle at every size: the
+    ranges grow with the documents.
     """
     key, cuts = unused(docs, "_doc", "_cuts")
     rows = docs.select(text_key(docs, id_col, text_col).alias("doc"), F.col(text_col).alias("text")).where("text is not null")
     spans = repeated_lines(rows, min_words).groupBy(F.col("doc").alias(key)).agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias(cuts))
-    joined = docs.join(spans, text_key(docs, id_col, text_col) == F.col(key), "left").drop(key)
+    joined = docs.join(spans.hint("merge"), text_key(docs, id_col, text_col) == F.col(key), "left").drop(key)
     lines = F.split(F.col(text_col), "\n")
     count = F.size(lines).cast("long")
     starts = F.concat(F.array(F.lit(0)), F.transform(cuts, lambda x: x["last"] + 1))

@@ -57,7 +57,7 @@ def sainte_lague(parties: DataFrame, votes: str, house: Column, within: list[str
     return rows.join(won, keys, "left").withColumn("seats", F.col("_low") + F.coalesce(F.col("_won"), F.lit(0))).drop("_n", "_v", "_h", "_low", "_high", "_won")
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, ceiling: int = 2, block: int = 8, shards: int = 4, seed: int = 42, buckets: int = 4096, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, ceiling: int = 2, block: int = 8, shards: int = 4, seed: int = 42, buckets: int = 1024, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """doc_id, size, source_size, target, taken, source, text_hash for each document: how many of its words the mix takes.
 
     size is the number of words. Targets: target_words(). Blocks of `block` words go to the sources by the highest

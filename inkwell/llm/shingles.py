@@ -6,7 +6,8 @@ probability (1 - 0.8**ROWS)**BANDS = 7e-5, a nearer one less often. Only sets th
 their texts; the others never leave their task. First each set is compared with the least set of its keys, which joins a
 group of copies of any size at linear cost. Then the sets of a key that aren't in one component yet are compared within
 tasks, in blocks by a matrix product, and only a spanning forest of their links leaves. A key with more than `chunk`
-shingles is dealt to tasks as pairs of its chunks. No pair is left out.
+shingles is dealt to tasks as pairs of its chunks. No pair is left out. What is joined here grows with the documents on both
+sides, so the joins are by sorted shuffle at every size.
 """
 
 from __future__ import annotations
@@ -79,14 +80,14 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str,
 
     named = wanted.select(F.col("doc_id").alias("_i"), F.col("text_hash").alias("_h"), F.col("node").alias("_node"))
     same = docs[id_col].eqNullSafe(F.col("_i")) & (F.xxhash64(docs[text_col]) == F.col("_h"))
-    return docs.select(id_col, text_col).join(named, same).select("_node", text_col).mapInArrow(run, "node long, hashes array<long>").dropDuplicates(["node"])
+    return docs.select(id_col, text_col).join(named.hint("merge"), same).select("_node", text_col).mapInArrow(run, "node long, hashes array<long>").dropDuplicates(["node"])
 
 
 def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) of which four fifths of the union are shared."""
     x, y = (sets.select(F.col("node").alias(c), F.col("hashes").alias(f"{c}s")) for c in "ab")
     shared = F.size(F.array_intersect("as", "bs"))
-    return pairs.distinct().join(x, "a").join(y, "b").where(9 * shared >= 4 * (F.size("as") + F.size("bs"))).select("a", "b")
+    return pairs.distinct().join(x.hint("merge"), "a").join(y.hint("merge"), "b").where(9 * shared >= 4 * (F.size("as") + F.size("bs"))).select("a", "b")
 
 
 def linked_sets(flat: np.ndarray, ends: np.ndarray, left: np.ndarray, right: np.ndarray, labels: np.ndarray, cells: int = 1 << 23) -> np.ndarray:
@@ -151,19 +152,19 @@ def jaccard_edges(docs: DataFrame, marked: DataFrame, id_col: str = "doc_id", te
     nodes = cut(marked.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), first_row))
     keyed = nodes.select("node", "n", F.explode("bands").alias("key"))
     heads = cut(keyed.groupBy("key").agg(F.count("*").alias("k"), F.min("node").alias("h")).where("k > 1").select("key", "h"))
-    met = cut(keyed.join(heads, "key"))
-    wanted = cut(nodes.join(met.select("node").distinct(), "node", "left_semi").select("rep.doc_id", "rep.text_hash", "node"))
+    met = cut(keyed.join(heads.hint("merge"), "key"))
+    wanted = cut(nodes.join(met.select("node").distinct().hint("merge"), "node", "left_semi").select("rep.doc_id", "rep.text_hash", "node"))
     held = cut(shingle_sets(docs, wanted, id_col, text_col))
     first = cut(_alike(met.where("node <> h").select(F.col("h").alias("a"), F.col("node").alias("b")), held))
     roots = connected_components(first.select(F.col("a").alias("src"), F.col("b").alias("dst"))).withColumnRenamed("node", "_node")
-    left = cut(met.join(roots, F.col("node") == F.col("_node"), "left").select("key", "node", "n", F.coalesce("root", "node").alias("root")))
+    left = cut(met.join(roots.hint("merge"), F.col("node") == F.col("_node"), "left").select("key", "node", "n", F.coalesce("root", "node").alias("root")))
     mixed = left.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.sum("n").alias("all")).where("r0 <> r1")
-    rest = left.join(mixed.select("key", F.ceil(F.col("all") / chunk).cast("int").alias("chunks")), "key")
+    rest = left.join(mixed.select("key", F.ceil(F.col("all") / chunk).cast("int").alias("chunks")).hint("merge"), "key")
     rest = rest.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     rest = rest.select("node", "root", "key", "mine", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("with"))
     side = F.when(F.col("mine") == F.col("with"), 2).otherwise((F.col("mine") > F.col("with")).cast("int"))
     rest = rest.select("node", "root", side.alias("side"), F.xxhash64("key", F.least("mine", "with"), F.greatest("mine", "with")).alias("key"))
-    dealt = rest.join(held, "node").select("key", "side", "node", "root", "hashes").repartition("key").sortWithinPartitions("key")
+    dealt = rest.join(held.hint("merge"), "node").select("key", "side", "node", "root", "hashes").repartition("key").sortWithinPartitions("key")
     return first.union(dealt.mapInArrow(_blocks, "a long, b long")).toDF("src", "dst")
 
 

@@ -195,4 +195,4 @@ def one_of_each(docs: DataFrame, find: Callable[..., DataFrame] = near_duplicate
     id_, print_ = unused(docs, "_head", "_print")
     heads = find(docs, **settings).where("is_head").select(F.col("doc_id").alias(id_), F.col("text_hash").alias(print_)).distinct()
     same = docs["doc_id"].eqNullSafe(F.col(id_)) & (F.xxhash64(docs["text"]) == F.col(print_))
-    return docs.join(heads, same, "left_semi")
+    return docs.join(heads.hint("merge"), same, "left_semi")
