@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkwell.functions.basics import filled
@@ -19,6 +19,24 @@ def top_pairs(rows: DataFrame, limit: int = 30) -> DataFrame:
     return rows.groupBy("domain", "topic").agg(F.count("*").alias("articles")).orderBy(F.col("articles").desc(), "domain", "topic").limit(limit)
 
 
+def first_rows(rows: DataFrame, limit: int, *order: Column) -> DataFrame:
+    """The first rows of an order with their place, from 1 on; numbered after the cut."""
+    return rows.orderBy(*order).limit(limit).withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("long"))
+
+
+def crawl_summary(articles: DataFrame, min_words: int = 250) -> DataFrame:
+    """(articles, enriched, failed, avg_quality, with_math): one row about a crawl's articles (word_count, quality, content_html)."""
+    long = F.col("word_count") >= min_words
+    return articles.agg(F.count("*").alias("articles"), F.count_if(long).alias("enriched"), F.count_if(F.col("word_count") == -1).alias("failed"), F.round(F.avg(F.when(long, F.col("quality"))), 9).alias("avg_quality"), F.count_if(F.col("content_html").like("%nc-math%")).alias("with_math"))
+
+
+def output_by_source(sources: DataFrame, articles: DataFrame, min_words: int = 250, limit: int = 15) -> DataFrame:
+    """The sources whose articles were enriched most: (source_id, name, topic, discovered, enriched, place)."""
+    counts = articles.where(F.col("source_id").isNotNull()).groupBy("source_id").agg(F.count("*").alias("discovered"), F.count_if(F.col("word_count") >= min_words).alias("enriched"))
+    rows = counts.join(sources.select(F.col("id").alias("source_id"), "name", "topic"), "source_id")
+    return first_rows(rows, limit, F.col("enriched").desc(), F.col("discovered").desc(), F.col("source_id"))
+
+
 def source_list(sources: DataFrame, articles: DataFrame, eligible: DataFrame) -> DataFrame:
     """Every source with its articles and its eligible ones, those without any included."""
     counts = articles.groupBy(F.col("source_id").alias("id")).agg(F.count("*").alias("articles"))

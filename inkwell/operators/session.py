@@ -85,7 +85,7 @@ def probe_outcomes(evidence: DataFrame) -> DataFrame:
 
     evidence: (domain, allowed, known, feed_url, entries, title, authors, duplicate, failed).
     """
-    outcome = F.when(~F.col("allowed"), "blocked").when(F.col("known"), "known").when(F.col("failed") | F.col("feed_url").isNull(), "error").when(F.col("entries") < 2, "blocked")
+    outcome = F.when(~F.col("allowed"), "blocked").when(F.col("known"), "known").when(F.col("failed"), "error").when(F.col("feed_url").isNull() | (F.col("entries") < 2), "no-feed")
     outcome = outcome.when(F.col("title").rlike(hn.NOT_BLOG), "blocked").when(F.col("authors") >= 4, "blocked").when(F.col("duplicate"), "known").otherwise("added")
     return evidence.select("domain", outcome.alias("outcome"), (outcome != "error").alias("takes_slot"))
 

@@ -280,32 +280,36 @@ def build_slate(pool: list[Card], limit: int, topics: list[str], prior: list[Car
     return slate
 
 
-def diverse_opening(slate: list[Card], topics: list[str], opening: int = SCREEN) -> bool:
-    """Whether the first cards are all of different voices and domains and the slate's topics differ by one at most."""
-    head = slate[:opening]
-    if len(head) < opening or len({c.voice for c in head}) < opening or len({c.domain for c in head}) < opening:
-        return False
-    counts = [sum(c.topic == t for c in slate) for t in dict.fromkeys(topics)]
-    return len(counts) < 2 or max(counts) - min(counts) <= 1
+COLUMNS = ["id", "topic", "domain", "author_key", "cluster"]
 
 
-def diverse_slates(rows: DataFrame, limit: int, topics: list[str], settings: Settings) -> DataFrame:
+def cards_of(rows: pd.DataFrame) -> list[Card]:
+    return [Card(int(r.id), r.topic, r.domain, r.author_key, r.cluster) for r in rows.itertuples()]
+
+
+def diverse_slates(rows: DataFrame, limit: int, topics: list[str], settings: Settings, prior: DataFrame | None = None) -> DataFrame:
     """(session_id, position, id, topic, domain, author_key, cluster) from one row per session and eligible article.
 
-    The keys, ranks and the cut to ten windows are windows in the JVM; only the cut pools reach Python.
+    The keys, ranks and the cut to ten windows are windows in the JVM; only the cut pools reach Python. prior: the cards of
+    a session's last screens (session_id, position, id, topic, domain, author_key, cluster), which are not given again and
+    which the new ones continue.
     """
     age = F.greatest((F.lit(settings.now) - F.col("effective")) / float(DAY), F.lit(-30.0))
     boost = F.when(F.col("source_origin").isNull() | (F.col("source_origin") != settings.seed_origin), settings.discovery_boost).otherwise(1.0)
     key = F.greatest("quality", F.lit(0.05)) * (0.35 + 0.65 * F.col("topic_relevance")) * F.pow(F.lit(0.5), age / settings.half_life_days) * (0.75 + 0.5 * clamp(F.col("score"))) * boost
     drawn = F.round(key * uniform(F.concat(F.lit(settings.seed), F.lit("/"), F.col("session_id").cast("string")), F.col("id")), 9)
+    if prior is not None:
+        rows = rows.join(prior.select("session_id", "id"), ["session_id", "id"], "left_anti")
     pool = round_robin(rows.withColumn("ranking_key", drawn), 10 * limit, "session_id")
-    pool = pool.select("session_id", F.col("position").alias("place"), "cost", "id", "topic", "domain", "author_key", "cluster")
-
-    def build(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["cost", "place"])
-        cards = [Card(int(r.id), r.topic, r.domain, r.author_key, r.cluster) for r in group.itertuples()]
-        slate = build_slate(cards, limit, topics)
-        session = group["session_id"].iloc[0]
-        return pd.DataFrame([(session, i, c.id, c.topic, c.domain, c.author, c.cluster) for i, c in enumerate(slate)], columns=["session_id", "position", "id", "topic", "domain", "author_key", "cluster"])
-
-    return pool.groupBy("session_id").applyInPandas(build, "session_id long, position long, id long, topic string, domain string, author_key string, cluster string")
+    pool = pool.select("session_id", F.col("position").alias("place"), "cost", *COLUMNS)
+    schema = "session_id long, position long, id long, topic string, domain string, author_key string, cluster string"
+
+    def built(session: int, group: pd.DataFrame, before: pd.DataFrame | None) -> pd.DataFrame:
+        shown = [] if before is None else cards_of(before.sort_values("position"))
+        slate = build_slate(cards_of(group.sort_values(["cost", "place"])), limit, topics, shown)
+        return pd.DataFrame([(session, i, c.id, c.topic, c.domain, c.author, c.cluster) for i, c in enumerate(slate)], columns=["session_id", "position", *COLUMNS])
+
+    if prior is None:
+        return pool.groupBy("session_id").applyInPandas(lambda key, group: built(key[0], group, None), schema)
+    shown = prior.select("session_id", "position", *COLUMNS)
+    return pool.groupBy("session_id").cogroup(shown.groupBy("session_id")).applyInPandas(lambda key, group, before: built(key[0], group, before), schema)

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkwell.functions import texts
 from inkwell.functions.basics import filled
 from inkwell.sources.views import AS_OF, DAY
 
@@ -66,11 +67,14 @@ def poll_interval(checks: DataFrame, start: Column, block: int = 4096) -> DataFr
     return clamped_fold(rows, "source_id", "seq", _map(a, F.when(usable, F.col("gap")).otherwise(0.0), F.lit(0.5), F.lit(168.0)), start, block)
 
 
-def failures(checks: DataFrame, dead_at: int = 8) -> DataFrame:
-    """(source_id, failures, status) after (source_id, seq, ok): failures since the last success."""
+def failures(checks: DataFrame, dead_at: int = 8, retry_hours: int = 6) -> DataFrame:
+    """(source_id, failures, status, next_check_at) after (source_id, seq, at, ok): failures since the last success, and when
+    a source that failed last is tried again (null after a success, whose polling interval says it)."""
     good = checks.where("ok").groupBy("source_id").agg(F.max("seq").alias("last_ok"))
-    after = checks.join(good, "source_id", "left").groupBy("source_id").agg(F.count_if(~F.col("ok") & (F.col("last_ok").isNull() | (F.col("seq") > F.col("last_ok")))).alias("failures"))
-    return after.select("source_id", "failures", F.when(F.col("failures") == 0, "active").when(F.col("failures") >= dead_at, "dead").otherwise("failing").alias("status"))
+    bad = ~F.col("ok") & (F.col("last_ok").isNull() | (F.col("seq") > F.col("last_ok")))
+    after = checks.join(good, "source_id", "left").groupBy("source_id").agg(F.count_if(bad).alias("failures"), F.max_by("at", F.when(bad, F.col("seq"))).alias("last"))
+    status = F.when(F.col("failures") == 0, "active").when(F.col("failures") >= dead_at, "dead").otherwise("failing")
+    return after.select("source_id", "failures", status.alias("status"), F.when(F.col("failures") > 0, F.col("last") + retry_hours * 3600000).alias("next_check_at"))
 
 
 def first_reads(log: DataFrame) -> DataFrame:
@@ -115,11 +119,28 @@ def upsert_articles(known: DataFrame, new: DataFrame) -> DataFrame:
     return joined.select("url", *(F.coalesce(filled(F.col(c)), F.col(f"new_{c}"), F.col(c)).alias(c) for c in ("title", "author")), F.coalesce("published_date", "new_date").alias("published_date"), F.col("_known").isNull().alias("inserted"))
 
 
+PATCHED = ["title", "author", "author_key", "site_name", "published_date", "excerpt", "content_html", "text_content", "lead_image_url", "word_count", "quality", "topic", "topic_relevance"]
+
+
 def patch_contents(articles: DataFrame, patches: DataFrame) -> DataFrame:
-    """Articles with what extraction found: empty finds keep the old field, dates only fill, content always replaces."""
-    found = patches.select("id", F.col("title").alias("p_title"), F.col("published_date").alias("p_date"), F.col("word_count").alias("p_words"), F.col("quality").alias("p_quality"))
+    """Articles (id and PATCHED) with what extraction found: empty finds keep the old field, a date only fills a missing one,
+    a byline is cleaned and its key follows it, topics keep their own where none was found; content, image, words and
+    quality are replaced, by nothing if nothing was found."""
+    given = [c for c in PATCHED if c != "author_key"]
+    found = patches.select("id", F.lit(True).alias("_new"), *(F.col(c).alias(f"p_{c}") for c in given)).withColumn("p_author", texts.clean_author(F.coalesce("p_author", F.lit(""))))
     joined = articles.join(found, "id", "left")
-    return joined.select("id", F.coalesce(filled(F.col("p_title")), "title").alias("title"), F.coalesce("published_date", "p_date").alias("published_date"), F.coalesce("p_words", "word_count").alias("word_count"), F.coalesce("p_quality", "quality").alias("quality"))
+    new = {c: F.coalesce(filled(F.col(f"p_{c}")), c) for c in ("title", "author", "site_name", "excerpt")}
+    new["author_key"] = F.coalesce(filled(F.lower("p_author")), "author_key")
+    new["published_date"] = F.coalesce("published_date", "p_published_date")
+    new |= {c: F.coalesce(f"p_{c}", c) for c in ("topic", "topic_relevance")}
+    new |= {c: F.when(F.col("_new"), F.coalesce(f"p_{c}", F.lit(nothing))).otherwise(F.col(c)) for c, nothing in (("content_html", ""), ("text_content", ""), ("lead_image_url", ""), ("word_count", 0), ("quality", 0.0))}
+    return joined.select("id", *(new[c].alias(c) for c in PATCHED))
+
+
+def mark_failed(articles: DataFrame, failed: DataFrame) -> DataFrame:
+    """Articles whose extraction failed (id) get -1 words, which keeps them out of every pool and queue."""
+    hit = failed.select("id").distinct().withColumn("_failed", F.lit(True))
+    return articles.join(hit, "id", "left").withColumn("word_count", F.when(F.col("_failed"), F.lit(-1)).otherwise(F.col("word_count"))).drop("_failed")
 
 
 def pruned(articles: DataFrame, now: int = AS_OF, text_days: int = 30, dead_days: int = 45) -> DataFrame:

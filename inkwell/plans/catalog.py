@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from inkwell.plans import discovery, misc, pages, ranking, reports, session, state, streams, text  # noqa: F401  they register their queries
+from inkwell.plans import crawl, deque, discovery, misc, pages, ranking, reports, session, state, streams, text  # noqa: F401  they register their queries
 from inkwell.plans.registry import ORACLES, QUERIES
 
 

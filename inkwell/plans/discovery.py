@@ -36,6 +36,28 @@ def feed_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feeds.entries(_feed_documents(spark, sf_dir)).select("feed_id", "feed_title", "url", "title", "author", "published")
 
 
+def _kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Atom and RDF documents of ten entries each, made of the documents."""
+    rows = views.table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 10).alias("n"), F.col("doc_id").alias("k"), F.col("doc_id").cast("string").alias("i"))
+    atom = F.concat(F.lit("<entry><title type='html'>&lt;b&gt;A&lt;/b&gt; "), "i", F.lit("</title><link rel='self' href='https://no.example'/><link href='https://a.example/p/"), "i", F.lit("#c'/><author><name>Ann "), "i", F.lit("</name></author>"), F.when(F.col("k") % 2 == 0, F.lit("<published>2024-01-02T03:04:05Z</published>")).otherwise(F.lit("")), F.lit("<updated>2024-01-03</updated></entry>"))
+    rdf = F.concat(F.lit("<item><title>R "), "i", F.lit("</title><link>https://r.example/p/"), "i", F.lit("?utm_source=x&amp;a=1</link><dc:creator>Bo</dc:creator><dc:date>2024-01-02T00:00:00+00:00</dc:date></item>"))
+    heads = {"atom": ('<feed xmlns="http://www.w3.org/2005/Atom"><title>An Atom</title><link href="https://a.example/"/>', "</feed>"), "rdf": ('<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns="http://purl.org/rss/1.0/" xmlns:dc="http://purl.org/dc/elements/1.1/"><channel><title>An RDF</title></channel>', "</rdf:RDF>")}
+
+    def made(kind: str, item) -> DataFrame:
+        body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", item.alias("x")))), lambda s: s["x"]), "")
+        documents = rows.groupBy("n").agg(F.concat(F.lit(heads[kind][0]), body, F.lit(heads[kind][1])).alias("xml"))
+        return documents.select(F.concat(F.lit(f"{kind} "), F.col("n").cast("string")).alias("feed_id"), "xml")
+
+    return made("atom", atom).unionByName(made("rdf", rdf))
+
+
+@query("""SELECT 'atom ' || doc_id // 10 AS feed_id, 'An Atom' AS feed_title, 'https://a.example/' AS site_url, 'https://a.example/p/' || doc_id AS url, 'A ' || doc_id AS title, 'Ann ' || doc_id AS author, CASE WHEN doc_id % 2 = 0 THEN 1704164645000 ELSE 1704240000000 END AS published FROM documents
+UNION ALL SELECT 'rdf ' || doc_id // 10, 'An RDF', '', 'https://r.example/p/' || doc_id || '?a=1', 'R ' || doc_id, 'Bo', 1704153600000 FROM documents""")
+def feed_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as Atom and as RDF and read back."""
+    return feeds.entries(_kinds(spark, sf_dir)).select("feed_id", "feed_title", "site_url", "url", "title", "author", "published")
+
+
 def _stories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSON story lists of fifty stories each, made of the documents, read as stories."""
     i = F.col("doc_id")

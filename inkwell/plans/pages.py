@@ -6,16 +6,111 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkwell.plans.registry import query
-from inkwell.plans.text import q
+from inkwell.plans.text import PAGE_TITLE, q
 from inkwell.sources import pages, views
 
 SNIPPETS = ["fn main() { let mut x = 1; }", "def f(x):\n    return x", "func main() { x := 1 }", "const a = () => console.log(1)", "#include <stdio.h>", "select a from t where SELECT", "$ ls -l", "just words", "from os import path\nx := 2"]
 
 
-@query()
+_INSIDE = r"regexp_replace(regexp_extract(html, '</nav>([\s\S]*)</article>', 1), '<[^>]*>', '', 'g')"
+_UNESCAPED = f"replace(replace(replace(replace(replace({_INSIDE}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', chr(39)), '&amp;', '&')"
+
+
+@query(rf"""WITH a AS (SELECT page_id, url, {PAGE_TITLE} AS title, regexp_replace(lower(regexp_extract(url, '//([^/?#:]*)', 1)), '^www\.', '') AS site_name, trim(regexp_replace({_UNESCAPED}, '[ \t\r\n]+', ' ', 'g'), ' ') AS text_content FROM pages),
+w AS (SELECT *, len(regexp_extract_all(text_content, '[^\x20\x09-\x0D]+'))::BIGINT AS word_count, substr(text_content, 1, 220) AS head FROM a),
+s AS (SELECT *, greatest(CASE WHEN contains(head, '. ') THEN 220 - strpos(reverse(head), ' .') ELSE 0 END, CASE WHEN contains(head, '! ') THEN 220 - strpos(reverse(head), ' !') ELSE 0 END) AS stop FROM w)
+SELECT page_id, url, title, '' AS author, site_name, NULL::BIGINT AS published_date, text_content, '' AS lead_image_url, word_count,
+  CASE WHEN length(text_content) <= 220 THEN text_content WHEN stop > 101 THEN substr(head, 1, stop) ELSE regexp_replace(head, '\s\S*$', '') || '…' END AS excerpt FROM s WHERE word_count >= 80 AND title <> ''""")
 def page_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The article of every page that has one."""
-    return pages.articles(views.spread(views.table(spark, sf_dir, "pages")))
+    """The article of every page that has one; its cleaned HTML is checked by document_articles."""
+    return pages.articles(views.spread(views.table(spark, sf_dir, "pages"))).drop("content_html")
+
+
+def _document_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as pages with known heads, attributes and furniture."""
+    x = F.col("text")
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        x = F.replace(x, F.lit(a), F.lit(b))
+    i = F.col("doc_id").cast("string")
+    head = F.concat(F.lit('<html><head><title>Title '), i, F.lit(' - A | Site</title><meta property="og:site_name" content="Site"><meta name="author" content=" Ann  '), i, F.lit('"><meta property="article:published_time" content="2024-01-02T03:04:05Z"><meta property="og:image" content="/i/'), i, F.lit('.png"></head><body><nav>menu</nav><div class="x"><h1 id=h>Head '), i, F.lit('</h1>\n<p class="y" onclick="no()">'))
+    tail = F.lit('</p>\n<form>no</form><p> </p><script>var x = "</p>";</script></div><footer>f</footer></body></html>')
+    docs = views.spread(views.table(spark, sf_dir, "documents").where("text is not null"))
+    return docs.select(F.col("doc_id").alias("page_id"), F.concat(F.lit("https://www.site.example/a/"), i).alias("url"), F.concat(head, x, tail).alias("html"))
+
+
+@query(r"""WITH a AS (SELECT doc_id AS page_id, text, trim(regexp_replace('Head ' || doc_id || chr(10) || text || chr(10), '[ \t\r\n]+', ' ', 'g'), ' ') AS t FROM documents WHERE text IS NOT NULL),
+w AS (SELECT *, len(regexp_extract_all(t, '[^\x20\x09-\x0D]+'))::BIGINT AS word_count FROM a)
+SELECT page_id, 'Title ' || page_id || ' - A' AS title, 'Ann ' || page_id AS author, 'Site' AS site_name, 1704164645000 AS published_date, 'https://www.site.example/i/' || page_id || '.png' AS lead_image_url, t AS text_content, word_count,
+  '<h1>Head ' || page_id || '</h1><p>' || replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</p>' AS content_html FROM w WHERE word_count >= 80""")
+def document_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles of pages made of the documents: metadata, text and cleaned HTML."""
+    return pages.articles(_document_pages(spark, sf_dir)).select("page_id", "title", "author", "site_name", "published_date", "lead_image_url", "text_content", "word_count", "content_html")
+
+
+@query(rf"""SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'T & ' || page_id ELSE {PAGE_TITLE} END AS title, CASE page_id % 4 WHEN 0 THEN 'Ann ' || page_id ELSE '' END AS author,
+  CASE WHEN page_id % 5 = 0 THEN 'A Site' ELSE regexp_replace(lower(regexp_extract(url, '//([^/?#:]*)', 1)), '^www\.', '') END AS site_name, CASE page_id % 6 WHEN 0 THEN 1704164645000 WHEN 1 THEN 1704153600000 END AS published_date,
+  CASE WHEN page_id % 7 = 0 THEN regexp_extract(url, '^(https?://[^/?#]*)', 1) || '/i.png' ELSE '' END AS lead_image_url FROM pages""")
+def page_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the heads of pages say, with tags of every kind put before some."""
+    i = F.col("page_id")
+    no = F.lit("")
+    more = F.concat(
+        F.when(i % 3 == 0, F.concat(F.lit('<meta property="og:title" content=" T &amp;  '), i.cast("string"), F.lit('">'))).otherwise(no),
+        F.when(i % 4 == 0, F.concat(F.lit('<meta name="author" content="Ann '), i.cast("string"), F.lit('">'))).when(i % 4 == 1, F.lit('<meta name="author" content="@ann">')).otherwise(no),
+        F.when(i % 5 == 0, F.lit('<meta property="og:site_name" content="A Site">')).otherwise(no),
+        F.when(i % 6 == 0, F.lit('<meta property="article:published_time" content="2024-01-02T03:04:05Z">')).when(i % 6 == 1, F.lit('<time datetime="2024-01-02">x</time>')).otherwise(no),
+        F.when(i % 7 == 0, F.lit('<meta property="og:image" content="/i.png">')).when(i % 7 == 1, F.lit('<meta property="og:image" content="javascript:x">')).otherwise(no),
+    )
+    return pages.page_metadata(views.spread(views.table(spark, sf_dir, "pages").select("page_id", "url", F.concat(more, "html").alias("html"))))
+
+
+#: (what is put in, what comes out) of the operators on fragments.
+FRAGMENTS = {
+    "clean": [('<p onclick="x" class=a>a <a href="/b" target=t>b</a></p><script>c</script>', '<p>a <a href="https://x.example/b" target="t">b</a></p>'), ("<div><span>d</span><p> </p><nav>e</nav></div>", "d"), ('<img src="javascript:f"><img src="//i.example/g" srcset=h>', '<img src="https://i.example/g">'), ('<pre class="lang-go x">i</pre><iframe>j</iframe>', '<pre data-nc-lang="go">i</pre>')],
+    "math": [("<p>It costs $5, $x_1^2$ &gt; \\(a&lt;b\\)</p>", '<p>It costs $5, <nc-math data-nc-display="0">x_1^2</nc-math> &gt; <nc-math data-nc-display="0">a&lt;b</nc-math></p>'), ("<code>$y_1$</code> $$z$$", '<code>$y_1$</code> <nc-math data-nc-display="1">z</nc-math>'), ("no formula", "no formula")],
+    "markdown": [("# A *b*\n\nc **d**\ne\n\n- f\n- [g](https://h.example)", '<h1>A <em>b</em></h1>\n<p>c <strong>d</strong>\ne</p>\n<ul>\n<li>f</li>\n<li><a href="https://h.example">g</a></li>\n</ul>'), ("```go\nx < 1\n```\n> i\n\n1. j\n2. `k`", "<pre><code>x &lt; 1\n</code></pre>\n<blockquote>\n<p>i</p>\n</blockquote>\n<ol>\n<li>j</li>\n<li><code>k</code></li>\n</ol>")],
+}
+_CHANGES = {"clean": pages.sanitized_fragment, "math": pages.math_rendered, "markdown": pages.markdown_html}
+
+
+def _literal(x: str) -> str:
+    return q(x).replace("\n", "' || chr(10) || '")
+
+
+def _fragment_sql(kind: str) -> str:
+    pairs = FRAGMENTS[kind]
+    return f"SELECT doc_id AS id, [{', '.join(_literal(b) for _, b in pairs)}][(doc_id % {len(pairs)} + 1)::INT] AS html FROM documents"
+
+
+def _fragments(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    rows = views.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), views.pick([a for a, _ in FRAGMENTS[kind]], F.col("doc_id")).alias("html"), F.lit("https://x.example/p/").alias("url"))
+    return pages.html_column(rows, "html", _CHANGES[kind], "url").select("id", "html")
+
+
+@query(_fragment_sql("clean"))
+def clean_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fragments of HTML with the allowed elements only."""
+    return _fragments(spark, sf_dir, "clean")
+
+
+@query(_fragment_sql("math"))
+def math_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Formulas in running text as elements."""
+    return _fragments(spark, sf_dir, "math")
+
+
+@query(_fragment_sql("markdown"))
+def markdown_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Markdown as HTML."""
+    return _fragments(spark, sf_dir, "markdown")
+
+
+@query("""SELECT doc_id AS id, i::BIGINT AS index, CASE i WHEN 0 THEN '<p>a ' || doc_id || '</p>' WHEN 2 THEN '<h2>t &amp; u</h2>' ELSE '' END AS html, CASE i WHEN 1 THEN 'x := ' || doc_id END AS code, CASE i WHEN 1 THEN 'go' END AS lang FROM documents, (SELECT unnest([0, 1, 2]) AS i)""")
+def reader_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts of articles that a reader shows one after another."""
+    i = F.col("doc_id").cast("string")
+    html = F.concat(F.lit("<p>a "), i, F.lit('</p><pre data-nc-lang="go">x := '), i, F.lit("</pre><span>no</span><h2>t &amp; u</h2>"))
+    return pages.reader_segments(views.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), html.alias("content_html")))
 
 
 def _points(name: str) -> str:

@@ -99,3 +99,30 @@ def prefix_imbalance(spark: SparkSession, sf_dir: str) -> DataFrame:
 def length_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nearest-rank percentiles of the articles' lengths."""
     return reports.nearest_rank(views.articles(spark, sf_dir), "word_count", 0.5, 0.95, 0.99)
+
+
+@query(with_views("""SELECT count(*) AS articles, count(*) FILTER (word_count >= 250) AS enriched, count(*) FILTER (word_count = -1) AS failed, round(avg(quality) FILTER (word_count >= 250), 9) AS avg_quality, count(*) FILTER (contains(text_content, 'e')) AS with_math FROM articles""", "articles"))
+def crawl_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and mean quality of a crawl; texts with an e stand for those with formulas."""
+    rows = views.articles(spark, sf_dir, text=True).withColumn("content_html", F.when(F.contains("text_content", F.lit("e")), "<nc-math>").otherwise(""))
+    return reports.crawl_summary(rows)
+
+
+@query(with_views("""SELECT s.id AS source_id, s.name, s.topic, count(*) AS discovered, count(*) FILTER (word_count >= 250) AS enriched, row_number() OVER (ORDER BY count(*) FILTER (word_count >= 250) DESC, count(*) DESC, s.id) AS place
+FROM articles a JOIN sources s ON s.id = a.source_id GROUP BY s.id, s.name, s.topic QUALIFY place <= 15""", "articles", "sources"))
+def top_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fifteen sources with most enriched articles, by an inner join of sources and articles; the limit is the feature."""
+    return reports.output_by_source(views.sources(spark, sf_dir), views.articles(spark, sf_dir))
+
+
+@query(with_views("SELECT id, word_count, quality, row_number() OVER (ORDER BY quality DESC, id) AS place FROM articles WHERE word_count >= 250 QUALIFY place <= 5", "articles"))
+def top_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best long articles; the limit is the feature."""
+    rows = views.articles(spark, sf_dir).where("word_count >= 250")
+    return reports.first_rows(rows, 5, F.col("quality").desc(), F.col("id")).select("id", "word_count", "quality", "place")
+
+
+@query(with_views("SELECT id, title FROM articles WHERE topic = 'economics' AND lower(title) GLOB '*er*'", "articles"))
+def glob_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles of a topic that hold a string, in this case only."""
+    return views.articles(spark, sf_dir).where((F.col("topic") == "economics") & F.lower("title").like("%er%")).select("id", "title")

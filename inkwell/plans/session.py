@@ -73,7 +73,7 @@ def seed_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""WITH e AS (SELECT doc_id, 'site-' || doc_id || '.example' AS domain, doc_id % 11 <> 0 AS allowed, doc_id % 13 = 0 AS known, doc_id % 17 = 0 AS failed, CASE WHEN doc_id % 19 <> 0 THEN 'https://f' END AS feed_url, doc_id % 7 AS entries, ['A Blog', 'Company news', 'The Podcast', 'Notes'][(doc_id % 4 + 1)::INT] AS title, doc_id % 6 AS authors, doc_id % 23 = 0 AS duplicate FROM documents),
-o AS (SELECT domain, CASE WHEN NOT allowed THEN 'blocked' WHEN known THEN 'known' WHEN failed OR feed_url IS NULL THEN 'error' WHEN entries < 2 THEN 'blocked' WHEN regexp_matches(title, '(?i)podcast|archive|changelog|release notes|recent additions|\bnews\b|status|jobs|roadmap|press release') THEN 'blocked' WHEN authors >= 4 THEN 'blocked' WHEN duplicate THEN 'known' ELSE 'added' END AS outcome FROM e)
+o AS (SELECT domain, CASE WHEN NOT allowed THEN 'blocked' WHEN known THEN 'known' WHEN failed THEN 'error' WHEN feed_url IS NULL OR entries < 2 THEN 'no-feed' WHEN regexp_matches(title, '(?i)podcast|archive|changelog|release notes|recent additions|\bnews\b|status|jobs|roadmap|press release') THEN 'blocked' WHEN authors >= 4 THEN 'blocked' WHEN duplicate THEN 'known' ELSE 'added' END AS outcome FROM e)
 SELECT domain, outcome, outcome <> 'error' AS takes_slot FROM o""")
 def probe_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What becomes of probed sites."""

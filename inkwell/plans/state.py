@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkwell.functions.basics import uniform
-from inkwell.operators import ranking, state
+from inkwell.operators import ranking, reports, state
 from inkwell.plans.oracle_views import with_views
 from inkwell.plans.registry import query
 from inkwell.sources import views
@@ -44,11 +44,11 @@ def poll_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hours.join(last, "source_id").select("source_id", F.round("value", 9).alias("interval_hours"), F.round((F.col("last") + F.col("value") * jitter * 3600000) / 1000).cast("long").alias("next_check_s"))
 
 
-@query(_CHECKS + """, g AS (SELECT source_id, count(*) FILTER (NOT ok AND seq > coalesce(last_ok, -1)) AS failures FROM (SELECT *, max(CASE WHEN ok THEN seq END) OVER (PARTITION BY source_id) AS last_ok FROM checks) GROUP BY source_id)
-SELECT source_id, failures, CASE WHEN failures = 0 THEN 'active' WHEN failures >= 8 THEN 'dead' ELSE 'failing' END AS status FROM g""")
+@query(_CHECKS + """, g AS (SELECT source_id, count(*) FILTER (NOT ok AND seq > coalesce(last_ok, -1)) AS failures, arg_max(ms, seq) AS last FROM (SELECT *, max(CASE WHEN ok THEN seq END) OVER (PARTITION BY source_id) AS last_ok FROM checks) GROUP BY source_id)
+SELECT source_id, failures, CASE WHEN failures = 0 THEN 'active' WHEN failures >= 8 THEN 'dead' ELSE 'failing' END AS status, CASE WHEN failures > 0 THEN last + 6 * 3600000 END AS next_check_at FROM g""")
 def failure_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Failures in a row and status of each source."""
-    checks = _events(spark, sf_dir).select((F.col("user_id") % 23).alias("source_id"), F.col("event_id").alias("seq"), (F.col("event_type") != "error").alias("ok"))
+    checks = _events(spark, sf_dir).select((F.col("user_id") % 23).alias("source_id"), F.col("event_id").alias("seq"), "at", (F.col("event_type") != "error").alias("ok"))
     return state.failures(checks)
 
 
@@ -110,13 +110,54 @@ def upsert_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.upsert_articles(known, new.unionByName(again))
 
 
-@query(with_views("""--+ p AS (SELECT id, CASE WHEN id % 2 = 0 THEN '' ELSE 'Found ' || id END AS title, CASE WHEN id % 3 = 0 THEN fetched_at END AS published_date, word_count + 7 AS word_count, 0.9::DOUBLE AS quality FROM articles WHERE id % 4 <> 0)
-SELECT a.id, coalesce(nullif(p.title, ''), a.title) AS title, coalesce(a.published_date, p.published_date) AS published_date, coalesce(p.word_count, a.word_count) AS word_count, coalesce(p.quality, a.quality) AS quality FROM articles a LEFT JOIN p ON p.id = a.id""", "articles"))
+@query(with_views("""--+ old AS (SELECT id, title, author_key AS author, author_key, site_domain AS site_name, published_date, 'old' AS excerpt, '<p>old</p>' AS content_html, 'old' AS text_content, '' AS lead_image_url, word_count, quality, topic, topic_relevance FROM articles),
+p AS (SELECT id, CASE WHEN id % 2 = 0 THEN '' ELSE 'Found ' || id END AS title, CASE WHEN id % 5 = 0 THEN 'Jane Doe' ELSE '' END AS author, CASE WHEN id % 7 = 0 THEN 'Site' END AS site_name, CASE WHEN id % 3 = 0 THEN fetched_at END AS published_date, CASE WHEN id % 4 = 1 THEN 'New' ELSE '' END AS excerpt,
+  CASE WHEN id % 6 <> 0 THEN '<p>new</p>' END AS content_html, 'text ' || id AS text_content, CASE WHEN id % 8 = 1 THEN 'https://i.example/x' END AS lead_image_url, CASE WHEN id % 9 <> 0 THEN word_count + 7 END AS word_count, 0.9::DOUBLE AS quality, CASE WHEN id % 10 = 1 THEN 'math' END AS topic, CASE WHEN id % 10 = 1 THEN 0.8::DOUBLE END AS topic_relevance FROM articles WHERE id % 4 <> 0)
+SELECT o.id, coalesce(nullif(p.title, ''), o.title) AS title, coalesce(nullif(p.author, ''), o.author) AS author, coalesce(nullif(lower(p.author), ''), o.author_key) AS author_key, coalesce(nullif(p.site_name, ''), o.site_name) AS site_name, coalesce(o.published_date, p.published_date) AS published_date,
+  coalesce(nullif(p.excerpt, ''), o.excerpt) AS excerpt, CASE WHEN p.id IS NULL THEN o.content_html ELSE coalesce(p.content_html, '') END AS content_html, CASE WHEN p.id IS NULL THEN o.text_content ELSE p.text_content END AS text_content, CASE WHEN p.id IS NULL THEN o.lead_image_url ELSE coalesce(p.lead_image_url, '') END AS lead_image_url,
+  CASE WHEN p.id IS NULL THEN o.word_count ELSE coalesce(p.word_count, 0) END AS word_count, coalesce(p.quality, o.quality) AS quality, coalesce(p.topic, o.topic) AS topic, coalesce(p.topic_relevance, o.topic_relevance) AS topic_relevance FROM old o LEFT JOIN p ON p.id = o.id""", "articles"))
 def patch_content(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Articles after extraction."""
+    """Articles after extraction, all fields that it finds."""
     a, i = views.articles(spark, sf_dir), F.col("id")
-    found = a.where(i % 4 != 0).select("id", F.when(i % 2 == 0, "").otherwise(F.concat(F.lit("Found "), i.cast("string"))).alias("title"), F.when(i % 3 == 0, F.col("fetched_at")).alias("published_date"), (F.col("word_count") + 7).alias("word_count"), F.lit(0.9).alias("quality"))
-    return state.patch_contents(a, found)
+    old = a.select("id", "title", F.col("author_key").alias("author"), "author_key", F.col("site_domain").alias("site_name"), "published_date", F.lit("old").alias("excerpt"), F.lit("<p>old</p>").alias("content_html"), F.lit("old").alias("text_content"), F.lit("").alias("lead_image_url"), "word_count", "quality", "topic", "topic_relevance")
+    found = a.where(i % 4 != 0).select(
+        "id", F.when(i % 2 == 0, "").otherwise(F.concat(F.lit("Found "), i.cast("string"))).alias("title"), F.when(i % 5 == 0, "By Jane Doe").otherwise("Posted on").alias("author"), F.when(i % 7 == 0, "Site").alias("site_name"), F.when(i % 3 == 0, F.col("fetched_at")).alias("published_date"), F.when(i % 4 == 1, "New").otherwise("").alias("excerpt"),
+        F.when(i % 6 != 0, "<p>new</p>").alias("content_html"), F.concat(F.lit("text "), i.cast("string")).alias("text_content"), F.when(i % 8 == 1, "https://i.example/x").alias("lead_image_url"), F.when(i % 9 != 0, F.col("word_count") + 7).alias("word_count"), F.lit(0.9).alias("quality"), F.when(i % 10 == 1, "math").alias("topic"), F.when(i % 10 == 1, 0.8).alias("topic_relevance"),
+    )
+    return state.patch_contents(old, found)
+
+
+@query(with_views("SELECT id, CASE WHEN id IN (SELECT event_id % 500 FROM events WHERE event_type = 'error') THEN -1 ELSE word_count END AS word_count FROM articles", "articles"))
+def failed_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles after failed extractions."""
+    failed = _events(spark, sf_dir).where("event_type = 'error'").select((F.col("event_id") % 500).alias("id"))
+    return state.mark_failed(views.articles(spark, sf_dir).select("id", "word_count"), failed)
+
+
+@query("""WITH w AS (SELECT 'author-' || user_id AS author_key, arg_max(event_type = 'error', event_id) AS is_muted, max(epoch_us(ts) // 1000) FILTER (event_type = 'error') AS muted_at FROM events WHERE event_type IN ('error', 'signup') GROUP BY user_id)
+SELECT author_key, muted_at, row_number() OVER (ORDER BY muted_at DESC, author_key) AS place FROM w WHERE is_muted QUALIFY place <= 100""")
+def muted_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hundred authors muted last, newest first: one screen of the list."""
+    log = _events(spark, sf_dir).where(F.col("event_type").isin("error", "signup")).select(F.concat(F.lit("author-"), F.col("user_id").cast("string")).alias("author_key"), "event_id", "at", (F.col("event_type") == "error").alias("is_muted"))
+    muted = log.groupBy("author_key").agg(F.max_by("is_muted", "event_id").alias("is_muted"), F.max(F.when(F.col("is_muted"), F.col("at"))).alias("muted_at")).where("is_muted")
+    return reports.first_rows(muted, 100, F.col("muted_at").desc(), F.col("author_key")).select("author_key", "muted_at", "place")
+
+
+@query(with_views("SELECT id, title, read_at, row_number() OVER (ORDER BY read_at DESC NULLS LAST, id) AS place FROM articles WHERE is_bookmarked = 1 QUALIFY place <= 100", "articles"))
+def bookmark_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hundred bookmarks read last, newest first: one screen of the list."""
+    rows = views.articles(spark, sf_dir).where("is_bookmarked = 1")
+    return reports.first_rows(rows, 100, F.col("read_at").desc_nulls_last(), F.col("id")).select("id", "title", "read_at", "place")
+
+
+@query(with_views("""--+ l AS (SELECT substr(d.source, 4, 9)::BIGINT AS source_id, x.doc_id AS id, quality FROM labels x JOIN documents d ON d.doc_id = x.doc_id)
+SELECT id FROM l WHERE source_id IS NOT NULL AND quality = 0 AND id NOT IN (SELECT id FROM articles WHERE is_read = 1 OR is_bookmarked = 1)""", "articles"))
+def swipe_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles that leave the queue when their author is muted or they are swiped away: neither read nor kept."""
+    docs = views.table(spark, sf_dir, "documents").where("source is not null").select("doc_id")
+    swiped = views.table(spark, sf_dir, "labels").where("quality = 0").join(docs, "doc_id").select(F.col("doc_id").alias("id"))
+    kept = views.articles(spark, sf_dir).where("is_read = 1 or is_bookmarked = 1").select("id")
+    return swiped.join(kept, "id", "left_anti")
 
 
 @query(with_views("""SELECT id, CASE WHEN is_bookmarked = 0 AND is_read = 1 AND coalesce(read_at, fetched_at) < 1706745600000 - 30 * 86400000::BIGINT THEN '' ELSE text_content END AS text_content FROM articles

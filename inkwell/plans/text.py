@@ -203,9 +203,12 @@ def tracking_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _places(spark, sf_dir).select("id", urls.strip_tracking(F.col("url")).alias("url"))
 
 
-@query(r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_extract(html, '(?i)<title[^>]*>([\s\S]*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g')) AS title FROM pages""")
-def page_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Titles of pages."""
+PAGE_TITLE = r"""trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_extract(html, '(?i)<title[^>]*>([\s\S]*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g'))"""
+
+
+@query(f"SELECT page_id, {PAGE_TITLE} AS title FROM pages")
+def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles of pages, by pattern."""
     return views.table(spark, sf_dir, "pages").select("page_id", texts.page_title(F.col("html")).alias("title"))
 
 
@@ -237,9 +240,60 @@ def tidy_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subjects(spark, sf_dir).select("id", texts.tidy_title(F.concat("title", F.lit(" | "), "excerpt")).alias("title"))
 
 
-@query()
+def _taken(pattern: str, least: int = 0) -> str:
+    return f"CASE WHEN regexp_matches(x, {q(pattern)}) AND length(x) > {least} THEN regexp_extract(x, {q(pattern)}, 1) ELSE x END"
+
+
+def _removed(pattern: str) -> str:
+    return f"regexp_replace(x, {q(pattern)}, '')"
+
+
+_MAIL = r"(?i)^\S+@\S+\s+\(([^)]+)\)$"
+_DOUBLED = r"^\s+is\s+(?:an?\s+)?[^.]+\.?$"
+_NOBODY = " OR ".join(f"regexp_matches(short, {q(p)})" for p in (r"(?i)\b(?:staff|team)$", r"(?i)(?:'s|s)?\s*blog$", r"(?i)\s+\(on\b.*\)$", texts.HOSTNAME))
+#: The steps of a byline's cleaning; the doubled name, for which this engine's patterns have no back-reference, is looked
+#: for at every length.
+_BYLINE_STEPS = [
+    r"trim(regexp_replace(x, '\s+', ' ', 'g'))", _removed(r"(?i)^by\s+"), _removed(r"(?i)^\d{4}-\d{2}-\d{2}\s*[-—]\s*(?:by\s+)?"), _taken(r"(?i)^featuring\b.*?\.\s*by\s+(.+?)(?:\s+on)?$"), _taken(r"(?i)^published by\s+(.+?)\s+view all posts by\b.*$"),
+    f"coalesce(substr(x, 1, list_filter(range(1, length(x) // 2 + 1), lambda i: lower(substr(x, 1, i)) = lower(substr(x, i + 1, i)) AND regexp_matches(substr(x, 2 * i + 1), {q('(?i)' + _DOUBLED)}))[1]), x)",
+    _taken(r"(?i)^.*?\s+by\s+([\p{L}][\p{L} .'-]+)$", 55), f"CASE WHEN regexp_matches(x, {q(_MAIL)}) THEN regexp_extract(x, {q(_MAIL)}, 1) ELSE regexp_replace(x, '^\\S+@\\S+\\s+', '') END",
+    _removed(r"(?i)\s+commented(?:\s+on.*)?$"), _removed(texts.NEWS_DATE), _removed(texts.CALENDAR_DATE), _removed(texts.WEEKDAY),
+    r"trim(regexp_replace(CASE WHEN len(list_filter(regexp_split_to_array(x, '\s+·\s+')[2:], lambda p: regexp_matches(p, '(?i)\b(?:news|posted|updated)\b'))) > 0 THEN regexp_split_to_array(x, '\s+·\s+')[1] ELSE x END, '\s+', ' ', 'g'))",
+]
+
+
+def _named(author: str) -> str:
+    """CTEs cleaned(id, name) behind a table bylines(id, author)."""
+    out = f"b0 AS (SELECT id, {author} AS x FROM bylines)"
+    for k, step in enumerate(_BYLINE_STEPS):
+        out += f", b{k + 1} AS (SELECT id, {step} AS x FROM b{k})"
+    last = f"(SELECT id, x, regexp_replace(x, '(?i)\\s+on$', '') AS short FROM b{len(_BYLINE_STEPS)})"
+    return out + f", cleaned AS (SELECT id, CASE WHEN regexp_matches(x, {q(texts.SUBMITTER)}) OR regexp_matches(x, {q(texts.NOT_AUTHORS)}) OR {_NOBODY} THEN '' ELSE short END AS name FROM {last})"
+
+
+@query(f"""WITH bylines AS (SELECT doc_id AS id, {qs(BYLINES)}[(doc_id % {len(BYLINES)} + 1)::INT] AS author FROM documents), {_named("author")}
+SELECT id, lower(name) AS author_key, CASE WHEN name = '' THEN 'Site ' || id % 5 ELSE name END AS "primary", CASE WHEN name = '' THEN '' ELSE 'Site ' || id % 5 END AS secondary, name <> '' AS has_author FROM cleaned""")
 def author_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bylines as names and keys; the rules hold a back-reference, which the other engine lacks."""
+    """Bylines as names and keys, and what cards show of them."""
     rows = views.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), views.pick(BYLINES, F.col("doc_id")).alias("author"))
     a: Column = texts.attribution(F.col("author"), F.concat(F.lit("Site "), (F.col("id") % 5).cast("string")))
     return rows.select("id", texts.author_key(F.col("author")).alias("author_key"), F.inline(F.array(a)))
+
+
+@query(_SUBJECTS + ", t AS (SELECT id, CASE WHEN id % 4 = 0 THEN 'Share ' || title WHEN id % 4 = 1 THEN '# ' || title WHEN id % 4 = 2 THEN '<p>**' || title || '**</p>' ELSE title END AS x FROM subjects)\n"
+  + f"SELECT id, length(trim(x)) <= 120 AND (regexp_matches(trim(x), {q(texts.BOILERPLATE)}) OR regexp_matches(trim(x), {q(texts.LEGAL)})) AS boilerplate, NOT regexp_matches(x, '(?i)<(p|div|h[1-6]|ul|ol|blockquote|pre)\\b') AND ({' OR '.join(f'regexp_matches(x, {q(p)})' for p in texts.MARKDOWN)}) AS markdown FROM t")
+def text_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Short texts that are boilerplate, and texts that look like Markdown."""
+    i, title = F.col("id"), F.col("title")
+    x = F.when(i % 4 == 0, F.concat(F.lit("Share "), title)).when(i % 4 == 1, F.concat(F.lit("# "), title)).when(i % 4 == 2, F.concat(F.lit("<p>**"), title, F.lit("**</p>"))).otherwise(title)
+    return subjects(spark, sf_dir).select("id", texts.is_boilerplate(x).alias("boilerplate"), texts.looks_like_markdown(x).alias("markdown"))
+
+
+@query(_SUBJECTS + """SELECT id, CASE WHEN id % 7 = 3 AND trim(title) <> '' THEN trim(title) WHEN id % 3 = 0 THEN 'Page ' || id ELSE trim(title) END AS title, id % 7 = 3 AND id % 5 <> 0 AND id % 2 = 0 AS needs_date,
+  strftime(make_timestamp((1706745600000 - id % 900 * 86400000) * 1000), '%B %-d, %Y') AS shown FROM subjects""")
+def enriched_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles of cards after extraction, whether a date must be verified first, and dates as shown."""
+    i = F.col("id")
+    source, found = F.when(i % 7 != 3, i), F.when(i % 3 == 0, F.concat(F.lit("Page "), i.cast("string"))).otherwise(" ")
+    ms = F.lit(views.AS_OF) - i % 900 * views.DAY
+    return subjects(spark, sf_dir).select("id", texts.title_for_enriched(source, F.col("title"), found).alias("title"), texts.needs_verified_date(source, F.when(i % 5 == 0, ms), F.when(i % 2 == 1, ms)).alias("needs_date"), texts.format_date(ms).alias("shown"))

@@ -6,11 +6,13 @@ titles and dates included, is done on the columns that come back.
 
 from __future__ import annotations
 
+import html
 import re
 import xml.etree.ElementTree as ET
 from collections.abc import Iterable, Iterator
 from datetime import UTC, datetime
 from email.utils import parsedate_to_datetime
+from urllib.parse import urljoin
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -93,15 +95,48 @@ def parse_document(raw: str | None, most: int | None = None) -> tuple[str, str,
     return _first(head, "title"), site, entries
 
 
+# The aggregator whose index is HTML, and the patterns of its items.
+LIST_INDEX = re.compile(r"^https?://(?:www\.)?econacademics\.org/(?:en\.html)?(?:[?#].*)?$", re.I)
+LIST_TITLE, LIST_SITE, LIST_MOST = "EconAcademics", "https://www.econacademics.org/", 60
+_ITEM = re.compile(r"<li\b[^>]*>|</ul>", re.I)
+_LINKED = re.compile(r"<b>\s*<a\b[^>]*href=[\"']([^\"']+)[\"'][^>]*>([\s\S]*?)</a>\s*</b>", re.I)
+_BYLINE = re.compile(r"<br\s*/?>(?:\s|&nbsp;)*by\s+([\s\S]*?)\s+in\s+<i>", re.I)
+_DATED = re.compile(r"</i>\s*,\s*([^<\r\n]+?)\s*(?=<|$)", re.I)
+_QUOTED = re.compile(r"<blockquote\b[^>]*>([\s\S]*?)</blockquote>", re.I)
+
+
+def parse_list(raw: str | None, url: str | None) -> tuple[str, str, list[dict]] | None:
+    """(title, site, entries) of the aggregator's HTML index; None for any other address and for an index without items."""
+    if not raw or not LIST_INDEX.match(url or ""):
+        return None
+    marks = list(_ITEM.finditer(raw))
+    entries = []
+    for a, b in zip(marks, marks[1:], strict=False):  # an item ends where the next or the list's end begins
+        item = raw[a.end() : b.start()]
+        if a[0].startswith("</") or not (link := _LINKED.search(item)):
+            continue
+        try:
+            where = urljoin(url, html.unescape(link[1]))
+        except ValueError:
+            continue
+        if LIST_INDEX.match(where):
+            continue
+        byline, date, said = _BYLINE.search(item), _DATED.search(item), _QUOTED.search(item)
+        at = parse_date(html.unescape(date[1])) if date else None
+        entries.append({"url": where, "title": html.unescape(link[2]), "author": html.unescape(byline[1]) if byline else "", "published": at, "summary": said[1].strip() if said else ""})
+    return (LIST_TITLE, LIST_SITE, entries) if entries else None
+
+
 def strip_html(text: Column) -> Column:
     return texts.compact(F.regexp_replace(F.regexp_replace(text, "<[^>]*>", " "), "(?i)&[a-z#0-9]+;", " "))
 
 
-def entries(documents: DataFrame, id_col: str = "feed_id", xml_col: str = "xml", most: int | None = None) -> DataFrame:
+def entries(documents: DataFrame, id_col: str = "feed_id", xml_col: str = "xml", most: int | None = None, url_col: str | None = None) -> DataFrame:
     """(feed_id, feed_title, site_url, position, url, title, author, published, summary) of every entry with an http URL.
 
     Documents that are no feed give no rows; whole documents are read unless most says otherwise. Titles lose their tags, missing ones become "(untitled)"; URLs lose
-    fragments and tracking parameters.
+    fragments and tracking parameters. With url_col, the documents' addresses, the known aggregator's HTML index counts as
+    a feed: its entries once each, LIST_MOST at most, with the names behind mail addresses as bylines.
     """
     item = pa.struct([(f, pa.int64() if f == "published" else pa.string()) for f in _FIELDS])
     kind = documents.schema[id_col].dataType.simpleString()
@@ -109,14 +144,21 @@ def entries(documents: DataFrame, id_col: str = "feed_id", xml_col: str = "xml",
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [parse_document(x.as_py(), most) for x in batch.column(1)]
-            columns = [pa.array([f and f[0] for f in found], pa.string()), pa.array([f and f[1] for f in found], pa.string()), pa.array([f and f[2] for f in found], pa.list_(item))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["feed_id", "feed_title", "site_url", "entries"])
-
-    rows = documents.select(F.col(id_col), F.col(xml_col)).mapInArrow(run, f"feed_id {kind}, feed_title string, site_url string, entries array<struct<url string, title string, author string, published bigint, summary string>>")
-    each = rows.select("feed_id", "feed_title", "site_url", F.posexplode("entries").alias("position", "e"))
+            lists = [not f for f in found]
+            if url_col:
+                found = [f or parse_list(x.as_py(), u.as_py()) for f, x, u in zip(found, batch.column(1), batch.column(2), strict=True)]
+            columns = [pa.array(lists, pa.bool_()), pa.array([f and f[0] for f in found], pa.string()), pa.array([f and f[1] for f in found], pa.string()), pa.array([f and f[2] for f in found], pa.list_(item))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["feed_id", "listed", "feed_title", "site_url", "entries"])
+
+    rows = documents.select(F.col(id_col), F.col(xml_col), *([F.col(url_col)] if url_col else [])).mapInArrow(run, f"feed_id {kind}, listed boolean, feed_title string, site_url string, entries array<struct<url string, title string, author string, published bigint, summary string>>")
+    each = rows.select("feed_id", "listed", "feed_title", "site_url", F.posexplode("entries").alias("position", "e"))
     url, title = urls.entry_url(F.col("e.url")), strip_html(F.col("e.title"))
-    out = each.select("feed_id", texts.tidy_title(strip_html(F.col("feed_title"))).alias("feed_title"), "site_url", "position", url.alias("url"), F.when(title == "", "(untitled)").otherwise(title).alias("title"), strip_html(F.col("e.author")).alias("author"), F.col("e.published").alias("published"), F.col("e.summary").alias("summary"))
-    return out.where("url <> ''")
+    out = each.select("feed_id", texts.tidy_title(strip_html(F.col("feed_title"))).alias("feed_title"), "site_url", "position", url.alias("url"), F.when(title == "", "(untitled)").otherwise(title).alias("title"), F.when(F.col("listed"), texts.list_author(F.col("e.author"))).otherwise(strip_html(F.col("e.author"))).alias("author"), F.col("e.published").alias("published"), F.col("e.summary").alias("summary"), "listed")
+    out = out.where("url <> ''")
+    if url_col:
+        again, place = Window.partitionBy("feed_id", "listed", "url").orderBy("position"), Window.partitionBy("feed_id", "listed").orderBy("position")
+        out = out.withColumn("_again", F.row_number().over(again)).where("not listed or _again = 1").withColumn("_place", F.row_number().over(place)).where(~F.col("listed") | (F.col("_place") <= LIST_MOST)).drop("_again", "_place")
+    return out.drop("listed")
 
 
 def is_feed(text: Column) -> Column:

@@ -486,6 +486,19 @@ def segments(content: str | None, limits: Limits = WHOLE) -> list[dict]:
     return out
 
 
+def reader_segments(rows: DataFrame, id_col: str = "id", html_col: str = "content_html", limits: Limits = WHOLE) -> DataFrame:
+    """(id, index, html, code, lang) of the parts of every article, as a reader shows them."""
+    part = pa.struct([("index", pa.int64()), ("html", pa.string()), ("code", pa.string()), ("lang", pa.string())])
+    kind = rows.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([segments(x.as_py(), limits) for x in batch.column(1)], pa.list_(part))], ["id", "parts"])
+
+    found = rows.select(id_col, html_col).mapInArrow(run, f"id {kind}, parts array<struct<`index`:bigint,html:string,code:string,lang:string>>")
+    return found.select("id", F.inline("parts"))
+
+
 def code_lines(code: Column) -> Column:
     """The lines of a piece of code, in order; colouring is left to the reader."""
     return F.split(code, "\n", -1)
