@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -63,6 +64,7 @@ SUPPORTING = {
         "conjecture",
     ],
 }
+# Patterns of round-up titles, and of ecosystems with the sites that belong to them.
 ROUNDUPS = [
     r"^\s*fragments?\s*(?::|#|-|–|—|\d)",
     r"^\s*(?:(?:some|assorted|weekly|weekend|friday|saturday|sunday)\s+)?links\s*(?::|#|-|–|—|$)",
@@ -93,49 +95,62 @@ CLUSTERS = [
 ]
 
 
-def normal_words(text: Column) -> Column:
-    """Runs of a-z, 0-9, +, # and . in lower case. Taking them out is ten times faster than replacing the rest."""
-    return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9+#.]+"), F.lit(0))
-
-
+#: Bytes that are no part of a word become spaces.
+_SPACED = bytes(c if chr(c) in "abcdefghijklmnopqrstuvwxyz0123456789+#." else 32 for c in range(256))
 #: Every word of a term; a text's other words only separate them.
-_WORDS = sorted({w for terms in (*STRONG.values(), *SUPPORTING.values()) for t in terms for w in t.split(" ")})
-
-
-def lexicon_text(words: Column) -> Column:
-    """The words between single spaces, each run of those that no term has as one underscore: a fraction of the text."""
-    kept = F.transform(words, lambda w: F.when(w.isin(_WORDS), w).otherwise("_"))
-    return F.concat(F.lit(" "), F.regexp_replace(F.array_join(kept, " "), "_(?: _)+", "_"), F.lit(" "))
-
-
-def term_score(text: Column, topic: str) -> Column:
+_WORDS = frozenset(w.encode() for terms in (*STRONG.values(), *SUPPORTING.values()) for t in terms for w in t.split(" "))
+#: For each topic its terms in order: (first word, term between spaces, weight).
+_TERMS = {topic: [[(t.split(" ")[0].encode(), f" {t} ".encode(), w) for t in terms] for terms, w in ((STRONG[topic], 2.4), (SUPPORTING[topic], 0.75))] for topic in TOPICS}
+
+
+def lexicon_text(text: str) -> tuple[bytes, set[bytes]]:
+    """(the text's words between single spaces, each run of those that no term has as one underscore; the terms' words in it)."""
+    words = text.lower().encode("utf-8", "replace").translate(_SPACED).split()
+    there = _WORDS.intersection(words)
+    if not there:
+        return b"", there
+    kept, gap = [b""], False
+    for w in words:
+        if w in there:
+            kept.append(w)
+            gap = False
+        elif not gap:
+            kept.append(b"_")
+            gap = True
+    kept.append(b"")
+    return b" ".join(kept), there
+
+
+def term_score(lexicon: tuple[bytes, set[bytes]], topic: str) -> float:
     """Terms of a topic in a lexicon text, three of each at most; neighbours share a space and count once."""
+    text, there = lexicon
+    if not there:
+        return 0.0
+    return sum(sum((w * min(3, text.count(t)) for first, t, w in terms if first in there), 0.0) for terms in _TERMS[topic])
 
-    def part(terms: list[str], weight: float) -> Column:
-        needles = F.array(*(F.lit(f" {t} ") for t in terms))
 
-        def count(n: Column) -> Column:
-            return F.least(F.lit(3), F.floor((F.octet_length(text) - F.octet_length(F.replace(text, n, F.lit("")))) / F.octet_length(n)))
+def raw_scores(title: str, excerpt: str, text: str) -> list[float]:
+    """A score for each topic: titles weigh ten times what the text does; a topic that only the text names, and rarely, is cut."""
+    fields = [lexicon_text(x) for x in (title, excerpt, text[:12000])]
+    out = []
+    for topic in TOPICS:
+        head = term_score(fields[0], topic) * 3.5 + term_score(fields[1], topic) * 1.5
+        every = head + term_score(fields[2], topic) * 0.35
+        out.append(every * 0.25 if head == 0 and every < 4 else every)
+    return out
 
-        return F.aggregate(needles, F.lit(0.0), lambda s, n: s + F.lit(weight) * count(n))
 
-    # A text without any lexicon word is one underscore between spaces.
-    return F.when(F.octet_length(text) <= 3, 0.0).otherwise(part(STRONG[topic], 2.4) + part(SUPPORTING[topic], 0.75))
+def _raw(title: pd.Series, excerpt: pd.Series, text: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([raw_scores(*x) for x in zip(title, excerpt, text, strict=True)], columns=TOPICS, dtype="float64")
 
 
 def assess(title: Column, excerpt: Column, text: Column, hint: Column) -> Column:
     """struct<topic, relevance, technology, economics, math>: the topic of an article and its confidence in each.
 
-    The hint keeps a near-tie. Texts must not be null; the hint must be one of TOPICS. Rounded to 9 places.
+    The hint keeps a near-tie. Texts must not be null; the hint must be one of TOPICS. Rounded to 9 places. The search for
+    two hundred terms runs in Arrow batches: one pass keeps the few words that terms have, and terms are counted in those.
     """
-    normal = F.struct(*(lexicon_text(normal_words(x)).alias(k) for k, x in (("t", title), ("e", excerpt), ("b", F.substring(text, 1, 12000)))))
-
-    def raw(x: Column, topic: str) -> Column:
-        head = term_score(x["t"], topic) * 3.5 + term_score(x["e"], topic) * 1.5
-        return bind(head, lambda h: F.struct(h.alias("head"), (h + term_score(x["b"], topic) * 0.35).alias("all")))
-
-    scored = F.transform(F.array(normal), lambda x: F.struct(*(raw(x, t).alias(t) for t in TOPICS)))
-    weak = F.transform(scored, lambda x: F.struct(*(F.when((x[t]["head"] == 0) & (x[t]["all"] < 4), x[t]["all"] * 0.25).otherwise(x[t]["all"]).alias(t) for t in TOPICS)))
+    scored = F.pandas_udf(_raw, ", ".join(f"{t} double" for t in TOPICS))(title, excerpt, F.substring(text, 1, 12000))
 
     def chosen(x: Column) -> Column:
         of_hint = F.when(hint == TOPICS[0], x[TOPICS[0]]).when(hint == TOPICS[1], x[TOPICS[1]]).otherwise(x[TOPICS[2]])
@@ -146,7 +161,7 @@ def assess(title: Column, excerpt: Column, text: Column, hint: Column) -> Column
         relevance = F.when(topic == TOPICS[0], sure[TOPICS[0]]).when(topic == TOPICS[1], sure[TOPICS[1]]).otherwise(sure[TOPICS[2]])
         return F.struct(topic.alias("topic"), relevance.alias("relevance"), *(sure[t].alias(t) for t in TOPICS))
 
-    return F.transform(weak, chosen)[0]
+    return bind(scored, chosen)
 
 
 def is_roundup(title: Column) -> Column:

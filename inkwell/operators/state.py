@@ -25,7 +25,8 @@ def _then(f: Column, g: Column) -> Column:
     """The step g after the step f."""
 
     def through(x: Column) -> Column:
-        return F.greatest(g["low"], F.least(g["high"], g["a"] * x + g["b"]))
+        # A bound may be infinite, and nothing times infinity is no number.
+        return F.greatest(g["low"], F.least(g["high"], F.when(g["a"] == 0, 0.0).otherwise(g["a"] * x) + g["b"]))
 
     return _map(f["a"] * g["a"], g["a"] * f["b"] + g["b"], through(f["low"]), through(f["high"]))
 

@@ -121,3 +121,83 @@ def test_streamed_polling_follows_the_batch_rule(spark, tmp_path):
     stream = spark.readStream.schema(schema).parquet(str(tmp_path) + "/*.parquet")
     out = streaming.run_to_end(streaming.polling(stream), "source_id").collect()
     assert [(r.source_id, round(r.interval_hours, 6), r.failures, r.status) for r in out] == [(1, 2.0, 2, "failing")]
+
+
+SENTENCES = "".join(f"<p>Sentence number {i} of a long enough article about something, indeed.</p>" for i in range(12))
+
+
+@pytest.mark.parametrize("tag", ["div", "blockquote", "section"])
+def test_deep_pages_are_read(tag):
+    page = "<title>T</title>" + f"<{tag}>" * 5000 + SENTENCES + f"</{tag}>" * 5000
+    got = pages.extract(page, "https://example.com/a")
+    assert got["word_count"] == 121 and got["content_html"].count("Sentence number 3 ") >= 1
+
+
+def test_whole_pages_are_read_unless_limits_say_otherwise():
+    page = f"<title>T</title><div>{SENTENCES * 900}</div>"
+    assert len(page) > 700_000 and pages.extract(page, "")["word_count"] == 120 * 900 - 899 + 900
+    short = pages.extract(page, "", pages.PRODUCT)
+    assert short["word_count"] < 120 * 900 and len(short["content_html"]) == 300_000 and len(short["text_content"]) == 60_000
+
+
+def test_long_feeds_are_read(spark):
+    items = "".join(f"<item><link>https://c.example/p/{i}</link><title>{'word ' * 60}</title></item>" for i in range(6000))
+    df = spark.createDataFrame([(1, f"<rss><channel><title>C</title>{items}</channel></rss>")], "feed_id long, xml string")
+    assert len(items) > 2_000_000 and feeds.entries(df).count() == 6000
+    assert feeds.entries(df, most=1_500_000).count() == 0
+
+
+def test_lists_of_the_known_aggregator_only():
+    item = '<li><b><a href="/p/1">A</a></b><br>by Bo in <i>B</i>, 2024-01-02<br><li>no link<li><b><a href="https://x.example/2">C</a></b></ul>'
+    title, _, entries = feeds.parse_list(f"<ul>{item}", "https://www.econacademics.org/en.html")
+    assert title == "EconAcademics" and [(e["url"], e["title"], e["author"], e["published"]) for e in entries] == [("https://www.econacademics.org/p/1", "A", "Bo", 1704153600000), ("https://x.example/2", "C", "", None)]
+    assert feeds.parse_list(f"<ul>{item}", "https://other.example/en.html") is None and feeds.parse_list(None, None) is None
+
+
+def test_polling_gaps_cross_blocks(spark):
+    import random
+
+    rng = random.Random(6)
+    log, at = [], 0
+    for i in range(60):
+        at += rng.randrange(1, 40) * 900_000
+        log.append((1, i, at, rng.choice([0, 1])))
+    df = spark.createDataFrame(log, "source_id long, seq long, at long, new_entries int")
+    hours, last = 24.0, None
+    for _, _, at, new in log:
+        gap = None if last is None else (at - last) / 3_600_000
+        hours = max(0.5, min(168.0, (gap if 0.5 <= gap <= 720 else hours) if new and gap is not None else hours * 1.3))
+        last = at
+    for block in (1, 7, 4096):
+        assert state.poll_interval(df, F.lit(24.0), block).first().value == pytest.approx(hours)
+
+
+def test_voices_are_found_whatever_opening_they_share(spark):
+    import random
+
+    rng = random.Random(8)
+    heads = ["commonopening", "commonopeningof", "another"]
+    names = [rng.choice(heads) + "".join(rng.choice("ab") for _ in range(rng.randrange(0, 6))) for _ in range(120)]
+    c = [(i, n, f"d{i % 9}") for i, n in enumerate(names[:60])]
+    s = [(i, n, f"d{100 + i}" if i % 10 else f"d{i % 9}") for i, n in enumerate(names[60:])]
+
+    def same(a, b):
+        return len(b) >= 6 and (a == b or len(a) >= 8 and len(b) >= 8 and (a in b or b in a))
+
+    want = {i: min(j for j, m, e in s if same(n, m) or d == e) for i, n, d in c if any(same(n, m) or d == e for _, m, e in s)}
+    got = fairness.duplicate_voices(spark.createDataFrame(c, "candidate_id long, name string, domain string"), spark.createDataFrame(s, "source_id long, name string, domain string"))
+    assert {r.candidate_id: r.source_id for r in got.collect()} == want
+
+
+def test_topic_scores_by_brute_force():
+    import random
+    import re
+
+    rng = random.Random(4)
+    pool = [t for terms in (*topics.STRONG.values(), *topics.SUPPORTING.values()) for t in terms]
+    for _ in range(60):
+        text = " ".join(rng.choice([rng.choice(pool), "word", "Ünï", "x,y", "+"]) for _ in range(rng.randrange(0, 40)))
+        plain = " " + " ".join(re.findall(r"[a-z0-9+#.]+", text.lower())) + " "
+        for topic in topics.TOPICS:
+            want = sum(w * min(3, plain.count(f" {t} ")) for terms, w in ((topics.STRONG[topic], 2.4), (topics.SUPPORTING[topic], 0.75)) for t in terms)
+            assert topics.term_score(topics.lexicon_text(text), topic) == pytest.approx(want)
