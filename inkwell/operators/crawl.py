@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkwell.functions import topics, urls
 from inkwell.functions.hn import article_score
 from inkwell.operators.session import first_of_each_domain
+from inkwell.operators.state import upsert_articles
 from inkwell.sources import pages as page_source
+from inkwell.sources.feeds import alternate_links, entries, is_feed
 from inkwell.sources.views import AS_OF, DAY, HOUR
 
 # Entries a feed or an aggregator gives at once, stories of a batch, their score, ages, bounds and paths.
@@ -141,3 +143,39 @@ def load_pool(like: DataFrame, where: str) -> DataFrame:
 def as_json(rows: DataFrame) -> DataFrame:
     """(json) of every row: what the product's endpoints for slates, statistics and sources send."""
     return rows.select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("json"))
+
+
+# Where feeds are looked for; the first four only, where a site's front page was read.
+FEED_PATHS = ["/atom.xml", "/feed.xml", "/rss.xml", "/index.xml", "/feed/", "/feed", "/rss", "/blog/atom.xml", "/blog/feed.xml", "/blog/feed/", "/?feed=rss2", "/feeds/posts/default"]
+SHORT_PATHS = 4
+
+
+def discover_feeds(sites: DataFrame, stored: DataFrame) -> DataFrame:
+    """(url, feed_url) of sites (url) whose feed is among stored pages (url, text): the first that is a feed of what the
+    front page links to as one, in its order, and then of the usual places."""
+    fronts = sites.select("url").distinct().join(stored.select("url", F.col("text").alias("html")), "url", "left")
+    links = alternate_links(fronts.where("html is not null"), "url", "html").withColumnRenamed("url", "site")
+    root = F.regexp_extract("site", r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+)", 1)
+    href = F.col("href")
+    whole = F.when(href.rlike("(?i)^https?://"), href).when(href.startswith("//"), F.concat(F.regexp_extract("site", "^([A-Za-z]+:)", 1), href)).when(href.startswith("/"), F.concat(root, href)).otherwise(F.concat(F.regexp_replace("site", "[^/]*$", ""), href))
+    told = links.select("site", F.substring_index(whole, "#", 1).alias("feed_url"), F.col("position").cast("long").alias("place"))
+    usual = fronts.select(F.col("url").alias("site"), F.posexplode(F.slice(F.array(*map(F.lit, FEED_PATHS)), F.lit(1), F.when(F.col("html").isNotNull(), SHORT_PATHS).otherwise(len(FEED_PATHS)))).alias("k", "path"))
+    usual = usual.where(root != "").select("site", F.concat(root, "path").alias("feed_url"), (F.col("k") + 1_000_000).cast("long").alias("place"))
+    found = told.unionByName(usual).join(stored.where(is_feed(F.col("text"))).select(F.col("url").alias("feed_url")), "feed_url", "left_semi")
+    return found.groupBy(F.col("site").alias("url")).agg(F.min_by("feed_url", "place").alias("feed_url"))
+
+
+def read_catalog(spark: SparkSession, path: str) -> DataFrame:
+    """(name, site_url, feed_url, topic, origin) of a catalog of feeds, a JSON list of objects; origin may be missing."""
+    rows = spark.read.schema("name string, siteUrl string, feedUrl string, topic string, origin string").json(path, multiLine=True)
+    return rows.select("name", F.col("siteUrl").alias("site_url"), F.col("feedUrl").alias("feed_url"), "topic", "origin")
+
+
+def ingest_round(sources: DataFrame, documents: DataFrame, known: DataFrame, now: int = AS_OF) -> DataFrame:
+    """Articles (url, title, author, published_date, inserted) after one round: of every source's feed document (source_id,
+    xml) the entries that its origin gives at once, less those the gate keeps out, into the known articles."""
+    each = entries(documents, "source_id").withColumnRenamed("feed_id", "source_id")
+    each = each.join(sources.select(F.col("id").alias("source_id"), "origin"), "source_id").withColumn("domain", urls.root_domain(urls.host(F.col("url"))))
+    new = fresh_entries(entries_by_origin(each), now)
+    seq = F.col("source_id") * 1_000_000 + F.col("slot")
+    return upsert_articles(known, new.select("url", "title", "author", F.col("published").alias("published_date"), seq.alias("seq")))

@@ -178,3 +178,43 @@ def saved_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crawl.load_pool(pool, where)
 
 
+
+
+@query("""SELECT page_id, url, CASE page_id % 4 WHEN 0 THEN regexp_extract(url, '^(https?://[^/?#]+)', 1) || '/own.xml?id=' || page_id WHEN 1 THEN 'https://other-' || page_id || '.example/rss' ELSE regexp_extract(url, '^(https?://[^/?#]+)', 1) || '/feed.xml' END AS feed_url FROM pages WHERE page_id % 4 <> 3""")
+def discovered_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feeds of pages taken as sites: a link of their own, one elsewhere behind one that is none, or a usual place."""
+    pages = views.table(spark, sf_dir, "pages").select("page_id", F.concat(F.regexp_extract("url", "^([a-z]+://)", 1), F.lit("p"), F.col("page_id").cast("string"), F.lit("."), F.regexp_extract("url", "^[a-z]+://(.*)$", 1)).alias("url"), F.col("url").alias("_url"))
+    i, root = F.col("page_id"), F.regexp_extract("url", "^(https?://[^/?#]+)", 1)
+
+    def link(href):
+        return F.concat(F.lit('<link rel="alternate" type="application/rss+xml" href="'), href, F.lit('">'))
+
+    other = F.concat(F.lit("https://other-"), i.cast("string"), F.lit(".example/rss"))
+    html = F.when(i % 4 == 0, F.concat(link(F.lit("/gone.xml")), link(F.concat(F.lit("/own.xml?id="), i.cast("string"))))).when(i % 4 == 1, F.concat(link(F.lit("/page.html")), link(other))).otherwise("<p>none</p>")
+    fronts = pages.select("url", html.alias("text"))
+    feed = F.when(i % 4 == 0, F.concat(root, F.lit("/own.xml?id="), i.cast("string"))).when(i % 4 == 1, other).when(i % 4 == 2, F.concat(root, F.lit("/feed.xml"))).otherwise(F.concat(root, F.lit("/blog/feed/")))
+    feeds_ = pages.select(feed.alias("url"), F.lit("<?xml version='1.0'?><rss></rss>").alias("text"))
+    plain = pages.where(i % 4 == 1).select(F.concat(root, F.lit("/page.html")).alias("url"), F.lit("<html></html>").alias("text"))
+    found = crawl.discover_feeds(pages.select("url"), fronts.unionByName(feeds_).unionByName(plain))
+    named = found.join(pages, "url").select("page_id", F.col("_url").alias("url"), F.regexp_replace("feed_url", r"//p[0-9]+\.", "//").alias("feed_url"))
+    return named
+
+
+@query(with_views(f"""--+ e AS (SELECT a.id, 'https://site-' || (a.id % 30) || '.example/p/' || a.id AS url, {qs(HEADLINES)}[(a.id % {len(HEADLINES)} + 1)::INT] || ' ' || a.id AS title, s.id AS source_id, s.origin, 'site-' || (a.id % 30) || '.example' AS domain, CASE WHEN a.id % 4 <> 0 THEN 1706745600000 - (a.id % 90) * 86400000 END AS published
+  FROM articles a JOIN sources s ON s.id = a.source_id),
+own AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY id) AS slot FROM e WHERE origin <> 'aggregator' QUALIFY slot <= 12),
+r AS (SELECT *, row_number() OVER (PARTITION BY source_id, domain ORDER BY id) AS n, min(id) OVER (PARTITION BY source_id, domain) AS f FROM e WHERE origin = 'aggregator'),
+mixed AS (SELECT * EXCLUDE (n, f), row_number() OVER (PARTITION BY source_id ORDER BY n, f) AS slot FROM r QUALIFY slot <= 24),
+new AS (SELECT * FROM (SELECT * FROM own UNION ALL SELECT * FROM mixed) WHERE NOT ({_ROUNDUP}) AND (published IS NULL OR published >= 1706745600000 - 60 * 86400000::BIGINT)),
+k AS (SELECT url, '' AS title, 'Known' AS author, NULL::BIGINT AS published_date FROM e WHERE id % 6 = 0)
+SELECT coalesce(k.url, new.url) AS url, coalesce(nullif(k.title, ''), new.title, k.title) AS title, coalesce(nullif(k.author, ''), 'Ann') AS author, coalesce(k.published_date, new.published) AS published_date, k.url IS NULL AS inserted FROM k FULL JOIN new ON new.url = k.url""", "articles", "sources"))
+def ingest_round(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles after a crawl of every source's feed."""
+    i = F.col("id")
+    a = views.articles(spark, sf_dir).where("source_id is not null").select("id", "source_id")
+    url = F.concat(F.lit("https://site-"), (i % 30).cast("string"), F.lit(".example/p/"), i.cast("string"))
+    date = F.when(i % 4 != 0, F.concat(F.lit("<dc:date>"), F.date_format(F.expr("timestamp_ntz'1970-01-01 00:00:00'") + F.make_dt_interval(secs=(F.lit(views.AS_OF) - (i % 90) * views.DAY) / 1000), "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit("</dc:date>"))).otherwise(F.lit(""))
+    item = F.concat(F.lit("<item><link>"), url, F.lit("</link><title>"), views.pick(HEADLINES, i), F.lit(" "), i.cast("string"), F.lit("</title><dc:creator>Ann</dc:creator>"), date, F.lit("</item>"))
+    made = a.select("source_id", F.struct(i.alias("k"), item.alias("x")).alias("s")).groupBy("source_id").agg(F.concat(F.lit('<rss xmlns:dc="http://purl.org/dc/elements/1.1/"><channel><title>F</title>'), F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["x"]), ""), F.lit("</channel></rss>")).alias("xml"))
+    known = a.where(i % 6 == 0).select(url.alias("url"), F.lit("").alias("title"), F.lit("Known").alias("author"), F.lit(None).cast("long").alias("published_date"))
+    return crawl.ingest_round(views.sources(spark, sf_dir), made, known)
