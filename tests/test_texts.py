@@ -201,3 +201,29 @@ def test_topic_scores_by_brute_force():
         for topic in topics.TOPICS:
             want = sum(w * min(3, plain.count(f" {t} ")) for terms, w in ((topics.STRONG[topic], 2.4), (topics.SUPPORTING[topic], 0.75)) for t in terms)
             assert topics.term_score(topics.lexicon_text(text), topic) == pytest.approx(want)
+
+
+def test_streamed_reads_are_the_batch_ones(spark, small):
+    from inkwell.streaming import state as streaming
+
+    path = f"{small}/events.parquet"
+    schema = spark.read.parquet(path).schema
+
+    def stream():
+        return streaming.reads_of(streaming.event_stream(spark, f"{path}*", schema))
+
+    raw = spark.read.parquet(path).where("event_type in ('view', 'click')")
+    got = streaming.run_to_end(streaming.windowed_reads(stream()), "start", "author_key")
+    want = raw.groupBy(F.window(F.col("ts").cast("timestamp"), "1 hour")["start"].alias("start"), F.concat(F.lit("author-"), F.col("user_id").cast("string")).alias("author_key")).agg(F.count("*").alias("reads"))
+    assert sorted(map(tuple, got.select("start", "author_key", "reads").collect())) == sorted(map(tuple, want.collect()))
+    once = streaming.run_to_end(streaming.first_reads(stream(), "10000 days"), "reader", "article_id")
+    assert once.count() == raw.select("user_id", F.col("event_id") % 500).distinct().count()
+
+
+def test_catalogs_are_read(spark, tmp_path):
+    import json
+
+    from inkwell.operators import crawl
+
+    (tmp_path / "c.json").write_text(json.dumps([{"name": "A", "siteUrl": "https://a.example", "feedUrl": "https://a.example/f", "topic": "math"}, {"name": "B", "siteUrl": "https://b.example", "feedUrl": "https://b.example/f", "topic": "technology", "origin": "aggregator"}], indent=1))
+    assert sorted(map(tuple, crawl.read_catalog(spark, str(tmp_path / "c.json")).collect())) == [("A", "https://a.example", "https://a.example/f", "math", None), ("B", "https://b.example", "https://b.example/f", "technology", "aggregator")]
