@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkwell.functions import hn, texts, urls
+from inkwell.functions.arrow import pieces
 
 _FIELDS = ["url", "title", "author", "published", "summary"]
 _ISO_DAY = re.compile(r"\d{4}-\d{2}-\d{2}")
@@ -142,7 +143,7 @@ def entries(documents: DataFrame, id_col: str = "feed_id", xml_col: str = "xml",
     kind = documents.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             found = [parse_document(x.as_py(), most) for x in batch.column(1)]
             lists = [not f for f in found]
             if url_col:

@@ -261,3 +261,41 @@ def test_references_without_semicolon():
     strict = pages.parse(page, loose=False)
     assert strict.text() == "a&ampb < &lt c A &#65 A &notit; d"
     assert [x.attributes for x in strict.walk() if x.attributes] == [{"class": "<"}, {"href": "?a=1&b=2"}]
+
+
+def test_pieces_keep_every_row_in_order():
+    import pyarrow as pa
+
+    from inkwell.functions.arrow import pieces
+
+    rows = [(i, "ü" * n if n is not None else None) for i, n in enumerate([0, 3, 50, None, 7, 4, 0, 100, None, 5, 5, 5])]
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows]), pa.array([t for _, t in rows], pa.string())], ["id", "t"])
+    parts = list(pieces([batch, batch.slice(0, 0), batch.slice(5)], 20))
+    assert [tuple(r.values()) for p in parts for r in p.to_pylist()] == rows + rows[5:]
+    sizes = [[len((t or "").encode()) for t in p.column(1).to_pylist()] for p in parts]
+    assert all(len(x) == 1 or sum(x) <= 20 for x in sizes) and len(parts) < len(rows) + 7
+
+
+def _steps(frame):
+    """Each page step's function of Arrow batches, with a batch for it."""
+    import pyarrow as pa
+
+    n, page = 400, "<title>T {0}</title><p>" + "word “é” {0} " * 2000 + "</p>"
+    ids, html, url = pa.array(range(n)), pa.array([page.format(i) for i in range(n)]), pa.array(["https://x.example/"] * n)
+    three, two = pa.RecordBatch.from_arrays([ids, url, html], ["page_id", "url", "html"]), pa.RecordBatch.from_arrays([ids, html], ["id", "html"])
+    return [("articles", lambda: pages.articles(frame), three), ("metadata", lambda: pages.page_metadata(frame), three), ("column", lambda: pages.html_column(frame.select("page_id", "html"), "html", pages.sanitized_fragment), two), ("segments", lambda: pages.reader_segments(frame, "page_id", "html"), two), ("feeds", lambda: feeds.entries(frame, "page_id", "html"), two)]
+
+
+@pytest.mark.parametrize("i", range(5))
+def test_page_steps_make_little_of_a_large_batch_at_once(spark, monkeypatch, i):
+    taken = []
+    frame = spark.createDataFrame([], "page_id long, url string, html string")
+    plain = type(frame).mapInArrow
+    monkeypatch.setattr(type(frame), "mapInArrow", lambda self, f, schema, *a: (taken.append(f), plain(self, f, schema, *a))[1])
+    name, build, batch = _steps(frame)[i]
+    build()
+    made = list(taken[0]([batch]))
+    assert batch.nbytes > 10 << 20 and sum(b.num_rows for b in made) == batch.num_rows, name
+    assert max(b.num_rows for b in made) < 60 and max(b.nbytes for b in made) < 4 << 20, name
+    ids = [x for b in made for x in b.column(0).to_pylist()]
+    assert ids == list(range(batch.num_rows)), name
