@@ -299,3 +299,22 @@ def test_page_steps_make_little_of_a_large_batch_at_once(spark, monkeypatch, i):
     assert max(b.num_rows for b in made) < 60 and max(b.nbytes for b in made) < 4 << 20, name
     ids = [x for b in made for x in b.column(0).to_pylist()]
     assert ids == list(range(batch.num_rows)), name
+
+
+def test_topic_scores_hold_one_text_at_a_time(spark):
+    import tracemalloc
+
+    import pyarrow as pa
+    from pyspark.util import PythonEvalType
+
+    plan = spark.createDataFrame([], "t string").select(topics.assess(F.col("t"), F.col("t"), F.col("t"), F.lit("math")))._jdf.queryExecution().executedPlan().toString()
+    assert f", {PythonEvalType.SQL_SCALAR_ARROW_UDF}\n" in plan  # arrays as they come, never a batch of Python strings
+    n, text = 1000, "a proof of “the” prime number theorem in algebra; " * 240
+    titles, heads, bodies = pa.array([f"Kernel {i}" for i in range(n)]), pa.array(["tax"] * n), pa.array([text] * n)
+    tracemalloc.start()
+    got = topics._raw(titles, heads, bodies)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert bodies.nbytes > 10 << 20 and peak < 2 << 20
+    assert [tuple(x.values()) for x in got.to_pylist()] == [tuple(topics.raw_scores(f"Kernel {i}", "tax", text)) for i in range(n)]
+    assert topics._raw(*[pa.array([], pa.string())] * 3).to_pylist() == []
